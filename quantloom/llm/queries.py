@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantloom.llm import bpe, line_dedup, ngram_join, packing, pii, quality_classifier, quality_rules, secrets, sketch
+from quantloom.llm import bpe, line_dedup, lm, ngram_join, packing, pii, quality_classifier, quality_rules, secrets, sketch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.op1_pii,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sketch": sketch.op4_sketch,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_bpe": bpe.op6_bpe,
+    "op7_lm": lm.op7_lm,
     "op8_secrets": secrets.op8_secrets,
     "op9_quality_classifier": quality_classifier.op9_quality_classifier,
     "op10_packing": packing.op10_packing,
