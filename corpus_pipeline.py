@@ -1,19 +1,63 @@
-"""Corpus preparation: the stages in order, each on all that its predecessor kept."""
+"""Corpus preparation: five stages in order, each on all that its predecessor kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quantloom.llm import line_dedup
+from quantloom.llm import line_dedup, ngram_join, packing, pii, quality_classifier
+from quantloom.llm.graph import cut
 
-STAGES = []
+
+def _as(docs: DataFrame, out: DataFrame, text: str) -> DataFrame:
+    """The columns of docs, with text replaced by that column of out and n_chars counted anew."""
+    kept = F.when(out["text"].isNotNull(), out[text])
+    new = {"text": kept, "n_chars": F.length(kept).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    return out.select(*[new[c].alias(c) if new.get(c) is not None else out[c] for c in docs.columns])
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops what the weakly supervised classifier finds poor or toxic."""
+    return quality_classifier.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops repeated long lines from all but the largest document that holds them."""
+    return _as(docs, line_dedup.drop_lines(docs), "ql_kept")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near copies."""
+    return ngram_join.keep_one(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data by the names of its kinds."""
+    return pii.redact(docs)
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the documents into training sequences, one row for each piece."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality", quality),
+    ("lines", lines),
+    ("near_duplicates", near_duplicates),
+    ("personal_data", personal_data),
+    ("sequences", sequences),
+]
 
 #: SQL cannot express the fitted stages; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents. Each stage's result is written to the shared folder before the next reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = cut(docs)
     return docs

@@ -361,7 +361,8 @@ def verified_edges(docs: DataFrame, points: DataFrame, candidates: DataFrame, k:
 
 
 def similar_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, row_key, n_shingles and component_id (the smallest doc_id reachable by links) for each row.
+    """doc_id, row_key, n_shingles, component_id (the smallest doc_id reachable by links) and keeper (whether the
+    row stands for its component; rows without shingles stand for themselves) for each row.
 
     Null and empty texts have no shingles, link with nothing and stand for themselves, as does a text whose
     set no other shares. Repeated rows link with each other through their equal sets; a null doc_id counts
@@ -371,9 +372,26 @@ def similar_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
     links = verified_edges(docs, points, components(candidate_edges(points, percent)), k, percent)
     of = components(links).withColumnRenamed("node", "set")
     mine = seen.select("doc_id", "row_key", F.col("n").alias("n_shingles"), "set").join(of, "set", "left").withColumn("component", F.coalesce("component", "set"))
-    smallest = mine.filter("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
+    smallest = mine.filter("n_shingles > 0").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("least"))
     out = mine.join(smallest, "component", "left")
-    return out.select("doc_id", "row_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    some = F.col("n_shingles") > 0
+    return out.select(
+        "doc_id",
+        "row_key",
+        "n_shingles",
+        F.when(some, F.col("least.doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        (~some | (F.col("row_key") == F.col("least.row_key"))).alias("keeper"),
+    )
+
+
+def keep_one(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """One row of each component, that of the smallest doc_id, with all columns of docs; rows without shingles
+    all stay. Of fully repeated rows one stays, too."""
+    keepers = similar_groups(docs, k, percent).filter("keeper").select(F.col("row_key").alias("ql_key"), (F.col("n_shingles") > 0).alias("ql_some")).distinct()
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("ql_row"), row_key(docs["doc_id"].cast("long"), text).alias("ql_key")).join(keepers, "ql_key")
+    first = F.row_number().over(Window.partitionBy("ql_key").orderBy("ql_row"))
+    return held.withColumn("ql_nth", first).filter("ql_nth = 1 or not ql_some").select("ql_row.*")
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
