@@ -108,15 +108,21 @@ class Scorer:
             raw_score = raw_score / np.maximum(n_words, 1)
         return 1 / (1 + np.exp(-np.clip(self.bias + raw_score, -30, 30)))
 
-    def fit(self, rows: np.ndarray, buckets: np.ndarray, target: np.ndarray, n_words: np.ndarray, lift: float, rounds: int = 1500, penalty: float = 1e-4) -> Scorer:
-        """Proximal gradient descent with an L1 penalty on the features that pass the support and lift screen."""
+    def fit(self, rows: np.ndarray, buckets: np.ndarray, times: np.ndarray, target: np.ndarray, n_words: np.ndarray, lift: float, rounds: int = 1500, penalty: float = 1e-4) -> Scorer:
+        """Proximal gradient descent with an L1 penalty on the features that pass the support and lift screen.
+
+        rows, buckets, times: each feature once for each row that has it."""
         n = len(target)
         row_bits = np.uint64(64 - FEATURE_BITS)
-        pairs = np.unique(buckets << row_bits | rows.astype(np.uint64))
-        held, where = np.unique(pairs >> row_bits, return_inverse=True)
-        positive = np.bincount(where, target[(pairs & np.uint64((1 << (64 - FEATURE_BITS)) - 1)).astype(np.int64)], len(held))
-        del pairs
-        support = np.bincount(where, minlength=len(held)).astype(float)
+        pairs = np.sort(buckets << row_bits | rows.astype(np.uint64))
+        # Pairs are sorted by bucket, so a bucket's rows are a run of them.
+        bucket_of = pairs >> row_bits
+        begin = np.flatnonzero(np.append(True, bucket_of[1:] != bucket_of[:-1])) if len(pairs) else np.zeros(0, np.int64)
+        held = bucket_of[begin]
+        hits = np.concatenate([[0.0], np.cumsum(target[(pairs & np.uint64((1 << int(row_bits)) - 1)).astype(np.int64)])])
+        positive = hits[np.append(begin[1:], len(pairs))] - hits[begin] if len(begin) else np.zeros(0)
+        support = np.diff(np.append(begin, len(pairs))).astype(float)
+        del pairs, bucket_of, hits
         total = target.sum()
         ratio = (positive / max(total, 1e-9)) / np.maximum((support - positive + 0.5) / max(n - total, 1e-9), 1e-12)
         good = (positive >= MIN_SUPPORT) & (ratio >= lift) if lift else support >= MIN_SUPPORT
@@ -127,11 +133,8 @@ class Scorer:
             return self
         i = np.minimum(np.searchsorted(self.buckets, buckets), len(self.buckets) - 1)
         hit = self.buckets[i] == buckets
-        rows, i = rows[hit], i[hit]
-        value = 1 / np.maximum(n_words, 1)[rows] if self.share else np.ones(len(rows))
-        key, inverse = np.unique(rows * len(self.buckets) + i, return_inverse=True)
-        rows, i, value = key // len(self.buckets), key % len(self.buckets), np.bincount(inverse, value)
-        value = value * 10 if self.share else np.minimum(value, 3)
+        rows, i, times = rows[hit], i[hit], times[hit]
+        value = 10 * times / np.maximum(n_words, 1)[rows] if self.share else np.minimum(times, 3).astype(float)
         scale = np.bincount(i, value**2, len(self.buckets))
         step = 1 / (0.25 * (scale + np.sqrt(scale.sum() * scale)) / n + 1e-3)
         w, bias = np.zeros(len(self.buckets)), float(np.log(total / (n - total)))
@@ -198,23 +201,38 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) ->
     return only(docs).join(F.broadcast(drawn), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most).collect()
 
 
-def _joined(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    parts = list(parts)
+def _counted(parts: list[tuple[np.ndarray, np.ndarray]], first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (counted from first), buckets and how often each bucket occurs in its row."""
+    bits = np.uint64(64 - FEATURE_BITS)
+    key, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *(f << bits | r.astype(np.uint64) for r, f in parts)]), return_counts=True)
+    return (key & np.uint64((1 << int(bits)) - 1)).astype(np.int32) + np.int32(first), key >> bits, times.astype(np.int32)
+
+
+def _joined(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     if not parts:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate([r for r, _ in parts]), np.concatenate([b for _, b in parts])
+        return np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros(0, np.int32)
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> tuple[Scorer, Scorer]:
     """Scorers of poor and of toxic texts."""
     rows = labelled_rows(docs, labels, most)
-    data, offsets = raw(pa.array([r["text"] for r in rows], pa.large_string()))
     toxic_label = np.array([-1 if r["toxic"] is None else r["toxic"] for r in rows], int)
     poor_label = np.array([-1 if r["quality"] is None else 1 - r["quality"] for r in rows], int)
-    n_words = np.diff(word_hashes(data, offsets)[1])
-    features = _joined(wordings(data, offsets))
+    texts = pa.RecordBatch.from_arrays([pa.array([r["text"] for r in rows], pa.large_string())], ["text"])
+    del rows
+    # The hashed features of all training rows, made a part at a time.
+    found, n_words, own_poor_votes = {wordings: [], shapes: []}, [np.zeros(0, np.int64)], [np.zeros((0, len(POOR) - 1), np.int8)]
+    for part in chunks(texts):
+        d, o = raw(part.column("text"))
+        at = sum(map(len, n_words))
+        for kind, parts in found.items():
+            parts.append(_counted(list(kind(d, o)), at))
+        n_words.append(np.diff(word_hashes(d, o)[1]))
+        own_poor_votes.append(poor_votes(d, o))
+    n_words = np.concatenate(n_words)
+    features, shape_features = _joined(found[wordings]), _joined(found[shapes])
     lexicon = Scorer().fit(*features, (toxic_label == 1).astype(float), n_words, MIN_LIFT)
-
     one = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col("quality").cast("int")).alias("quality"), F.max(F.col("toxic").cast("int")).alias("toxic"))
     # Votes meet labels, both narrow; texts stay where they are.
     voted = map_arrow(only(docs), _voter(lexicon), "doc_id long, votes string")
@@ -225,9 +243,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> tuple[S
     tox = np.column_stack([heuristics[:, n_poor:], [-1 if r["toxic"] is None else r["toxic"] for r in patterns]]) if patterns else np.zeros((0, len(TOXIC)), int)
     counts = np.array([r["count"] for r in patterns], float)
     scorers = []
-    own_poor = np.column_stack([poor_votes(data, offsets), poor_label])
-    own_toxic = np.column_stack([toxic_votes(data, offsets, lexicon), toxic_label])
-    for votes, own, parts, lift, share in ((poor, own_poor, _joined(shapes(data, offsets)), 0.0, True), (tox, own_toxic, features, MIN_LIFT, False)):
+    own_poor = np.column_stack([np.concatenate(own_poor_votes), poor_label])
+    own_toxic = np.column_stack([np.concatenate([np.zeros((0, len(TOXIC) - 1), np.int8), *(toxic_votes(*raw(part.column("text")), lexicon) for part in chunks(texts))]), toxic_label])
+    for votes, own, parts, lift, share in ((poor, own_poor, shape_features, 0.0, True), (tox, own_toxic, features, MIN_LIFT, False)):
         posterior, _, _ = expectation_maximisation(votes, counts)
         of = {tuple(v): q for v, q in zip(votes.tolist(), posterior, strict=True)}
         target = np.array([of.get(tuple(v), 0.0) for v in own.tolist()])
