@@ -162,10 +162,10 @@ def score(docs: DataFrame, vocabulary: int = VOCABULARY, hidden: int = HIDDEN, f
     folded = with_fold(docs)
     training = folded.filter(~F.col("held_out"))
     counts = cut(word_counts(training))
-    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    n_all, v_all = int(total["n"]), int(total["v"])
+    end = F.coalesce(F.sum(F.when(F.col("word") == END_KEY, F.col("c"))), F.lit(0))
+    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), end.alias("ends")).first()
+    n_all, v_all, ends = int(total["n"]), int(total["v"]), int(total["ends"])
     known = frequent_words(counts, vocabulary, frequent)
-    ends = int(known.counts[known.words == np.uint64(END_KEY)].sum())
     n_tail = n_all - ends - int(known.top_counts.sum())
     v_tail = v_all - (1 if ends else 0) - len(known.top_counts)
     start = Gru.fresh(np.concatenate([[max(ends, 1), n_tail + 1], known.top_counts]).astype(float), hidden)
