@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -27,14 +27,17 @@ from quantloom.llm.text import chunks, documents, map_arrow, mix, only, raw, win
 
 SHINGLE = 5
 PERCENT = 80
+#: Groups of a small set's point. From twice as many shingles on, a point has as many groups as the greatest power
+#: of two up to half its shingles, so that a group holds two to five and the bound stays sharp for long texts, too.
 GROUPS = 128
 #: Occurrences within one run of a task that report a shingle as frequent, and the most that an order holds.
 #: Both only shape the order of shingles; any order gives the same links.
-FREQUENT_IN_RUN = 8
+FREQUENT_IN_RUN = 6
 FREQUENT_MOST = 200_000
-RUN_SHINGLES = 4_000_000
-#: Points of one tree; a larger shard is dealt to pairs of blocks.
+RUN_SHINGLES = 2_000_000
+#: Points of one tree, and shingles verified together; a larger shard is dealt to pairs of blocks.
 BLOCK = 20_000
+BLOCK_SHINGLES = 4_000_000
 #: Bits of the filter that says whose sets are needed for verification (2 MB; it only saves shuffling).
 FILTER_BITS = 24
 FANOUT = 16
@@ -51,13 +54,43 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tup
     return hashed[new], np.searchsorted(row[new], np.arange(len(begin)))
 
 
-def vectors(hashed: np.ndarray, first: np.ndarray, groups: int = GROUPS) -> tuple[np.ndarray, np.ndarray]:
+def groups_of(n: np.ndarray) -> np.ndarray:
+    """Groups of points of sets of n shingles: powers of two."""
+    return np.maximum(GROUPS, 1 << np.maximum(np.frexp(np.maximum(n, 1))[1].astype(np.int64) - 2, 0))
+
+
+def vectors(hashed: np.ndarray, first: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
     """Group counts of each row, cut at 255, and the sum of what was cut (the bound takes it into account)."""
     rows = len(first) - 1
     row = np.repeat(np.arange(rows), np.diff(first))
-    group = (mix(hashed) % np.uint64(groups)).astype(np.int64)
-    count = np.bincount(row * groups + group, minlength=rows * groups).reshape(rows, groups)
-    return np.minimum(count, 255).astype(np.uint8), np.maximum(count - 255, 0).sum(axis=1)
+    group = (mix(hashed) & np.uint64(groups - 1)).astype(np.int64)
+    return cut_counts(np.bincount(row * groups + group, minlength=rows * groups).reshape(rows, groups))
+
+
+def cut_counts(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.minimum(count, 255).astype(np.uint8), np.maximum(count.astype(np.int64) - 255, 0).sum(axis=-1)
+
+
+def packed_points(hashed: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """Each row's overflow (4 bytes) and its point, in its own number of groups."""
+    size = groups_of(np.diff(first))
+    begin = np.concatenate([[0], np.cumsum(size)])
+    row = np.repeat(np.arange(len(size)), np.diff(first))
+    count = np.bincount(begin[row] + (mix(hashed) & (size[row] - 1).astype(np.uint64)).astype(np.int64), minlength=begin[-1])
+    over = np.diff(np.concatenate([[0], np.cumsum(np.maximum(count - 255, 0))])[begin]).astype("<i4")
+    point = np.minimum(count, 255).astype(np.uint8)
+    return [o.tobytes() + point[a:b].tobytes() for o, a, b in zip(over, begin[:-1], begin[1:], strict=True)]
+
+
+def unpacked_points(packed: list[bytes], groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """Points folded to the given number of groups, and their overflow; groups are taken by the hash's low bits,
+    so folding adds up the parts of a longer point."""
+    point, over = np.empty((len(packed), groups), np.uint8), np.empty(len(packed), np.int64)
+    for i, x in enumerate(packed):
+        body = np.frombuffer(x, np.uint8, offset=4)
+        point[i], more = (body, 0) if len(body) == groups else cut_counts(body.reshape(-1, groups).sum(axis=0, dtype=np.int64))
+        over[i] = int.from_bytes(x[:4], "little") + more
+    return point, over
 
 
 def frequent_shingles(docs: DataFrame, k: int = SHINGLE) -> np.ndarray:
@@ -112,8 +145,6 @@ def sketches(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataF
                     hashed_in_order = hashed
                 size = np.where(n > 0, n - needed(n, percent) + 1, 0)
                 at = np.arange(size.sum()) + np.repeat(first[:-1] - np.concatenate([[0], np.cumsum(size)[:-1]]), size)
-                point, over = vectors(hashed, first)
-                packed = np.concatenate([over.astype("<i4").view(np.uint8).reshape(-1, 4), point], axis=1)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
@@ -121,7 +152,7 @@ def sketches(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataF
                         pa.array(n.astype(np.int64)),
                         pa.array(of.view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(hashed_in_order[at].view(np.int64))),
-                        pa.array([x.tobytes() for x in packed], pa.binary()),
+                        pa.array(packed_points(hashed, first), pa.binary()),
                     ],
                     ["doc_id", "row_key", "n", "set", "prefix", "vector"],
                 )
@@ -223,24 +254,49 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both) and both > 0
 
 
+class Overlaps:
+    """Exact overlaps of one set with many. Shingles that only one set holds cannot overlap; the others are
+    numbered, and each set is a row of bits. A matrix that would be too large gives way to searches by pair."""
+
+    def __init__(self, sets: list[np.ndarray], most_bytes: int = 64 << 20) -> None:
+        self.sets, self.bits = sets, None
+        every = np.sort(np.concatenate(sets))
+        again = every[1:] == every[:-1]
+        shared = every[1:][again & ~np.append(False, again[:-1])]
+        del every
+        words = -(-len(shared) // 64)
+        if len(sets) * words * 8 <= most_bytes:
+            self.bits = np.zeros((len(sets), max(words, 1)), np.uint64)
+            for i, x in enumerate(sets if len(shared) else ()):
+                at = np.minimum(np.searchsorted(shared, x), len(shared) - 1)
+                at = at[shared[at] == x]
+                np.bitwise_or.at(self.bits[i], at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+
+    def of(self, i: int, others: np.ndarray) -> np.ndarray:
+        if self.bits is not None:
+            return np.bitwise_count(self.bits[others] & self.bits[i]).sum(axis=1, dtype=np.int64)
+        x = self.sets[i]
+        return np.array([int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum()) for y in (self.sets[j] for j in others)])
+
+
 def verified_components(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
     """Labels of the components of all true links; sets come by size. Pairs inside a component are skipped."""
     n = len(sets)
-    size = np.array([len(s) for s in sets], np.int64)
     if n == 2:
         return np.array([0, 0 if linked(*sets, percent) else 1])
-    first = np.concatenate([[0], np.cumsum(size)])
-    point, over = vectors(np.concatenate(sets) if n else np.zeros(0, np.uint64), first)
-    union = Union(n)
+    size = np.array([len(s) for s in sets], np.int64)
+    groups = int(groups_of(size[:1])[0])  # of the smallest set
+    parts = [vectors(s, np.array([0, len(s)]), groups) for s in sets]
+    point, over = np.concatenate([p for p, _ in parts]), np.concatenate([o for _, o in parts])
+    union, overlaps = Union(n), Overlaps(sets)
     for i in range(1, n):
         from_ = int(np.searchsorted(size[:i], -(-percent * size[i] // 100)))
-        near = np.flatnonzero(may_link(point[from_:i], over[from_:i], size[from_:i], point[i], over[i], size[i], percent)) + from_
-        while len(near := near[union.of[near] != union.of[i]]):
-            # A component's members are tried nearest in size first; one link settles the component.
-            j = near[-1]
-            if linked(sets[j], sets[i], percent):
+        other = np.flatnonzero(union.of[from_:i] != union.of[i]) + from_
+        near = other[may_link(point[other], over[other], size[other], point[i], over[i], size[i], percent)]
+        if len(near):
+            both = overlaps.of(i, near)
+            for j in near[(both > 0) & (100 * both >= percent * (size[near] + size[i] - both))]:
                 union.merge(int(j), i)
-            near = near[:-1]
     return union.of
 
 
@@ -267,22 +323,27 @@ def groups(batches: Iterator[pa.RecordBatch], key: list[str], most: int = 50_000
             b = bounds(table)
             if len(b) > 2:
                 yield table.slice(0, b[-2]), b[:-1]
-                held = table.slice(b[-2]).to_batches()
+                # A copy, so that what was yielded can go.
+                held = table.take(pa.array(np.arange(b[-2], table.num_rows))).to_batches()
             size = 0
+            del table
     if held:
         table = pa.Table.from_batches(held).combine_chunks()
         yield table, bounds(table)
 
 
-def dealt(df: DataFrame, key: str, count: str) -> DataFrame:
-    """df with columns i and j: a group of up to BLOCK rows is one block; a larger one is cut into blocks by
-    the hash of set, and each row goes to every pair of blocks that has its own, so all pairs of rows meet."""
-    blocks = F.ceil(F.col(count) / BLOCK).cast("int")
+def dealt(df: DataFrame, blocks: Column) -> DataFrame:
+    """df with columns i and j: a group of one block stays whole; a larger one is cut into blocks by the hash of
+    set, and each row goes to every pair of blocks that has its own, so all pairs of rows meet."""
     own = F.pmod(F.xxhash64("set", F.lit(7)), blocks).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda x: F.struct(F.least(own, x).alias("i"), F.greatest(own, x).alias("j")))
     # In a group of several blocks the pair of a block with itself is in each of its other pairs.
     pairs = F.filter(pairs, lambda x: (blocks == 1) | (x["i"] != x["j"]))
-    return df.withColumn("pair", F.explode(pairs)).select("*", "pair.i", "pair.j").drop("pair", count)
+    return df.withColumn("pair", F.explode(pairs)).select("*", "pair.i", "pair.j").drop("pair")
+
+
+def _blocks(count: Column, most: int) -> Column:
+    return F.greatest(F.lit(1), F.ceil(count / most)).cast("int")
 
 
 STAR = "a long, b long"
@@ -297,24 +358,28 @@ def candidate_edges(points: DataFrame, percent: int = PERCENT) -> DataFrame:
         "set", "n", F.count(F.lit(1)).over(shard).alias("members"), F.bit_xor(F.xxhash64("set")).over(shard).alias("x"), F.bit_xor(F.xxhash64("set", F.lit(1))).over(shard).alias("y")
     ).filter("members > 1")
     shards = sized.groupBy(F.xxhash64("x", "y", "members").alias("shard"), "set").agg(F.first("n").alias("n"), F.first("members").alias("members"))
-    rows = dealt(shards, "shard", "members").join(points.select("set", "vector"), "set")
-    rows = rows.repartition("shard", "i", "j").sortWithinPartitions("shard", "i", "j", "n", "set").select("shard", "i", "j", "n", "set", "vector")
+    # Only sets of like size can link, and their points are folded to like length: a shard is cut into octaves of
+    # the size, and a set goes to its own octave and to that of the smallest set that it could link to.
+    octave = lambda c: F.length(F.bin(c)) - 1
+    least = F.ceil(F.col("n") * percent / 100).cast("long")
+    shards = shards.withColumn("octave", F.explode(F.array_distinct(F.array(octave(F.col("n")), octave(least)))))
+    alone = F.count(F.lit(1)).over(Window.partitionBy("shard", "octave"))
+    shards = shards.withColumn("members", alone).filter("members > 1")
+    order = ["shard", "octave", "i", "j", "n", "set"]
+    rows = dealt(shards, _blocks(F.col("members"), BLOCK)).join(points.select("set", "vector"), "set")
+    rows = rows.repartition("shard", "octave", "i", "j").sortWithinPartitions(*order).select(*order, "vector")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, at in groups(batches, ["shard", "i", "j"]):
-            ids, size = table.column("set").to_numpy(), table.column("n").to_numpy()
-            width = 4 + GROUPS
-            body = np.frombuffer(b"".join(table.column("vector").to_pylist()), np.uint8).reshape(-1, width)
-            over, point = body[:, :4].copy().view("<i4").ravel().astype(np.int64), body[:, 4:]
-            pairs = at[:-1][np.diff(at) == 2]
-            ok = may_link(point[pairs], over[pairs], size[pairs], point[pairs + 1], over[pairs + 1], size[pairs + 1], percent)
-            a, b = [ids[pairs[ok]]], [ids[pairs[ok] + 1]]
+        for table, at in groups(batches, ["shard", "octave", "i", "j"], 5_000):
+            ids, size, octaves = (table.column(c).to_numpy() for c in ("set", "n", "octave"))
+            packed = table.column("vector").to_pylist()
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for s, e in zip(at[:-1], at[1:], strict=True):
-                if e - s > 2:
-                    of = bound_components(point[s:e], over[s:e], size[s:e], percent)
-                    other = of != np.arange(e - s)
-                    a.append(ids[s:e][of[other]])
-                    b.append(ids[s:e][other])
+                point, over = unpacked_points(packed[s:e], int(groups_of(np.array([1 << octaves[s]]))[0]))
+                of = bound_components(point, over, size[s:e], percent)
+                other = of != np.arange(e - s)
+                a.append(ids[s:e][of[other]])
+                b.append(ids[s:e][other])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
     return map_arrow(rows, run, STAR).distinct()
@@ -341,12 +406,12 @@ def verified_edges(docs: DataFrame, points: DataFrame, candidates: DataFrame, k:
                 yield pa.RecordBatch.from_arrays([part.column("row_key"), pa.array([hashed[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["row_key", "shingles"])
 
     sets = map_arrow(base.select("row_key", "text"), pick, "row_key long, shingles binary").dropDuplicates(["row_key"])
-    counted = of.join(of.groupBy("shard").agg(F.count(F.lit(1)).alias("members")), "shard")
-    rows = dealt(counted, "shard", "members").join(sets, "row_key")
+    weight = of.groupBy("shard").agg(F.greatest(_blocks(F.count(F.lit(1)), BLOCK), _blocks(F.sum("n"), BLOCK_SHINGLES)).alias("blocks"))
+    rows = dealt(of.join(weight, "shard"), F.col("blocks")).join(sets, "row_key")
     rows = rows.repartition("shard", "i", "j").sortWithinPartitions("shard", "i", "j", "n", "set").select("shard", "i", "j", "set", "shingles")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, at in groups(batches, ["shard", "i", "j"], 5_000):
+        for table, at in groups(batches, ["shard", "i", "j"], 1_000):
             ids, body = table.column("set").to_numpy(), table.column("shingles")
             a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for s, e in zip(at[:-1], at[1:], strict=True):

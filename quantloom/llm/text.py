@@ -6,6 +6,7 @@ sequence, so the byte view and the code point view find the same words.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -35,9 +36,24 @@ def only(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 
+def give_back() -> None:
+    """Returns freed memory to the machine: workers are reused, and one stage's peak would stay for the next."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            give_back()
+
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(run, schema)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -120,7 +136,7 @@ def windows(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
     return mix(out), begin
 
 
-def chunks(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def chunks(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of about ``most`` text bytes (a longer text makes a slice of its own)."""
     if not batch.num_rows:
         return
