@@ -54,8 +54,8 @@ def expanding(panel: DataFrame, features: list[str], name: str, make, test_from:
     return out
 
 
-def permutation_importance(model, rows: DataFrame, features: list[str], bench: float, seed: int = 42, target: str = "ret_exc") -> DataFrame:  # noqa: ANN001
-    """Loss of R2 when one feature is dealt anew among the rows, for each feature.
+def permutation_importance(model, rows: DataFrame, features: list[str], bench: float, which: list[str] | None = None, seed: int = 42, target: str = "ret_exc") -> DataFrame:  # noqa: ANN001
+    """Loss of R2 when one feature is dealt anew among the rows, for each feature of which (all by default).
 
     The n-th row takes the feature of the n-th row in another hashed order: a join on row numbers, one for each
     feature, over the bounded sample that importance is measured on."""
@@ -63,7 +63,7 @@ def permutation_importance(model, rows: DataFrame, features: list[str], bench: f
     keyed = rows.select("permno", "date", target, *features).withColumn("n", F.row_number().over(Window.orderBy(F.xxhash64("permno", "date", F.lit(seed)), "permno", "date")))
     base = r2(model.transform(vectors(keyed, features)), bench, target)
     out = []
-    for i, f in enumerate(features):
+    for i, f in enumerate(which or features):
         order = Window.orderBy(F.xxhash64("permno", "date", F.lit(seed + 1 + i)), "permno", "date")
         dealt = keyed.select(F.row_number().over(order).alias("n"), F.col(f).alias("ql_new"))
         mixed = keyed.join(dealt, "n").withColumn(f, F.col("ql_new"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.exprs import at_least, nonzero, ratio
@@ -54,13 +54,16 @@ def turnover(held: DataFrame) -> DataFrame:
     return dates.join(moved, ["model", "i"]).select("model", "date", F.when(F.col("i") == 1, 0.0).otherwise(F.col("turnover")).alias("turnover"))
 
 
-def monthly_costs(held: DataFrame, spread: str, method: str) -> DataFrame:
-    """Gross return, mean spread, turnover, cost and net return of each model and date."""
-    weighted: Column = F.sum(F.col("abs_w") * F.col(spread)) / F.sum("abs_w")
-    gross = held.groupBy("model", "date").agg(F.coalesce(F.sum(F.col("signed_w") * F.col("ret_exc")), F.lit(0.0)).alias("gross_ls_ret"), weighted.alias("avg_one_way_spread_bps"))
-    out = gross.join(turnover(held), ["model", "date"])
+def monthly_costs(held: DataFrame, spreads: dict[str, str]) -> DataFrame:
+    """Gross return, mean spread, turnover, cost and net return of each model and date, for each method.
+
+    spreads: the spread column of each method. Returns and turnover are worked out once for all methods."""
+    weighted = {m: (F.sum(F.col("abs_w") * F.col(c)) / F.sum("abs_w")).alias(f"ql_{m}") for m, c in spreads.items()}
+    gross = held.groupBy("model", "date").agg(F.coalesce(F.sum(F.col("signed_w") * F.col("ret_exc")), F.lit(0.0)).alias("gross_ls_ret"), *weighted.values())
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("tc_method"), F.col(f"ql_{m}").alias("avg_one_way_spread_bps")) for m in spreads]))
+    out = gross.join(turnover(held), ["model", "date"]).withColumn("ql_each", each).select("model", "date", "gross_ls_ret", "turnover", "ql_each.*")
     out = out.withColumn("tc_cost", F.col("turnover") * F.col("avg_one_way_spread_bps") / 10000.0)
-    return out.withColumn("net_ls_ret", F.col("gross_ls_ret") - F.col("tc_cost")).withColumn("tc_method", F.lit(method))
+    return out.withColumn("net_ls_ret", F.col("gross_ls_ret") - F.col("tc_cost"))
 
 
 def cost_summary(monthly: DataFrame, factors: DataFrame | None = None) -> DataFrame:

@@ -471,11 +471,8 @@ def held(spark: SparkSession, sf_dir: str) -> DataFrame:
 def net(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kept, too: a row for each method, model and month, which several summaries read."""
     h = held(spark, sf_dir)
-    return _net(h).persist()
-
-
-def _net(h: DataFrame) -> DataFrame:
-    return costs.monthly_costs(costs.fixed_spread(h), "spread_bps_fixed", "fixed").unionByName(costs.monthly_costs(costs.illiquidity_spread(h), "spread_bps_amihud", "amihud"))
+    both = costs.illiquidity_spread(costs.fixed_spread(h))
+    return costs.monthly_costs(both, {"fixed": "spread_bps_fixed", "amihud": "spread_bps_amihud"}).persist()
 
 
 @register("signed_weights", O.sql(f"SELECT permno, {O.text_dates('date')}, model, decile, {O.rounded(['signed_w'])} FROM held"))
@@ -661,7 +658,7 @@ def perm_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _panel(spark, sf_dir)
     model = trees.forest(2, trees=10, least_leaf=20).fit(trees.vectors(p.filter(F.year("date") < HOLD_OUT_FROM), LINEAR_FEATURES))
     sample = trees.importance_sample(p.filter(F.year("date") >= HOLD_OUT_FROM)).cache()
-    return trees.permutation_importance(model, sample, LINEAR_FEATURES[:4], BENCH)
+    return trees.permutation_importance(model, sample, LINEAR_FEATURES, BENCH, LINEAR_FEATURES[:4])
 
 
 @register("nn_expanding")
