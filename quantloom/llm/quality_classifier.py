@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.llm.quality_rules import _LETTER, Rows, duplicate_lines, exclaiming, many_symbols, mostly_digits, per_row, shouting, statistics
-from quantloom.llm.text import _BYTE_KEYS, _LOWER, _POWERS, chunks, documents, map_arrow, mix, only, raw, word_hashes, word_spans
+from quantloom.llm.text import _BYTE_KEYS, _LOWER, _POWERS, chunks, documents, give_back, map_arrow, mix, only, raw, word_hashes, word_spans
 
 #: Labelled rows, by hash order, from which wordings are learnt and on which the scorers are trained.
 TRAIN_ROWS = 12_000
@@ -231,7 +231,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> tuple[S
         n_words.append(np.diff(word_hashes(d, o)[1]))
         own_poor_votes.append(poor_votes(d, o))
     n_words = np.concatenate(n_words)
-    features, shape_features = _joined(found[wordings]), _joined(found[shapes])
+    features, shape_features = _joined(found.pop(wordings)), _joined(found.pop(shapes))
+    give_back()
     lexicon = Scorer().fit(*features, (toxic_label == 1).astype(float), n_words, MIN_LIFT)
     one = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col("quality").cast("int")).alias("quality"), F.max(F.col("toxic").cast("int")).alias("toxic"))
     # Votes meet labels, both narrow; texts stay where they are.
@@ -250,6 +251,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> tuple[S
         of = {tuple(v): q for v, q in zip(votes.tolist(), posterior, strict=True)}
         target = np.array([of.get(tuple(v), 0.0) for v in own.tolist()])
         scorers.append(Scorer(share=share).fit(*parts, target, n_words, lift))
+    del features, shape_features, found, texts
+    give_back()
     return scorers[0], scorers[1]
 
 
