@@ -349,24 +349,28 @@ def _blocks(count: Column, most: int) -> Column:
 STAR = "a long, b long"
 
 
-def candidate_edges(points: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Spanning stars, within each shard, of the pairs that the trees' bound allows."""
+def shard_rows(points: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """shard, octave, set, n, members: each set of at least two in a shard of like sizes."""
     keyed = points.select("set", "n", F.explode("prefix").alias("key"))
     shard = Window.partitionBy("key")
     # A shard is known by its members: shards with the same members are searched once.
     sized = keyed.select(
         "set", "n", F.count(F.lit(1)).over(shard).alias("members"), F.bit_xor(F.xxhash64("set")).over(shard).alias("x"), F.bit_xor(F.xxhash64("set", F.lit(1))).over(shard).alias("y")
     ).filter("members > 1")
-    shards = sized.groupBy(F.xxhash64("x", "y", "members").alias("shard"), "set").agg(F.first("n").alias("n"), F.first("members").alias("members"))
+    shards = sized.groupBy(F.xxhash64("x", "y", "members").alias("shard"), "set").agg(F.first("n").alias("n"))
     # Only sets of like size can link, and their points are folded to like length: a shard is cut into octaves of
     # the size, and a set goes to its own octave and to that of the smallest set that it could link to.
     octave = lambda c: F.length(F.bin(c)) - 1
     least = F.ceil(F.col("n") * percent / 100).cast("long")
     shards = shards.withColumn("octave", F.explode(F.array_distinct(F.array(octave(F.col("n")), octave(least)))))
     alone = F.count(F.lit(1)).over(Window.partitionBy("shard", "octave"))
-    shards = shards.withColumn("members", alone).filter("members > 1")
+    return shards.select("shard", "octave", "set", "n", alone.alias("members")).filter("members > 1")
+
+
+def search(rows: DataFrame, points: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Spanning stars, within each shard of rows, of the pairs that the trees' bound allows."""
     order = ["shard", "octave", "i", "j", "n", "set"]
-    rows = dealt(shards, _blocks(F.col("members"), BLOCK)).join(points.select("set", "vector"), "set")
+    rows = dealt(rows, _blocks(F.col("members"), BLOCK)).join(points.select("set", "vector"), "set")
     rows = rows.repartition("shard", "octave", "i", "j").sortWithinPartitions(*order).select(*order, "vector")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -385,6 +389,22 @@ def candidate_edges(points: DataFrame, percent: int = PERCENT) -> DataFrame:
     return map_arrow(rows, run, STAR).distinct()
 
 
+def candidate_edges(points: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Spanning stars that connect every pair that a shard holds and the trees' bound allows.
+
+    Members of a large group meet in shards by the dozen. Each set's largest shard is searched first; of the
+    others, only those whose members that search did not connect need their points sent, too."""
+    rows = cut(shard_rows(points, percent))
+    largest = F.row_number().over(Window.partitionBy("set", "octave").orderBy(F.desc("members"), "shard"))
+    first = rows.select("shard", "octave", largest.alias("place")).filter("place = 1").select("shard", "octave").distinct()
+    early = cut(search(rows.join(first, ["shard", "octave"]), points, percent))
+    known = components(early).withColumnRenamed("node", "set")
+    named = rows.join(first, ["shard", "octave"], "left_anti").join(known, "set", "left").withColumn("component", F.coalesce("component", "set"))
+    whole = Window.partitionBy("shard", "octave")
+    mixed = named.withColumn("low", F.min("component").over(whole)).withColumn("high", F.max("component").over(whole)).filter("low <> high")
+    return early.unionByName(search(mixed.select("shard", "octave", "set", "n", "members"), points, percent))
+
+
 def verified_edges(docs: DataFrame, points: DataFrame, candidates: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Spanning stars of the true links within each component of the candidates."""
     of = candidates.join(points.select(F.col("set").alias("node"), "row_key", "n"), "node").select("row_key", "n", F.col("node").alias("set"), F.col("component").alias("shard"))
