@@ -33,7 +33,7 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ASSIGN_WORDS = ("passw", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-_NOVEL = re.compile(rf"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{{{MIN_CHARS},512}}+(?![A-Za-z0-9+/_=.-])")
+_NOVEL = re.compile(rf"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{{{MIN_CHARS},}}+(?![A-Za-z0-9+/_=.-])")
 _SENSITIVE_WORDS = ("key", "secret", "token", "auth", "credential", "passw", "pwd", "bearer", "private", "session", "signature", "cookie")
 _SENSITIVE = re.compile("|".join(_SENSITIVE_WORDS), re.I | re.A)
 

@@ -111,6 +111,17 @@ def test_secrets(docs, empty):
     assert secrets.novelty("key getUserAccountConnectionParameters", 4, 38) < secrets.novelty("key wJ4lrXUtnF3MIK7MDENGbPxRfiCYzE9Q0k", 4, 38)
 
 
+def random_word(n, seed=5, letters="ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"):
+    return "".join(np.random.default_rng(seed).choice(list(letters), n))
+
+
+def test_secrets_of_any_length():
+    for n in (40, 512, 513, 900, 20_000):
+        text = f"Authorization: Bearer {random_word(n)} and on"
+        assert ("novel", 22, 22 + n) in secrets.find_all(text)[1], n
+    assert not secrets.find_all(f"the session cookie is {'path/to/file1/' * 100} and on")[1]
+
+
 def test_quality_rules(docs, empty):
     got = quality_rules.judge(docs).collect()
     same([r[:7] for r in got], [(d, *brute.statistics(t)) for d, t in ROWS])
