@@ -106,7 +106,8 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     digit, out = bool(_DIGIT.search(text)), []
     for kind, pattern in _LOOSE:
         if kind == "email":
-            if "@" in text or "at)" in text or "at]" in text:
+            low = text.lower()  # the pattern takes either case
+            if "@" in low or "(at)" in low or "[at]" in low:
                 out += [(kind, *m.span()) for m in pattern.finditer(text)]
         elif digit:
             out += [(kind, *m.span()) for m in pattern.finditer(text)]

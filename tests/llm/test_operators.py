@@ -98,6 +98,14 @@ def test_pii_model_tells_look_alikes_apart():
     assert any(k == "ssn" for k, _, _ in found[0][1]) and not any(k == "ssn" for k, _, _ in found[1][1])
 
 
+def test_pii_finds_addresses_in_any_case():
+    judge = pii.model()
+    for at, dot in (("(at)", "(dot)"), ("(AT)", "(DOT)"), ("[AT]", "[DOT]"), ("(At)", "."), ("[aT]", ".")):
+        text = f"please write to JOHN.DOE {at} EXAMPLE {dot} COM for more"
+        spans = pii.find_all([text], judge)[0][1]
+        assert pii.redacted(text, spans) == "please write to <EMAIL> for more", (at, dot)
+
+
 def test_secrets(docs, empty):
     got = secrets.scan(docs).collect()
     want = []
