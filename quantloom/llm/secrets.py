@@ -64,11 +64,24 @@ def _compressor() -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(dict_data=words, write_checksum=False, write_content_size=False)
 
 
+def _blanked(near: str, word: str) -> str:
+    """near with spaces for all that stands in word, too, in pieces of MIN_CHARS or more: copies, whole or in part."""
+    out, shown = "", 0
+    for i in range(len(near) - MIN_CHARS + 1):
+        if near[i : i + MIN_CHARS] in word:
+            out += near[shown:i] + " " * (i + MIN_CHARS - max(shown, i))
+            shown = i + MIN_CHARS
+    return out + near[shown:]
+
+
 def novelty(text: str, start: int, end: int) -> float:
-    """Marginal compressed bits per character of text[start:end] beside what surrounds it."""
-    around = f"{text[max(0, start - CONTEXT_CHARS) : start]}\n{text[end : end + CONTEXT_CHARS]}\n"
+    """Marginal compressed bits per character of text[start:end] beside what surrounds it, other copies left out."""
+    word, far = text[start:end], CONTEXT_CHARS + MIN_CHARS  # a copy that the context cuts is known by what lies outside
+    before = _blanked(text[max(0, start - far) : start], word)[-CONTEXT_CHARS:]
+    after = _blanked(text[end : end + far], word)[:CONTEXT_CHARS]
+    around = f"{before}\n{after}\n"
     c = _compressor().compress
-    return 8 * (len(c((around + text[start:end]).encode())) - len(c(around.encode()))) / (end - start)
+    return 8 * (len(c((around + word).encode())) - len(c(around.encode()))) / (end - start)
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -88,9 +101,6 @@ def novel_spans(text: str, known: list[tuple[str, int, int]]) -> list[tuple[str,
     out = []
     for m in _NOVEL.finditer(text):
         s, e = m.span()
-        word = m.group()
-        if not any(c.isdigit() for c in word) or not any(c.isalpha() for c in word):
-            continue
         if any(s < b and a < e for _, a, b in known) or not _SENSITIVE.search(text, max(0, s - SENSITIVE_CHARS), s):
             continue
         if novelty(text, s, e) >= MIN_BITS:

@@ -130,6 +130,26 @@ def test_secrets_of_any_length():
     assert not secrets.find_all(f"the session cookie is {'path/to/file1/' * 100} and on")[1]
 
 
+def test_secrets_that_stand_twice():
+    for word in (random_word(40), random_word(16) + "1", random_word(600)):
+        for gap in (" is replaced, the new key is ", f" {PROSE[:200]} and the key is "):
+            text = f"{PROSE} the old key is {word}{gap}{word} {PROSE}"
+            first, again = text.index(word), text.rindex(word)
+            found = [("novel", first, first + len(word)), ("novel", again, again + len(word))]
+            assert secrets.find_all(text)[1] == found, (len(word), gap)
+    word = random_word(40)
+    text = f"{PROSE} the old key is key={word} and the new key is {word} {PROSE}"
+    assert len(secrets.find_all(text)[1]) == 2
+    assert secrets._blanked(f"x {word} {word[:20]} {word[:15]} y", word) == f"x {' ' * 61} {word[:15]} y"
+
+
+def test_secrets_of_letters_only():
+    for word in (random_word(40, letters="ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"), random_word(40, letters="ABCDEFGHIJKLMNOPQRSTUVWXYZ")):
+        assert [k for k, *_ in secrets.find_all(f"{PROSE} private key is {word} {PROSE}")[1]] == ["novel"]
+    for word in ("authentication/authorization", "-" * 40):
+        assert not secrets.find_all(f"{PROSE} private key is {word} {PROSE}")[1], word
+
+
 def test_quality_rules(docs, empty):
     got = quality_rules.judge(docs).collect()
     same([r[:7] for r in got], [(d, *brute.statistics(t)) for d, t in ROWS])
