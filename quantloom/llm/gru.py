@@ -1,8 +1,9 @@
 """A small gated recurrent language model in numpy with a class-factored output.
 
 Output words are sorted by frequency into classes of equal size; a word's probability is that of its class
-times its own within the class, so a step costs the number of classes and of one class's words. Class 0 holds
-the end of a text and the tail: all words outside the output vocabulary.
+times its own within the class, so a step costs the number of classes and of one class's words, about twice the
+root of the vocabulary. Class 0 holds the end of a text and the tail, which pads lanes. Further words, dealt to
+buckets, are words of the model themselves.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 
 END, TAIL = 0, 1
+#: Words of a class at least; large vocabularies have larger classes.
 CLASS_SIZE = 32
 #: Words of one pass through the output layer, whose logits stay in cache.
 OUTPUT_ROWS = 16_384
@@ -39,8 +41,9 @@ class Gru:
     def fresh(counts: np.ndarray, hidden: int, seed: int = 11) -> Gru:
         """counts: training counts of END, TAIL and each vocabulary word. Starts as the unigram model."""
         words = len(counts) - 2
-        classes = 1 + -(-words // CLASS_SIZE)
-        table = np.full((classes, CLASS_SIZE), _NONE)
+        size = max(CLASS_SIZE, 1 << round(np.log2(max(words, 1)) / 2))
+        classes = 1 + -(-words // size)
+        table = np.full((classes, size), _NONE)
         log = np.log(np.maximum(counts, 0.5))
         table[0, :2] = log[:2]
         table[1:].ravel()[:words] = log[2:]
@@ -56,7 +59,7 @@ class Gru:
                 "wh": draw(hidden, 3 * hidden),
                 "wc": np.zeros((hidden, classes), np.float32),
                 "bc": (mass - mass.max()).astype(np.float32),
-                "wo": np.zeros((classes, hidden, CLASS_SIZE), np.float32),
+                "wo": np.zeros((classes, hidden, size), np.float32),
                 "bo": np.where(table > _NONE / 2, table - mass[:, None], _NONE).astype(np.float32),
             }
         )
@@ -65,6 +68,10 @@ class Gru:
     def hidden(self) -> int:
         return self.p["wh"].shape[0]
 
+    @property
+    def class_size(self) -> int:
+        return self.p["bo"].shape[1]
+
     def flat(self) -> np.ndarray:
         return np.concatenate([v.ravel() for v in self.p.values()])
 
@@ -106,15 +113,15 @@ class Gru:
 
     def output(self, states: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
         """The order of y by class, the states in it, the classes' logs, each class, the logs within it, each place."""
-        of = np.where(y < 2, 0, (y - 2) // CLASS_SIZE + 1)
+        of = np.where(y < 2, 0, (y - 2) // self.class_size + 1)
         order = np.argsort(of.astype(np.int16), kind="stable")
         of, y = of[order], y[order]
         s = np.ascontiguousarray(states[order].T)
         tops = _logs(self.p["wc"].T @ s + self.p["bc"][:, None])
-        words = np.empty((CLASS_SIZE, len(y)), s.dtype)
+        words = np.empty((self.class_size, len(y)), s.dtype)
         for c, i in self.runs(of):
             words[:, i] = self.p["wo"][c].T @ s[:, i] + self.p["bo"][c][:, None]
-        return order, s, tops, of, _logs(words), np.where(y < 2, y, (y - 2) % CLASS_SIZE)
+        return order, s, tops, of, _logs(words), np.where(y < 2, y, (y - 2) % self.class_size)
 
     def runs(self, of: np.ndarray) -> list[tuple[int, slice]]:
         """Each class that occurs and its run in the sorted classes."""

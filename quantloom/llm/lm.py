@@ -2,12 +2,14 @@
 
 Word counts come from all training documents. The most frequent words, a set of bounded size, go to every
 task; what a document holds beyond them meets its count in a shuffle, so the vocabulary may be of any size.
-The recurrent model is trained by truncated backpropagation on all training documents: each task trains on its
+The recurrent model reads and predicts the most frequent words on their own and all others by the bucket of their
+hash; both grow with the root of the number of distinct words. It is trained by truncated backpropagation on all training documents: each task trains on its
 own part from a common start, and the tasks' weights are averaged in the proportion of their words.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,10 +22,13 @@ from quantloom.llm.graph import cut
 from quantloom.llm.gru import END, TAIL, Gru, Trainer
 from quantloom.llm.text import chunks, documents, map_arrow, only, raw, word_hashes
 
-#: Most words whose counts go to every task (8 MB), the words of the output layer, and the size of the state.
+#: Most words whose counts go to every task (8 MB), the least words of the output layer, and the size of the state.
 FREQUENT_MOST = 500_000
 VOCABULARY = 1024
 HIDDEN = 16
+#: Words of the output layer, and buckets at most, for each root of the distinct words; tail words of a bucket at least.
+PER_ROOT = 4
+BUCKET_WORDS = 32
 #: Bins of an octave by which the least count of a frequent word is found.
 BINS = 8
 #: Words that one run of a task counts, or scores, at once.
@@ -75,10 +80,23 @@ class Known:
         real = np.flatnonzero(self.words != np.uint64(END_KEY))
         top = real[np.lexsort((self.words[real], -self.counts[real]))[:vocabulary]]
         self.ids[top] = np.arange(2, len(top) + 2)
-        self.top_counts = self.counts[top]
+        self.top_counts, self.top_words = self.counts[top], self.words[top]
+        self.buckets = 1
         # Most words share few first bits: a table of bit patterns narrows each search.
         self.first = np.searchsorted(self.words >> np.uint64(44), np.arange((1 << 20) + 1, dtype=np.uint64))
 
+    def deal(self, buckets: int) -> None:
+        """From now on the words outside the vocabulary have ids by bucket, after the vocabulary's; a power of two."""
+        self.buckets = buckets
+        tail = (self.ids < 2) | (self.ids >= 2 + len(self.top_counts))
+        self.ids[tail] = self.tail_ids(self.words[tail])
+
+    def bucket(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes & np.uint64(self.buckets - 1)).astype(np.int64)
+
+    def tail_ids(self, hashes: np.ndarray) -> np.ndarray:
+        return 2 + len(self.top_counts) + self.bucket(hashes)
+
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of each hash, and whether it is there."""
         if not len(self.words):
@@ -111,11 +129,29 @@ def frequent_words(counts: DataFrame, vocabulary: int = VOCABULARY, most: int =
     return Known(held.column("word").to_numpy(), held.column("c").to_numpy(), vocabulary)
 
 
+def sizes(distinct: int, vocabulary: int | None) -> int:
+    """Words of the output layer for so many distinct ones, unless given."""
+    return max(VOCABULARY, PER_ROOT * math.isqrt(distinct)) if vocabulary is None else vocabulary
+
+
+def tail_totals(counts: DataFrame, known: Known) -> tuple[np.ndarray, np.ndarray]:
+    """Occurrences and distinct words of each bucket, without the vocabulary and the ends."""
+    n, v = np.zeros(known.buckets, np.int64), np.zeros(known.buckets, np.int64)
+    bucket = F.col("word").bitwiseAND(F.lit(known.buckets - 1).cast("long")).alias("bucket")
+    for r in counts.filter(F.col("word") != END_KEY).groupBy(bucket).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect():  # a row for each bucket
+        n[r["bucket"]], v[r["bucket"]] = r["n"], r["v"]
+    np.subtract.at(n, known.bucket(known.top_words), known.top_counts)
+    np.subtract.at(v, known.bucket(known.top_words), 1)
+    return n, v
+
+
 def _ids(part: pa.RecordBatch, known: Known) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, their place in known, whether they are there, their vocabulary ids, each row's first word."""
     hashes, first = word_hashes(*raw(part.column("text")))
     at, hit = known.find(hashes)
-    ids = np.where(hit, known.ids[at], TAIL) if len(known.words) else np.full(len(hashes), TAIL)
+    ids = known.tail_ids(hashes)
+    if len(known.words):
+        ids = np.where(hit, known.ids[at], ids)
     return hashes, at, hit, ids, first
 
 
@@ -152,25 +188,26 @@ def train(training: DataFrame, known: Known, start: Gru) -> Gru:
     return start.filled(total / words) if words else start
 
 
-def score(docs: DataFrame, vocabulary: int = VOCABULARY, hidden: int = HIDDEN, frequent: int = FREQUENT_MOST) -> DataFrame:
+def score(docs: DataFrame, vocabulary: int | None = None, hidden: int = HIDDEN, frequent: int = FREQUENT_MOST) -> DataFrame:
     """SCHEMA for each row of docs, repeated rows included.
 
     Null text: empty, which is one token, the end. A null doc_id is in the training fold. Without training
     documents every token is unknown. Both scores are of whole texts, in log10; the second is the recurrent
-    model's, in which a word outside its vocabulary costs the tail's probability times the word's add-one share
-    of the tail. No rows give no rows."""
+    model's, in which a word outside its vocabulary costs its bucket's probability times the word's add-one share
+    of the bucket. No rows give no rows."""
     folded = with_fold(docs)
     training = folded.filter(~F.col("held_out"))
     counts = cut(word_counts(training))
     end = F.coalesce(F.sum(F.when(F.col("word") == END_KEY, F.col("c"))), F.lit(0))
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), end.alias("ends")).first()
     n_all, v_all, ends = int(total["n"]), int(total["v"]), int(total["ends"])
-    known = frequent_words(counts, vocabulary, frequent)
-    n_tail = n_all - ends - int(known.top_counts.sum())
+    known = frequent_words(counts, sizes(v_all, vocabulary), frequent)
     v_tail = v_all - (1 if ends else 0) - len(known.top_counts)
-    start = Gru.fresh(np.concatenate([[max(ends, 1), n_tail + 1], known.top_counts]).astype(float), hidden)
+    known.deal(1 << (max(1, min(sizes(v_all, None), v_tail // BUCKET_WORDS)).bit_length() - 1))
+    n_bucket, v_bucket = tail_totals(counts, known)
+    start = Gru.fresh(np.concatenate([[max(ends, 1), 0], known.top_counts, n_bucket + 1]).astype(float), hidden)
     model = train(training, known, start)
-    base_cost, tail_cost = np.log10(n_all + v_all + 1), np.log10(n_tail + v_tail + 1)
+    base_cost, tail_costs = np.log10(n_all + v_all + 1), np.log10(n_bucket + v_bucket + 1.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -183,13 +220,13 @@ def score(docs: DataFrame, vocabulary: int = VOCABULARY, hidden: int = HIDDEN, f
                 logs = np.where(hit, np.log10(known.counts[at] + 1.0), 0.0) if len(known.words) else np.zeros(len(hashes))
                 end = np.log10(ends + 1.0)
                 sums = np.diff(np.concatenate([[0.0], np.cumsum(logs)])[first])
-                tail = ids == TAIL
-                tail_sums = np.diff(np.concatenate([[0.0], np.cumsum(np.where(tail, logs, 0.0))])[first])
-                n_tail_words = np.diff(np.concatenate([[0], np.cumsum(tail)])[first])
+                bucket = ids - 2 - len(known.top_counts)
+                shares = np.where(bucket >= 0, logs - tail_costs[np.maximum(bucket, 0)], 0.0)
+                tail_sums = np.diff(np.concatenate([[0.0], np.cumsum(shares)])[first])
                 n = np.diff(first)
                 n_known = np.diff(np.concatenate([[0], np.cumsum(hit)])[first]) + (ends > 0)
                 base = sums + end - (n + 1) * base_cost
-                rows.append((part, n + 1, n_known, base, tail_sums - n_tail_words * tail_cost))
+                rows.append((part, n + 1, n_known, base, tail_sums))
                 texts += [np.append(ids[a:b], END) for a, b in zip(first[:-1], first[1:], strict=True)]
                 missing = np.flatnonzero(~hit)
                 row = np.searchsorted(first, missing, side="right") - 1

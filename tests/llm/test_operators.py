@@ -258,6 +258,21 @@ def test_lm_learns(spark, sf):
     assert got["s"] > got["b"]
 
 
+def test_lm_sees_the_context_of_rare_words(spark):
+    ring = [f"w{i}" for i in range(640)]
+    held = [d for d in range(3000) if zlib.crc32(str(d).encode()) % 7 == 2][:2]
+    rows = [(d, " ".join(ring[d % 640 :] + ring[: d % 640])) for d in range(400) if zlib.crc32(str(d).encode()) % 7 != 2]
+    rows += [(held[0], " ".join(ring)), (held[1], " ".join(ring[::-1]))]
+    got = {r["doc_id"]: r for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), vocabulary=2).collect()}
+    along, against = (got[d] for d in held)
+    assert along["base_score"] == pytest.approx(against["base_score"])
+    assert along["score"] > against["score"] + 10
+
+
+def test_lm_vocabulary_grows():
+    assert lm.sizes(1000, None) == 1024 and lm.sizes(1_000_000, None) == 4000 and lm.sizes(10, 20) == 20
+
+
 def test_gru_is_a_distribution_and_its_gradients_hold():
     rng = np.random.default_rng(0)
     m = gru.Gru.fresh(rng.integers(1, 50, 72).astype(float), 5)
