@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,6 +24,9 @@ SPEC = PanelSpec()
 BENCH = 0.01
 PERIODS = [("full", "1996-01-01", "2001-12-31"), ("early", "1996-01-01", "1997-12-31"), ("middle", "1998-01-01", "1999-12-31"), ("late", "2000-01-01", "2001-12-31"), ("empty", "2010-01-01", "2010-12-31")]
 HOLD_OUT_FROM, TEST_FROM, TEST_TO = 1998, 2000, 2001
+FORESTS = [{"depth": d} for d in trees.DEPTHS_FOREST]
+BOOSTED = [{"depth": d, "rate": r} for r in trees.RATES for d in trees.DEPTHS_BOOSTED]
+LAYERS = range(1, 6)
 LINEAR_FEATURES = ["me", "bm", "mom12m", "mom1m", "turn", "ep", "sp", "agr", "gma", "acc"]
 
 
@@ -634,37 +638,57 @@ def model_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("parsimony_delta")
 def parsimony_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R2 of each linear model on all features, on fewer, and the difference."""
-    p, small = _panel(spark, sf_dir), LINEAR_FEATURES[1:6]
+    """R2 of each linear model on all features, on the allowed ones of most importance, and the difference."""
+    p = _panel(spark, sf_dir)
+    ranked = [r["feature"] for r in _importance(p).orderBy("place").collect()]  # one row for each feature
+    small = trees.small_set(ranked)
     full = expanding.expanding(p, LINEAR_FEATURES, HOLD_OUT_FROM, TEST_FROM, TEST_TO)
     less = expanding.expanding(p.select("permno", "date", *small, "ret_exc"), small, HOLD_OUT_FROM, TEST_FROM, TEST_TO)
     a, b = (metrics.pooled_r2(expanding.predictions(p, r), full.bench).withColumnRenamed("oos_r2", n) for r, n in ((full, "r2_full"), (less, "r2_reduced")))
     return a.join(b, "model", "full").withColumn("delta", F.col("r2_reduced") - F.col("r2_full"))
 
 
+def _chosen(p: DataFrame, make, grid: list[dict]) -> dict:  # noqa: ANN001
+    """The parameters of grid with the best hold-out R2 before the first test year."""
+    return trees.select(p, LINEAR_FEATURES, make, grid, HOLD_OUT_FROM, TEST_FROM)[0]
+
+
 @register("forest_expanding")
 def forest_expanding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A small forest for one test year; trees and leaves are parameters."""
-    return trees.expanding(_panel(spark, sf_dir), LINEAR_FEATURES, "rf", lambda: trees.forest(2, trees=20, least_leaf=20), TEST_TO, TEST_TO)
+    """Forests of the chosen depth, fitted anew for each test year."""
+    p = _panel(spark, sf_dir)
+    best = _chosen(p, trees.forest, FORESTS)
+    return trees.expanding(p, LINEAR_FEATURES, "rf", lambda: trees.forest(**best), TEST_FROM, TEST_TO)
 
 
 @register("boosted_expanding")
 def boosted_expanding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trees.expanding(_panel(spark, sf_dir), LINEAR_FEATURES, "gbrt", lambda: trees.boosted(1, trees=5, least_leaf=20), TEST_TO, TEST_TO)
+    """Boosted trees of the chosen depth and rate, fitted anew for each test year."""
+    p = _panel(spark, sf_dir)
+    best = _chosen(p, trees.boosted, BOOSTED)
+    return trees.expanding(p, LINEAR_FEATURES, "gbrt", lambda: trees.boosted(**best), TEST_FROM, TEST_TO)
+
+
+def _importance(p: DataFrame) -> DataFrame:
+    """Importance of every feature in a forest of depth 2, by the years held out before the first test year."""
+    year = F.year("date")
+    train = p.dropna(subset=["ret_exc"]).filter(year < HOLD_OUT_FROM)
+    model = trees.forest(2).fit(trees.vectors(train, LINEAR_FEATURES))
+    held = p.dropna(subset=["ret_exc"]).filter((year >= HOLD_OUT_FROM) & (year < TEST_FROM))
+    return trees.permutation_importance(model, trees.importance_sample(held).cache(), LINEAR_FEATURES, BENCH)
 
 
 @register("perm_importance")
 def perm_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _panel(spark, sf_dir)
-    model = trees.forest(2, trees=10, least_leaf=20).fit(trees.vectors(p.filter(F.year("date") < HOLD_OUT_FROM), LINEAR_FEATURES))
-    sample = trees.importance_sample(p.filter(F.year("date") >= HOLD_OUT_FROM)).cache()
-    return trees.permutation_importance(model, sample, LINEAR_FEATURES, BENCH, LINEAR_FEATURES[:4])
+    return _importance(_panel(spark, sf_dir))
 
 
 @register("nn_expanding")
 def nn_expanding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A one-layer net for one test year, the mean of three seeds."""
-    return nets.predictions(_panel(spark, sf_dir), LINEAR_FEATURES, 1, TEST_TO, epochs=5, batch=1000)
+    """Nets of one to five layers, the mean of three seeds, trained anew for each test year."""
+    p = _panel(spark, sf_dir)
+    parts = [nets.predictions(p, LINEAR_FEATURES, layers, year) for layers in LAYERS for year in range(TEST_FROM, TEST_TO + 1)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @register("completed_years")

@@ -257,6 +257,43 @@ def test_small_set():
     assert trees.small_set(["bm"]) == ["bm"]
 
 
+def test_model_queries_ask_for_the_whole_job(spark, monkeypatch):
+    """What the queries hand to the operators, which fit nothing here."""
+    rows = [(1, D(y, 6, 30), 0.1, *[0.5] * len(queries.LINEAR_FEATURES)) for y in range(1996, 2002)]
+    df = spark.createDataFrame(rows, "permno long, date date, ret_exc double, " + ", ".join(f"{f} double" for f in queries.LINEAR_FEATURES))
+    asked = []
+    monkeypatch.setattr(queries, "_panel", lambda *a: df)
+    monkeypatch.setattr(trees, "select", lambda p, f, make, grid, *years: (asked.append(("select", f, grid, years)), (grid[-1], []))[1])
+    monkeypatch.setattr(trees, "expanding", lambda p, f, name, make, a, b: (asked.append((name, f, make(), a, b)), df)[1])
+    for name in ("forest_expanding", "boosted_expanding"):
+        queries.QUERIES[name](spark, "")
+    features = queries.LINEAR_FEATURES
+    assert asked[0] == ("select", features, [{"depth": 2}, {"depth": 3}, {"depth": 4}], (1998, 2000))
+    assert asked[2] == ("select", features, [{"depth": 1, "rate": 0.01}, {"depth": 2, "rate": 0.01}], (1998, 2000))
+    rf, gbrt = asked[1], asked[3]
+    assert (rf[1], rf[2].getNumTrees(), rf[2].getMaxDepth(), rf[2].getMinInstancesPerNode(), *rf[3:]) == (features, 300, 4, 1000, 2000, 2001)
+    assert (gbrt[1], gbrt[2].getMaxIter(), gbrt[2].getMaxDepth(), gbrt[2].getMinInstancesPerNode(), *gbrt[3:]) == (features, 300, 2, 1000, 2000, 2001)
+
+    asked.clear()
+    monkeypatch.setattr(nets, "predictions", lambda p, f, layers, year, **k: (asked.append((f, layers, year, k)), df)[1])
+    queries.QUERIES["nn_expanding"](spark, "")
+    assert asked == [(features, k, y, {}) for k in range(1, 6) for y in (2000, 2001)]
+
+    asked.clear()
+    make = trees.forest
+    monkeypatch.setattr(trees, "forest", lambda *a, **k: (asked.append(make(*a, **k).getNumTrees()), make(2, trees=1, least_leaf=1))[1])
+    ranks = spark.createDataFrame([(f, i) for i, f in enumerate(features)], "feature string, place int")
+    monkeypatch.setattr(trees, "permutation_importance", lambda m, r, f, bench, which=None: (asked.append((which or f, sorted(x["date"].year for x in r.collect()))), ranks)[1])
+    queries.QUERIES["perm_importance"](spark, "")
+    assert asked == [300, (features, [1998, 1999])]
+
+    monkeypatch.setattr(queries.expanding, "expanding", lambda p, f, *a: asked.append(f))
+    monkeypatch.setattr(queries.expanding, "predictions", lambda p, r: (_ for _ in ()).throw(StopIteration))
+    with pytest.raises((StopIteration, AttributeError, RuntimeError)):
+        queries.QUERIES["parsimony_delta"](spark, "")
+    assert asked[-1] == [f for f in features if f in trees.ALLOWED]
+
+
 def test_net_learns():
     rng = np.random.default_rng(0)
     x = rng.standard_normal((2000, 3))
