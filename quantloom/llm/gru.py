@@ -215,16 +215,20 @@ class Trainer:
         self.held.append(words)
         self.size += len(words)
         if self.size >= self.window * self.lanes * self.windows:
-            self.flush()
+            self.pass_over()
 
     def flush(self) -> None:
-        """Trains on all that is held; lanes are runs of the stream, cut to equal length."""
-        if not self.size:
-            return
+        """Trains on all that is held."""
+        while self.size:
+            self.pass_over()
+
+    def pass_over(self) -> None:
+        """Trains on what is held; lanes are runs of the stream of equal length, and what is left over stays held."""
         stream = np.concatenate(self.held)
-        self.held, self.size = [], 0
         lanes = min(self.lanes, max(1, len(stream) // self.window))
         length = len(stream) // lanes
+        rest = stream[lanes * length :]
+        self.held, self.size = [rest], len(rest)
         y = stream[: lanes * length].reshape(lanes, length).T
         x = np.concatenate([np.full((1, lanes), END), y[:-1]])
         h = np.zeros((lanes, self.model.hidden), np.float32)
@@ -232,7 +236,7 @@ class Trainer:
             g, h, loss = self.model.gradients(x[at : at + self.window], y[at : at + self.window], h)
             self.losses.append(loss)
             self.update(g)
-        self.words += len(stream)
+        self.words += lanes * length
 
     def update(self, g: dict[str, np.ndarray]) -> None:
         self.step += 1

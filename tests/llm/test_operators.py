@@ -295,6 +295,17 @@ def test_gru_is_a_distribution_and_its_gradients_hold():
         assert abs((up - down) / 0.1 - g[k].reshape(-1)[i]) < 0.02 * max(1, abs(g[k]).max()), k
 
 
+def test_trainer_takes_every_word(monkeypatch):
+    trainer, seen = gru.Trainer(gru.Gru.fresh(np.ones(72), 4), window=8, lanes=7, windows=2), []
+    gradients = gru.Gru.gradients
+    monkeypatch.setattr(gru.Gru, "gradients", lambda self, x, y, h: (seen.extend(y.ravel().tolist()), gradients(self, x, y, h))[1])
+    texts = [np.append(np.arange(2, 2 + n), gru.END) for n in (3, 40, 1, 69, 0, 17, 5)]
+    for t in texts:
+        trainer.add(t)
+    trainer.flush()
+    assert Counter(seen) == Counter(np.concatenate(texts).tolist()) and trainer.words == len(seen)
+
+
 def test_quality_classifier(docs, empty, labels):
     got = quality_classifier.classify(docs, labels).collect()
     assert len(got) == len(ROWS) and all(0 <= r["p_quality"] <= 1 and 0 <= r["p_toxic"] <= 1 for r in got)
