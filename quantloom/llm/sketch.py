@@ -3,7 +3,8 @@
 A text's paragraphs are its lines, cut further at content-defined words so that an edit stays local. Each
 paragraph's digest goes to three cells of a table; a cell holds a count and the sums (exclusive or) of digests
 and of their checks. Tables of two versions subtract cell by cell, and peeling cells that hold one digest
-recovers the differing paragraphs of either side. A pair that does not peel is tried again at twice the size.
+recovers the differing paragraphs of either side. A pair that does not peel is tried again at twice the size. A
+published table is full (64-bit digests and checks) and so large that it peels alone; it folds to smaller sizes.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from quantloom.llm.text import documents, map_arrow, mix, only, raw, word_hashes
 
 #: Words of a paragraph, on average: a word whose hash is divisible by this ends one.
 PARAGRAPH_WORDS = 8
-#: Cells of a published fingerprint, and of the first attempt at a difference.
+#: Cells of a published fingerprint at least, and of the first attempt at a difference.
 CELLS = 24
 HASHES = 3
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -110,19 +111,100 @@ def _select(value: np.ndarray, first: np.ndarray, rows: np.ndarray) -> tuple[np.
     return value[at], np.repeat(np.arange(len(rows)), n)
 
 
+class Tables:
+    """Tables of rows end to end, each large enough that it peels alone, so a table says all of its row's digests.
+
+    Sizes are doubled from a common one: a larger table folds to any smaller size."""
+
+    def __init__(self, size: np.ndarray, count: np.ndarray, key: np.ndarray, check: np.ndarray, least: int) -> None:
+        self.size, self.count, self.key, self.check, self.least = size, count, key, check, least
+        self.begin = np.concatenate([[0], np.cumsum(HASHES * size)])
+        owner, value, _, done = peel(count.copy(), key.copy(), check.copy(), self.begin, size)
+        order = np.lexsort((value, owner))
+        self.done, self.value, self.first = done, value[order], np.searchsorted(owner[order], np.arange(len(size) + 1))
+
+    @staticmethod
+    def of(value: np.ndarray, first: np.ndarray, cells: int = CELLS) -> Tables:
+        """Each row's table, at twice the size as long as it does not peel."""
+        least = max(1, cells // HASHES)
+        n = np.diff(first)
+        size = np.full(len(n), least)
+        while (small := HASHES * size * 4 < n * 5).any():
+            size[small] *= 2
+        while True:
+            count, key, check, _ = tables(value, np.repeat(np.arange(len(n)), n), np.ones(len(value), np.int64), size)
+            out = Tables(size, count, key, check, least)
+            if out.done.all():
+                return out
+            size = np.where(out.done, size, 2 * size)
+
+    def folded(self, rows: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The rows' tables at the given sizes, end to end."""
+        at, owner = _select(np.arange(self.begin[-1]), self.begin, rows)
+        part, place = np.divmod(at - self.begin[rows][owner], self.size[rows][owner])
+        begin = np.concatenate([[0], np.cumsum(HASHES * size)])
+        to = begin[owner] + part * size[owner] + place % size[owner]
+        count, key, check = np.zeros(begin[-1], np.int64), np.zeros(begin[-1], np.uint64), np.zeros(begin[-1], np.uint64)
+        np.add.at(count, to, self.count[at])
+        np.bitwise_xor.at(key, to, self.key[at])
+        np.bitwise_xor.at(check, to, self.check[at])
+        return count, key, check
+
+    def apart(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many digests of left[i] are not in right[i], and of right[i] not in left[i].
+
+        Tables are subtracted at the least size and at doubled ones up to the smaller table's; what does not peel
+        until then is compared by what each table peels to alone."""
+        only_left, only_right = np.zeros(len(left), np.int64), np.zeros(len(left), np.int64)
+        most = np.minimum(self.size[left], self.size[right])
+        todo, third = np.arange(len(left)), self.least
+        while len(todo):
+            size = np.full(len(todo), third)
+            (c, k, x), (d, m, y) = self.folded(left[todo], size), self.folded(right[todo], size)
+            owner, _, sign, done = peel(c - d, k ^ m, x ^ y, np.arange(len(todo) + 1) * HASHES * third, size)
+            only_left[todo[done]] = np.bincount(owner, sign > 0, len(todo))[done]
+            only_right[todo[done]] = np.bincount(owner, sign < 0, len(todo))[done]
+            todo, third = todo[~done], third * 2
+            last, todo = todo[most[todo] < third], todo[most[todo] >= third]
+            (a, ao), (b, bo) = _select(self.value, self.first, left[last]), _select(self.value, self.first, right[last])
+            value, owner = np.concatenate([a, b]), np.concatenate([ao, bo])
+            order = np.lexsort((value, owner))
+            value, owner = value[order], owner[order]
+            both = np.bincount(owner[1:][(value[1:] == value[:-1]) & (owner[1:] == owner[:-1])], minlength=len(last)) if len(value) else 0
+            only_left[last] = np.bincount(ao, minlength=len(last)) - both
+            only_right[last] = np.bincount(bo, minlength=len(last)) - both
+        return only_left, only_right
+
+    def written(self) -> list[str]:
+        """paragraphs:hex of each table (a cell: count 2 bytes, key 8, check 8)."""
+        cell = np.empty(len(self.count), _CELL)
+        cell["count"], cell["key"], cell["check"] = self.count & 0xFFFF, self.key, self.check
+        body, at = cell.tobytes().hex(), 2 * _CELL.itemsize * self.begin
+        return [f"{n}:{body[a:b]}" for n, a, b in zip(np.diff(self.first), at[:-1], at[1:], strict=True)]
+
+    @staticmethod
+    def read(prints: list[str], cells: int = CELLS) -> Tables:
+        bodies = [bytes.fromhex(p.partition(":")[2]) for p in prints]
+        cell = np.frombuffer(b"".join(bodies), _CELL)
+        size = np.array([len(b) // _CELL.itemsize // HASHES for b in bodies])
+        return Tables(size, cell["count"].astype(np.int64), cell["key"].astype(np.uint64), cell["check"].astype(np.uint64), max(1, cells // HASHES))
+
+    def likeness(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        n = np.diff(self.first)
+        return likeness(n[left], n[right], *self.apart(left, right))
+
+
+_CELL = np.dtype([("count", ">u2"), ("key", ">u8"), ("check", ">u8")])
+
+
 def differing(value: np.ndarray, first: np.ndarray, left: np.ndarray, right: np.ndarray, cells: int = CELLS) -> tuple[np.ndarray, np.ndarray]:
-    """How many paragraphs of left[i] are not in right[i], and of right[i] not in left[i], by peeling."""
-    only_left, only_right = np.zeros(len(left), np.int64), np.zeros(len(left), np.int64)
-    todo, third = np.arange(len(left)), max(1, cells // HASHES)
-    while len(todo):
-        a, ao = _select(value, first, left[todo])
-        b, bo = _select(value, first, right[todo])
-        size = np.full(len(todo), third)
-        owner, _, sign, done = peel(*tables(np.concatenate([a, b]), np.concatenate([ao, bo]), np.concatenate([np.ones(len(a), np.int64), -np.ones(len(b), np.int64)]), size), size)
-        plus, minus = np.bincount(owner, sign > 0, len(todo)), np.bincount(owner, sign < 0, len(todo))
-        only_left[todo[done]], only_right[todo[done]] = plus[done], minus[done]
-        todo, third = todo[~done], third * 2
-    return only_left, only_right
+    """How many paragraphs of left[i] are not in right[i], and of right[i] not in left[i], by their tables."""
+    return Tables.of(value, first, cells).apart(left, right)
+
+
+def compared(one: str, other: str, cells: int = CELLS) -> float:
+    """Likeness of any two texts, from their published fingerprints."""
+    return float(Tables.read([one, other], cells).likeness(np.array([0]), np.array([1]))[0])
 
 
 def likeness(n_left: np.ndarray, n_right: np.ndarray, only_left: np.ndarray, only_right: np.ndarray) -> np.ndarray:
@@ -132,19 +214,6 @@ def likeness(n_left: np.ndarray, n_right: np.ndarray, only_left: np.ndarray, onl
     return np.where(every > 0, shared / np.maximum(every, 1), 1.0)
 
 
-def fingerprints(value: np.ndarray, first: np.ndarray, cells: int = CELLS) -> list[str]:
-    """paragraphs:hex of each text's table (count 2 bytes, key 4, check 2; a short form of the full cells)."""
-    rows = len(first) - 1
-    size = np.full(rows, max(1, cells // HASHES))
-    owner = np.repeat(np.arange(rows), np.diff(first))
-    count, key, check, _ = tables(value, owner, np.ones(len(value), np.int64), size)
-    cell = np.empty(len(count), np.dtype([("count", ">u2"), ("key", ">u4"), ("check", ">u2")]))
-    cell["count"], cell["key"], cell["check"] = count & 0xFFFF, key >> np.uint64(32), check & np.uint64(0xFFFF)
-    body = cell.tobytes().hex()
-    width = 16 * HASHES * (size[0] if rows else 0)
-    return [f"{n}:{body[i * width : (i + 1) * width]}" for i, n in enumerate(np.diff(first))]
-
-
 def edit(text: str, after: str) -> str:
     k = len(text) // 3
     return text[: len(text) - k] + after[:k]
@@ -192,13 +261,13 @@ def fingerprint(docs: DataFrame, partitions: int | None = None, cells: int = CEL
         following = [*texts[1:], after]
         edited = [edit(t, a) for t, a in zip(texts, following, strict=True)]
         value, first = digests(texts + [after] + edited)
-        m = np.diff(first)
+        sketches = Tables.of(value, first, cells)
         k = len(texts)
         own, nxt, new = np.arange(k), np.arange(1, k + 1), np.arange(k + 1, 2 * k + 1)
-        prints = fingerprints(value, first, cells)
+        prints = sketches.written()
         near = []
         for other in (new, nxt):
-            near.append(pa.array(likeness(m[own], m[other], *differing(value, first, own, other, cells))))
+            near.append(pa.array(sketches.likeness(own, other)))
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([d for d, _ in rows], pa.int64()),
@@ -219,7 +288,7 @@ def fingerprint(docs: DataFrame, partitions: int | None = None, cells: int = CEL
                 if p != part:
                     part, closed = p, False
                 if own:
-                    if size > 2_000_000 or len(held) >= 512:
+                    if size > 500_000 or len(held) >= 128:  # tables are larger than their texts
                         yield block(held, t)
                         held, size = [], 0
                     held.append((d, t))

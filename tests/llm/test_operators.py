@@ -185,6 +185,20 @@ def test_sketch_peels_the_exact_difference():
     assert [(x, y) for x, y in zip(a, b, strict=True)] == [(len(sets[i] - sets[j]), len(sets[j] - sets[i])) for i, j in zip(left, right, strict=True)]
 
 
+def test_sketch_compares_any_two_published_fingerprints(docs):
+    rows = sketch.fingerprint(docs, partitions=2).select("doc_id", "fingerprint").filter("doc_id is not null").collect()
+    held = {}
+    for d, t in ROWS:
+        if sum(d == e for e, _ in ROWS) == 1:
+            value, _ = sketch.digests([t or ""])
+            held[d] = set(value.tolist())
+    prints = {r["doc_id"]: r["fingerprint"] for r in rows if r["doc_id"] in held}
+    for i, p in prints.items():
+        for j in (1, 3, 5, 41, 42):
+            every = held[i] | held[j]
+            assert sketch.compared(p, prints[j]) == pytest.approx(len(held[i] & held[j]) / len(every) if every else 1.0), (i, j)
+
+
 def test_line_dedup(docs, empty):
     got = line_dedup.drop_lines(docs).select("doc_id", "ql_lines", "ql_dropped", "ql_kept").collect()
     same(got, [(d, *x) for (d, _), x in zip(ROWS, brute.deduplicated(ROWS), strict=True)])
