@@ -7,7 +7,7 @@ three characteristics costs three.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -78,7 +78,7 @@ _put(
     mom36m=lambda: SPEC.compound(_c("ret"), 13, 37),
     chmom=lambda: SPEC.compound(_c("ret"), *_SIX) - SPEC.compound(_c("ret"), 8, 13),
     turn=lambda: SPEC.rolling(F.avg, _turnover(), 3, 2),
-    std_turn=lambda: SPEC.rolling(F.stddev_samp, _turnover(), 3, 2),
+    std_turn=lambda: F.round(SPEC.rolling(F.stddev_samp, _turnover(), 3, 2), 12),
     dolvol=lambda: SPEC.rolling(F.avg, _dollar_volume(), 3, 2),
     std_dolvol=lambda: SPEC.rolling(F.stddev_samp, _dollar_volume(), 3, 2),
 )
@@ -318,9 +318,9 @@ MONTHLY = [c for f in ("momentum", "value", "profitability", "investment") for c
 ALL = [c for f in FAMILIES.values() for c in f]
 
 
-def characteristics(panel: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """permno, date and the named monthly characteristics of a merged panel."""
-    names = names or MONTHLY
+def characteristics(panel: DataFrame, names: list[str] | None = None, keep: Sequence[str | Column] = ()) -> DataFrame:
+    """permno, date, what is to be kept of the panel and the named monthly characteristics, without a join."""
+    names = MONTHLY if names is None else names
     unknown = [n for n in names if n not in HISTORY and n not in SECTION]
     if unknown:
         raise ValueError(f"not monthly characteristics: {unknown}")
@@ -328,7 +328,7 @@ def characteristics(panel: DataFrame, names: list[str] | None = None) -> DataFra
     first = [n for n in HISTORY if n in names or second]
     helpers = {n: make for n, make in HELPERS.items() if second}
     step = panel.select("*", industry().alias("_ind"), *[make().alias(n) for n, make in helpers.items()], *[(HISTORY[n]().alias(n)) for n in first if n not in panel.columns])
-    return step.select("permno", "date", *[SECTION[n]().alias(n) if n in SECTION else F.col(n) for n in names])
+    return step.select("permno", "date", *keep, *[SECTION[n]().alias(n) if n in SECTION else F.col(n) for n in names])
 
 
 # The daily series.
@@ -352,7 +352,7 @@ def daily_measures(daily: DataFrame, market: DataFrame) -> DataFrame:
         (F.col("beta") * F.col("beta")).alias("betasq"),
         F.sqrt(at_least(spread, 0.0)).alias("idiovol"),
         mean(F.col("_ill")).alias("ill"),
-        short(F.stddev_samp, "ret").alias("retvol"),
+        F.round(short(F.stddev_samp, "ret"), 12).alias("retvol"),  # equal spreads tie, whatever the order of addition
         short(F.max, "ret").alias("maxret"),
         short(F.avg, "_still").alias("zerotrade"),
     )
@@ -363,12 +363,23 @@ def last_known(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.groupBy("permno", F.last_day("date").alias("date")).agg(*[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("date"))).alias(c) for c in columns])
 
 
-def friction(panel: DataFrame, daily: DataFrame, market: DataFrame) -> DataFrame:
-    """Friction characteristics of each entity and month with daily rows; me and age come from the panel."""
-    columns = ["beta", "betasq", "idiovol", "retvol", "maxret", "ill", "zerotrade"]
-    monthly = last_known(daily_measures(daily, market), columns)
+FROM_DAYS, FROM_PANEL = ["beta", "betasq", "idiovol", "retvol", "maxret", "ill", "zerotrade"], ["me", "age"]
+
+
+def month_measures(daily: DataFrame, market: DataFrame) -> DataFrame:
+    """The daily measures of each entity and month with daily rows; ill is cut at the month's 99th percentile."""
+    monthly = last_known(daily_measures(daily, market), FROM_DAYS)
     top = monthly.groupBy("date").agg(F.percentile("ill", F.lit(0.99)).alias("_top"))
-    clipped = monthly.join(F.broadcast(top), "date", "left").withColumn("ill", F.when(F.col("ill").isNotNull(), F.least("ill", "_top"))).drop("_top")
+    return monthly.join(F.broadcast(top), "date", "left").withColumn("ill", F.when(F.col("ill").isNotNull(), F.least("ill", "_top"))).drop("_top")
+
+
+def panel_measures() -> dict[str, Column]:
+    """The friction characteristics that are expressions over the panel."""
     first = F.min("date").over(Window.partitionBy("permno"))
-    slim = panel.select("permno", F.last_day("date").alias("date"), F.log(at_least(F.col("me"), 1e-6)).alias("me"), (F.datediff("date", first) / 365.25).alias("age"))
-    return clipped.join(slim, ["permno", "date"], "left").select("permno", "date", *FAMILIES["friction"])
+    return {"me": F.log(at_least(F.col("me"), 1e-6)), "age": F.datediff("date", first) / 365.25}
+
+
+def friction(panel: DataFrame, daily: DataFrame, market: DataFrame) -> DataFrame:
+    """Friction characteristics of each entity and month with daily rows; me and age come from the panel."""
+    slim = panel.select("permno", F.last_day("date").alias("date"), *[c.alias(n) for n, c in panel_measures().items()])
+    return month_measures(daily, market).join(slim, ["permno", "date"], "left").select("permno", "date", *FAMILIES["friction"])

@@ -60,7 +60,8 @@ class Moments:
 
 
 def yearly_moments(panel: DataFrame, features: list[str], target: str = "ret_exc") -> dict[int, Moments]:
-    """Moments of each calendar year. Tasks add up their own rows; what reaches the driver is one matrix a year."""
+    """Moments of each calendar year. Tasks add up their own rows, cells of the upper triangles meet in an aggregate
+    with partial sums, and what reaches the driver is one triangle a year."""
     width = len(features) + 2
     complete = panel.dropna(subset=[*features, target]).select(F.year("date").alias("year"), *[F.col(c).cast("double").alias(c) for c in [*features, target]])
 
@@ -72,15 +73,17 @@ def yearly_moments(panel: DataFrame, features: list[str], target: str = "ret_exc
             for y in np.unique(years):
                 part = x[years == y]
                 held[int(y)] = held.get(int(y), 0) + part.T @ part
-        if held:
-            yield pd.DataFrame({"year": list(held), "m": [v.ravel().tolist() for v in held.values()]})
-
-    def total(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"year": [pdf["year"].iloc[0]], "m": [np.sum(np.stack(pdf["m"].to_list()), axis=0).tolist()]})
-
-    parts = complete.mapInPandas(partial, "year int, m array<double>")
-    rows = parts.groupBy("year").applyInPandas(total, "year int, m array<double>").collect()  # a matrix for each year
-    return {r["year"]: Moments(np.array(r["m"]).reshape(width, width)) for r in rows}
+        for y, m in held.items():
+            yield pd.DataFrame({"year": y, "cell": np.arange(len(upper[0])), "v": m[upper]})
+
+    upper = np.triu_indices(width)
+    cells = complete.mapInPandas(partial, "year int, cell int, v double").groupBy("year", "cell").agg(F.sum("v").alias("v")).toPandas()
+    out = {}
+    for y, part in cells.groupby("year"):
+        m = np.zeros((width, width))
+        m[upper[0][part["cell"]], upper[1][part["cell"]]] = part["v"]
+        out[int(y)] = Moments(m + np.triu(m, 1).T)
+    return out
 
 
 Fit = tuple[float, np.ndarray]

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from multiprocessing.pool import ThreadPool
+
+import numpy as np
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,10 +15,12 @@ from pyspark.sql import functions as F
 from quantloom.operators.diagnostics import seeded_sample
 
 TREES = 300
+#: Fits that run side by side; boosting is a chain of short jobs that leaves most of a cluster idle.
+PARALLEL = 4
 LEAST_LEAF = 1000
 DEPTHS_FOREST, DEPTHS_BOOSTED, RATES = (2, 3, 4), (1, 2), (0.01,)
 #: Characteristics that a small feature set may be chosen from.
-ALLOWED = ("mom1m", "mom6m", "mom12m", "chmom", "indmom", "turn", "dolvol", "mve_ia", "bm", "ep", "sp", "agr", "retvol", "beta", "idiovol", "maxret", "ill", "roaq")
+ALLOWED = ("mom12m", "mom1m", "chmom", "indmom", "bm", "ep", "cfp", "roaq", "gp", "roe", "agr", "invest", "noa", "me", "ill", "idiovol", "beta", "retvol")
 
 
 def forest(depth: int = 2, trees: int = TREES, least_leaf: int = LEAST_LEAF, seed: int = 42, target: str = "ret_exc") -> RandomForestRegressor:
@@ -40,45 +47,52 @@ def select(panel: DataFrame, features: list[str], make, grid: list[dict], hold_o
     year, rows = F.year("date"), vectors(panel.dropna(subset=[target]), features)
     train, hold = rows.filter(year < hold_out_from), rows.filter((year >= hold_out_from) & (year < test_from))
     bench = train.agg(F.avg(target)).first()[0]
-    scores = [(p, r2(make(**p).fit(train).transform(hold), bench, target)) for p in grid]
+    with ThreadPool(PARALLEL) as pool:
+        scores = pool.map(lambda p: (p, r2(make(**p).fit(train).transform(hold), bench, target)), grid)
     return max(scores, key=lambda s: s[1])[0], scores
 
 
 def expanding(panel: DataFrame, features: list[str], name: str, make, test_from: int, test_to: int, target: str = "ret_exc") -> DataFrame:  # noqa: ANN001
     """Predictions of a model that is fitted anew for each test year on all years before."""
-    rows, out = vectors(panel.dropna(subset=[target]), features), None
-    for year in range(test_from, test_to + 1):
-        model = make().fit(rows.filter(F.year("date") < year))
-        part = model.transform(rows.filter(F.year("date") == year)).select("permno", "date", F.lit(name).alias("model"), "pred_ret", target)
-        out = part if out is None else out.unionByName(part)
-    return out
+    rows, years = vectors(panel.dropna(subset=[target]), features), range(test_from, test_to + 1)
+    with ThreadPool(PARALLEL) as pool:
+        models = pool.map(lambda y: make().fit(rows.filter(F.year("date") < y)), years)
+    parts = [m.transform(rows.filter(F.year("date") == y)).select("permno", "date", F.lit(name).alias("model"), "pred_ret", target) for y, m in zip(years, models, strict=True)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def permutation_importance(model, rows: DataFrame, features: list[str], bench: float, which: list[str] | None = None, seed: int = 42, target: str = "ret_exc") -> DataFrame:  # noqa: ANN001
     """Loss of R2 when one feature is dealt anew among the rows, for each feature of which (all by default).
 
-    The n-th row takes the feature of the n-th row in another hashed order: a join on row numbers, one for each
-    feature, over the bounded sample that importance is measured on."""
-    spark = rows.sparkSession
-    keyed = rows.select("permno", "date", target, *features).withColumn("n", F.row_number().over(Window.orderBy(F.xxhash64("permno", "date", F.lit(seed)), "permno", "date")))
-    base = r2(model.transform(vectors(keyed, features)), bench, target)
-    out = []
-    for i, f in enumerate(which or features):
-        order = Window.orderBy(F.xxhash64("permno", "date", F.lit(seed + 1 + i)), "permno", "date")
-        dealt = keyed.select(F.row_number().over(order).alias("n"), F.col(f).alias("ql_new"))
-        mixed = keyed.join(dealt, "n").withColumn(f, F.col("ql_new"))
-        out.append((f, base - r2(model.transform(vectors(mixed, features)), bench, target)))
-    return spark.createDataFrame(out, "feature string, importance double").withColumn("place", F.row_number().over(Window.orderBy(F.desc("importance"), "feature")))
+    Rows stand in a hashed order, and each feature moves on by a number of rows of its own, so that every feature's
+    values and all scores come from one job over the bounded sample that importance is measured on."""
+    spark, names = rows.sparkSession, which or features
+    order = Window.orderBy(F.xxhash64("permno", "date", F.lit(seed)), "permno", "date")
+    x = F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features])
+    keyed = rows.select(target, x.alias("x"), (F.row_number().over(order) - 1).alias("n"))
+    n = keyed.count()
+    steps = np.random.default_rng(seed).integers(1, max(n, 2), len(names)).tolist()
+    moves = F.explode(F.array(*[F.struct(F.lit(features.index(f)).alias("j"), F.lit(k).alias("k")) for f, k in zip(names, steps, strict=True)])).alias("to")
+    moved = keyed.select("n", "x", moves).select("to.j", ((F.col("n") + F.col("to.k")) % n).alias("n"), F.get("x", F.col("to.j")).alias("new"))
+    mixed = moved.join(keyed, "n").select("j", target, F.transform("x", lambda v, i: F.when(i == F.col("j"), F.col("new")).otherwise(v)).alias("x"))
+    both = mixed.unionByName(keyed.select(F.lit(-1).alias("j"), target, "x")).select("j", target, array_to_vector("x").alias("ql_x"))
+    r = F.col(target)
+    scored = model.transform(both).groupBy("j").agg((1 - F.sum((r - F.col("pred_ret")) ** 2) / F.nullif(F.sum((r - bench) ** 2), F.lit(0.0))).alias("r2"))
+    of = {row["j"]: row["r2"] for row in scored.collect()}  # one row for each feature
+    out = [(f, of[-1] - of[features.index(f)]) for f in names] if of.get(-1) is not None else [(f, None) for f in names]
+    return spark.createDataFrame(out, "feature string, importance double").withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last("importance"), "feature")))
 
 
 def small_set(ranked: list[str], allowed: tuple[str, ...] = ALLOWED, least: int = 15, most: int = 20, step: int = 5) -> list[str]:
-    """Allowed features among the most important ones; the cut widens by steps until there are enough."""
-    cut = least
-    while True:
+    """Allowed features among the most important ones; the cut widens by steps until there are enough, and if there
+    never are, the first allowed ones are taken. None at all is an error."""
+    if not any(f in allowed for f in ranked):
+        raise ValueError("none of the ranked features is allowed")
+    for cut in range(least, len(ranked) + 1, step):
         chosen = [f for f in ranked[:cut] if f in allowed]
-        if len(chosen) >= least or cut >= len(ranked):
+        if len(chosen) >= least:
             return chosen[:most]
-        cut += step
+    return [f for f in ranked if f in allowed][:least]
 
 
 def importance_sample(panel: DataFrame, n: int = 100_000, seed: int = 42) -> DataFrame:

@@ -26,9 +26,11 @@ def universe(monthly: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def adjust_delistings(monthly: DataFrame, delistings: DataFrame) -> DataFrame:
-    """Returns compounded with the month's delisting return, which is imputed for performance delistings."""
+    """Returns compounded with the month's delisting return, which is imputed for performance delistings.
+
+    Delistings whose return stays unknown change nothing, and do not repeat the month of another one."""
     dl = F.when(F.col("dlret").isNull() & F.col("dlstcd").between(*PERFORMANCE_CODES), F.lit(IMPUTED_RETURN)).otherwise(F.col("dlret"))
-    right = delistings.select("permno", F.last_day("date").alias("ql_month"), dl.alias("ql_dl"))
+    right = delistings.select("permno", F.last_day("date").alias("ql_month"), dl.alias("ql_dl")).filter("ql_dl is not null")
     joined = monthly.withColumn("ql_month", F.last_day("date")).join(right, ["permno", "ql_month"], "left")
     both = (1 + F.col("ret")) * (1 + F.col("ql_dl")) - 1
     new = F.when(F.col("ql_dl").isNull(), F.col("ret")).when(F.col("ret").isNull(), F.col("ql_dl")).otherwise(both)

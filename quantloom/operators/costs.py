@@ -4,42 +4,66 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.exprs import at_least, nonzero, ratio
+from quantloom.functions.windows import quantile_bucket
+from quantloom.operators.diagnostics import exact_quantiles
+from quantloom.operators.joins import require_known
 from quantloom.operators.portfolio import factor_alpha
 
 SMALL_BPS, MIDDLE_BPS, LARGE_BPS = 20.0, 10.0, 5.0
 
 
-def holdings(assigned: DataFrame, details: DataFrame, buckets: int = 10) -> DataFrame:
-    """First and last bucket with weights by market value, half of the gross on each side."""
-    side = Window.partitionBy("model", "date", "decile")
+#: What a holding must be known by.
+REQUIRED = ["me_lag1", "exchcd", "ret", "prc", "vol"]
+
+
+def holdings(preds: DataFrame, details: DataFrame, buckets: int = 10) -> DataFrame:
+    """First and last bucket with weights by market value, half of the gross on each side.
+
+    Buckets are cut among the predictions of which all of REQUIRED is known and the market value positive. A
+    prediction without a realised return fails the query."""
+    known = details.select("permno", F.last_day("date").alias("date"), *REQUIRED).dropna(subset=REQUIRED).filter("me_lag1 > 0")
+    whole, side = Window.partitionBy("model", "date"), Window.partitionBy("model", "date", "decile")
+    held = require_known(preds, ["ret_exc"]).join(known, ["permno", "date"])
+    out = held.withColumn("decile", quantile_bucket(whole.orderBy("pred_ret", "permno"), whole, buckets)).filter(F.col("decile").isin(1, buckets))
     share = F.col("me_lag1") / F.sum("me_lag1").over(side)
-    out = assigned.filter(F.col("decile").isin(1, buckets)).join(details.select("permno", F.last_day("date").alias("date"), "exchcd", "ret", "prc", "vol"), ["permno", "date"], "left")
     signed = F.when(F.col("decile") == buckets, 0.5 * share).otherwise(-0.5 * share)
     return out.withColumn("signed_w", signed).withColumn("abs_w", F.abs("signed_w"))
 
 
-def fixed_spread(held: DataFrame) -> DataFrame:
-    """Spread by size against the main exchange's quintile points of the date, of all holdings where it has none."""
-    points = lambda c: F.percentile(c, F.array(F.lit(0.2), F.lit(0.8)))
-    cuts = held.groupBy("date").agg(points(F.when(F.col("exchcd") == 1, F.col("me_lag1"))).alias("own"), points(F.col("me_lag1")).alias("every")).select("date", F.coalesce("own", "every").alias("cuts"))
-    bps = F.when(F.col("me_lag1") <= F.col("cuts")[0], SMALL_BPS).when(F.col("me_lag1") >= F.col("cuts")[1], LARGE_BPS).otherwise(MIDDLE_BPS)
-    return held.join(F.broadcast(cuts), "date").withColumn("spread_bps_fixed", bps).drop("cuts")
+def _illiquidity() -> Column:
+    return ratio(F.abs("ret"), nonzero(F.abs("prc") * F.col("vol")))
+
 
+def with_spreads(held: DataFrame) -> DataFrame:
+    """held with both spreads. All that a date's rows say together comes from one aggregate by date.
 
-def illiquidity_spread(held: DataFrame) -> DataFrame:
-    """Spread by the root of return per dollar traded, cut at the date's 99th percentile; unknown ones take the date's median, then that of all."""
-    raw = held.withColumn("illiq", ratio(F.abs("ret"), nonzero(F.abs("prc") * F.col("vol"))))
-    top = raw.groupBy("date").agg(F.percentile("illiq", F.lit(0.99)).alias("top"))
-    cut = raw.join(F.broadcast(top), "date").withColumn("illiq_w", F.when(F.col("illiq").isNotNull(), F.least("illiq", "top"))).drop("top")
-    middle = cut.groupBy("date").agg(F.median("illiq_w").alias("of_date"))
-    every = cut.agg(F.median("illiq_w").alias("of_all"))
-    filled = cut.join(F.broadcast(middle), "date").join(F.broadcast(every), F.lit(True)).withColumn("illiq_w", F.coalesce("illiq_w", "of_date", "of_all")).drop("of_date", "of_all")
-    bps = at_least(20000.0 * F.sqrt("illiq_w"), 1.0)
-    return filled.withColumn("spread_bps_amihud", F.when(bps.isNotNull(), F.least(bps, F.lit(300.0))))
+    fixed: by size against the main exchange's quintile points of the date, of all holdings where it has none.
+    amihud: by the root of return per dollar traded, cut at the date's 99th percentile; unknown ones take the date's
+    median, then that of all."""
+    points = lambda c: F.percentile(c, F.array(F.lit(0.2), F.lit(0.8)))
+    raw = held.withColumn("ql_illiq", _illiquidity())
+    by_date = raw.groupBy("date").agg(
+        points(F.when(F.col("exchcd") == 1, F.col("me_lag1"))).alias("ql_own"),
+        points(F.col("me_lag1")).alias("ql_every"),
+        F.percentile("ql_illiq", F.array(F.lit(0.5), F.lit(0.99))).alias("ql_cuts"),
+        F.min("ql_illiq").alias("ql_low"),
+        F.count("ql_illiq").alias("ql_n"),
+    )
+    top = F.col("ql_cuts")[1]
+    # The cut reaches the median only where it lies between two values.
+    middle = F.when(F.col("ql_n") == 2, (F.col("ql_low") + top) / 2).otherwise(F.col("ql_cuts")[0])
+    dates = by_date.select("date", F.coalesce("ql_own", "ql_every").alias("ql_sizes"), top.alias("ql_top"), middle.alias("ql_middle"))
+    joined = raw.join(F.broadcast(dates), "date").withColumn("ql_illiq", F.when(F.col("ql_illiq").isNotNull(), F.least("ql_illiq", "ql_top")))
+    every = exact_quantiles(joined, ["ql_illiq"], [0.5]).select(F.col("q")[0].alias("ql_all"))
+    size = F.col("me_lag1")
+    fixed = F.when(size <= F.col("ql_sizes")[0], SMALL_BPS).when(size >= F.col("ql_sizes")[1], LARGE_BPS).otherwise(MIDDLE_BPS)
+    bps = at_least(20000.0 * F.sqrt(F.coalesce("ql_illiq", "ql_middle", "ql_all")), 1.0)
+    out = joined.join(F.broadcast(every), F.lit(True), "left").withColumn("spread_bps_fixed", fixed).withColumn("spread_bps_amihud", F.when(bps.isNotNull(), F.least(bps, F.lit(300.0))))
+    return out.drop("ql_illiq", "ql_sizes", "ql_top", "ql_middle", "ql_all")
 
 
 def turnover(held: DataFrame) -> DataFrame:
@@ -76,9 +100,10 @@ def cost_summary(monthly: DataFrame, factors: DataFrame | None = None) -> DataFr
         out = out.withColumn(f"sharpe_{k}", ratio(F.col(f"ann_ret_{k}"), nonzero(F.col(f"ann_vol_{k}"))))
     out = out.withColumn("sharpe_delta", F.col("sharpe_net") - F.col("sharpe_gross"))
     if factors is not None:
-        for k in ("gross", "net"):
-            alpha = factor_alpha(monthly, factors, by, f"{k}_ls_ret").select(*by, F.col("alpha_annual").alias(f"alpha_annual_{k}"), F.col("t_alpha").alias(f"t_alpha_{k}"))
-            out = out.join(alpha, by, "left")
+        long = monthly.unpivot([*by, "date"], ["gross_ls_ret", "net_ls_ret"], "ql_series", "ql_ret")
+        alphas = factor_alpha(long, factors, [*by, "ql_series"], "ql_ret")
+        of = lambda c, k: F.max(F.when(F.col("ql_series") == f"{k}_ls_ret", F.col(c))).alias(f"{c}_{k}")
+        out = out.join(alphas.groupBy(*by).agg(*[of(c, k) for k in ("gross", "net") for c in ("alpha_annual", "t_alpha")]), by, "left")
     for k in ("gross", "net"):
         out = out.withColumn(f"rank_{k}", F.dense_rank().over(Window.partitionBy("tc_method").orderBy(F.desc_nulls_last(f"sharpe_{k}"))))
     return out.withColumn("rank_change", F.col("rank_net") - F.col("rank_gross"))

@@ -18,18 +18,21 @@ def key_text(c: Column) -> Column:
 
 
 def name_spans(names: DataFrame) -> DataFrame:
-    number = F.substring(key_text(F.col("ncusip")), 1, NUMBER_LENGTH)
-    return names.select("permno", F.when(F.length(number) == NUMBER_LENGTH, number).alias("cusip8"), key_text(F.col("ticker")).alias("ticker"), "comnam", "namedt", open_end(F.col("nameendt")).alias("nameendt"))
+    """Name records with a number; the others are not linked, by ticker neither."""
+    permco = F.col("permco") if "permco" in names.columns else F.lit(None)
+    out = names.select("permno", permco.cast("long").alias("permco"), key_text(F.col("ncusip")).alias("cusip8"), key_text(F.col("ticker")).alias("ticker"), "comnam", "namedt", open_end(F.col("nameendt")).alias("nameendt"))
+    return out.filter("cusip8 is not null")
 
 
 def security_spans(security: DataFrame) -> DataFrame:
-    number = F.substring(key_text(F.col("cusip")), 1, NUMBER_LENGTH)
+    """Securities with a whole number; the others are not linked, by ticker neither."""
     has = lambda c: F.col(c) if c in security.columns else F.lit(None)
     first = F.coalesce(has("first_date").cast("date"), F.lit("1900-01-01").cast("date"))
-    return security.select("gvkey", "iid", F.when(F.length(number) == NUMBER_LENGTH, number).alias("cusip8"), key_text(F.col("tic")).alias("ticker"), has("conm").cast("string").alias("conm"), first.alias("sec_start"), open_end(has("last_date").cast("date")).alias("sec_end"))
+    out = security.select("gvkey", "iid", F.substring(key_text(F.col("cusip")), 1, NUMBER_LENGTH).alias("cusip8"), key_text(F.col("tic")).alias("ticker"), has("conm").cast("string").alias("conm"), first.alias("sec_start"), open_end(has("last_date").cast("date")).alias("sec_end"))
+    return out.filter(F.length("cusip8") == NUMBER_LENGTH)
 
 
-_OUT = ["permno", "gvkey", "iid", "cusip8", "link_start", "link_end", "link_method"]
+_OUT = ["permno", "permco", "gvkey", "iid", "cusip8", "link_start", "link_end", "link_method"]
 
 
 def number_links(names: DataFrame, security: DataFrame, least_days: int = 1) -> DataFrame:
@@ -37,12 +40,20 @@ def number_links(names: DataFrame, security: DataFrame, least_days: int = 1) ->
     return joined.withColumn("link_method", F.lit("cusip")).select(*_OUT)
 
 
-def ticker_links(names: DataFrame, security: DataFrame, matched: DataFrame, least_days: int = 1) -> DataFrame:
-    """For entities that no number matched; names must share words, where both are known."""
+def ticker_pairs(names: DataFrame, security: DataFrame, matched: DataFrame, least_days: int = 1) -> DataFrame:
+    """Names and securities of one ticker in the same days, for entities that no number matched, with the share of
+    words that their names have in common (a blank name shares none)."""
     left = name_spans(names).join(matched.select("permno").distinct(), "permno", "left_anti").filter("ticker is not null")
     joined = overlap_join(left.drop("cusip8"), security_spans(security), "ticker", ("namedt", "nameendt"), ("sec_start", "sec_end"), least_days)
-    alike = F.coalesce(word_overlap(F.col("comnam"), F.col("conm")) >= NAME_SIMILARITY, F.lit(True))
-    return joined.filter(alike).withColumn("link_method", F.lit("ticker")).select(*_OUT)
+    return joined.withColumn("name_sim", F.coalesce(word_overlap(F.col("comnam"), F.col("conm")), F.lit(0.0)))
+
+
+def ticker_links(names: DataFrame, security: DataFrame, matched: DataFrame, least_days: int = 1) -> DataFrame:
+    """Pairs whose names are alike; where no security of the pairs has a name, all of them."""
+    pairs = ticker_pairs(names, security, matched, least_days)
+    named = pairs.agg(F.coalesce(F.max(F.trim("conm") != ""), F.lit(False)).alias("ql_named"))
+    alike = ~F.col("ql_named") | (F.col("name_sim") >= NAME_SIMILARITY)
+    return pairs.join(F.broadcast(named), F.lit(True)).filter(alike).withColumn("link_method", F.lit("ticker")).select(*_OUT)
 
 
 def method_rank(c: Column) -> Column:

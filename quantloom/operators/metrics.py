@@ -42,8 +42,8 @@ def monthly_ic(preds: DataFrame) -> DataFrame:
     return rank_correlation(preds, ["model", "date"], "pred_ret", "ret_exc")
 
 
-def ic_stats(ic: DataFrame, by: str = "model") -> DataFrame:
-    out = ic.groupBy(by).agg(F.avg("ic").alias("mean_ic"), F.stddev_samp("ic").alias("std_ic"), F.count("ic").alias("n_months"))
+def ic_stats(ic: DataFrame, *by: str) -> DataFrame:
+    out = ic.groupBy(*(by or ("model",))).agg(F.avg("ic").alias("mean_ic"), F.stddev_samp("ic").alias("std_ic"), F.count("ic").alias("n_months"))
     return out.withColumn("icir", ratio(F.col("mean_ic"), nonzero(F.col("std_ic"))))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.functions.characteristics import ALL, MONTHLY, SPEC, characteristics, friction
+from quantloom.functions.characteristics import ALL, FROM_DAYS, FROM_PANEL, MONTHLY, SPEC, characteristics, month_measures, panel_measures
 from quantloom.functions.windows import unit_rank
 from quantloom.operators.cleaning import clean_annual, clean_monthly, clean_quarterly
 from quantloom.operators.joins import asof_join, event_window
@@ -26,21 +26,24 @@ def merged_panel(raw: dict[str, DataFrame]) -> DataFrame:
 def announcement_returns(panel: DataFrame, daily: DataFrame) -> DataFrame:
     """permno, rdq, ear: the sum of the three daily returns around the announcement."""
     events = panel.select("permno", F.col("q_rdq").alias("rdq")).filter("rdq is not null").distinct()
-    return event_window(events, daily, "permno", "rdq", "date", "ret").withColumnRenamed("window_sum", "ear")
+    return event_window(events, daily, "permno", "rdq", "date", "ret").select("permno", "rdq", F.round("window_sum", 12).alias("ear"))
 
 
 def raw_features(raw: dict[str, DataFrame], names: list[str] | None = None) -> DataFrame:
-    """permno, date, ret and the named characteristics (all 94 by default), before ranking."""
+    """permno, date, ret and the named characteristics (all 94 by default), before ranking.
+
+    All that rests on the panel's own rows is one projection of it; only what comes from daily rows is joined."""
     names = names or ALL
     panel = merged_panel(raw)
-    out = panel.select("permno", "date", "ret").join(characteristics(panel, [n for n in names if n in MONTHLY]), list(KEYS), "left")
+    own = {n: c.alias(f"ql_{n}") for n, c in panel_measures().items() if n in names}
+    out = characteristics(panel, [n for n in names if n in MONTHLY], ["ret", F.col("q_rdq").alias("rdq"), *own.values()])
     if "ear" in names:
-        ear = announcement_returns(panel, raw["raw_daily"])
-        dated = panel.select("permno", "date", F.col("q_rdq").alias("rdq")).join(ear, ["permno", "rdq"], "left").drop("rdq")
-        out = out.join(dated, list(KEYS), "left")
-    slow = [n for n in names if n not in MONTHLY and n != "ear"]
-    if slow:
-        out = out.join(friction(panel, raw["raw_daily"], raw["raw_market"]).select("permno", "date", *slow), list(KEYS), "left")
+        out = out.join(announcement_returns(panel, raw["raw_daily"]), ["permno", "rdq"], "left")
+    if any(n in (*FROM_DAYS, *FROM_PANEL) for n in names):
+        days = month_measures(raw["raw_daily"], raw["raw_market"]).select("permno", "date", *[n for n in FROM_DAYS if n in names], F.lit(True).alias("ql_days"))
+        out = out.join(days, list(KEYS), "left")
+        # A month without daily rows has none of the family.
+        out = out.select("*", *[F.when(F.col("ql_days"), F.col(f"ql_{n}")).alias(n) for n in own])
     return out.select("permno", "date", "ret", *names)
 
 
@@ -63,11 +66,13 @@ def excess_target(df: DataFrame, factors: DataFrame) -> DataFrame:
 
 
 def feature_panel(raw: dict[str, DataFrame], names: list[str] | None = None) -> DataFrame:
-    """permno, date, ranked characteristics with unknown ones at 0, and the target."""
+    """permno, date, ranked characteristics with unknown ones at 0, and the target.
+
+    Ranks are among all firms of a month. Only then do rows without a next return go, so that a rank does not
+    tell who is there a month later."""
     names = names or ALL
-    features = excess_target(raw_features(raw, names), raw["raw_factors"])
-    ranked = rank_columns(features, names, ["permno", "date", TARGET])
-    return ranked.fillna(0.0, subset=names).select("permno", "date", *names, TARGET)
+    ranked = rank_columns(raw_features(raw, names), names, ["permno", "date", "ret"]).fillna(0.0, subset=names)
+    return excess_target(ranked, raw["raw_factors"]).select("permno", "date", *names, TARGET)
 
 
 def feature_columns(df: DataFrame) -> list[str]:

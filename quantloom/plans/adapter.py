@@ -32,21 +32,24 @@ FROM (SELECT l_suppkey AS permno, last_day(CAST(l_shipdate AS DATE)) AS date, CA
              CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) AS vol, CAST(count(*) AS DOUBLE) * 100 AS shrout
       FROM lineitem GROUP BY l_suppkey, last_day(CAST(l_shipdate AS DATE))) q""",
     "raw_names": """
-SELECT s_suppkey AS permno, 10 + s_suppkey % 4 AS shrcd, CAST(1 + s_nationkey % 4 AS INT) AS exchcd,
+SELECT s_suppkey AS permno, 500 + CAST(floor(s_suppkey / 2) AS BIGINT) AS permco, 10 + s_suppkey % 4 AS shrcd, CAST(1 + s_nationkey % 4 AS INT) AS exchcd,
        concat('c', lpad(CAST(s_suppkey AS VARCHAR(20)), 7, '0'), ' ') AS ncusip, concat('t', CAST(s_suppkey AS VARCHAR(20))) AS ticker,
        s_name AS comnam, CAST('1995-01-01' AS DATE) AS namedt, CAST('1998-06-30' AS DATE) AS nameendt FROM supplier
 UNION ALL
-SELECT s_suppkey, 10 + s_suppkey % 3, CAST(1 + s_nationkey % 4 AS INT), concat('C', lpad(CAST(s_suppkey AS VARCHAR(20)), 7, '0')), concat(' T', CAST(s_suppkey AS VARCHAR(20))),
+SELECT s_suppkey, 500 + CAST(floor(s_suppkey / 2) AS BIGINT), 10 + s_suppkey % 3, CAST(1 + s_nationkey % 4 AS INT), concat('C', lpad(CAST(s_suppkey AS VARCHAR(20)), 7, '0')), concat(' T', CAST(s_suppkey AS VARCHAR(20))),
        s_name, CAST('1998-07-01' AS DATE), CAST(NULL AS DATE) FROM supplier
 UNION ALL
-SELECT s_suppkey, 11, 1, CAST(NULL AS VARCHAR(20)), CAST(NULL AS VARCHAR(20)), s_name, CAST('1997-01-01' AS DATE), CAST('1997-12-31' AS DATE) FROM supplier WHERE s_suppkey % 4 = 0""",
+SELECT s_suppkey, 500 + CAST(floor(s_suppkey / 2) AS BIGINT), 11, 1, CAST(NULL AS VARCHAR(20)), CAST(NULL AS VARCHAR(20)), s_name, CAST('1997-01-01' AS DATE), CAST('1997-12-31' AS DATE) FROM supplier WHERE s_suppkey % 4 = 0""",
     "raw_delistings": """
 SELECT s_suppkey AS permno, CAST('2000-03-15' AS DATE) AS date, CAST(400 + 20 * (s_suppkey % 10) AS INT) AS dlstcd,
-       CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE -0.125 END AS dlret FROM supplier WHERE s_suppkey % 6 <> 1""",
+       CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE -0.125 END AS dlret FROM supplier WHERE s_suppkey % 6 <> 1
+UNION ALL
+SELECT s_suppkey, CAST('2000-03-20' AS DATE), 450, CAST(NULL AS DOUBLE) FROM supplier WHERE s_suppkey % 3 = 0""",
     "raw_security": """
 SELECT lpad(CAST(s_suppkey + 1000 AS VARCHAR(20)), 6, '0') AS gvkey, '01' AS iid,
-       CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE concat('c', lpad(CAST(s_suppkey AS VARCHAR(20)), 7, '0'), '9') END AS cusip,
-       concat('t', CAST(s_suppkey AS VARCHAR(20)), ' ') AS tic, CAST('1995-06-30' AS DATE) AS first_date, CAST(NULL AS DATE) AS last_date FROM supplier""",
+       CASE WHEN s_suppkey % 35 = 0 THEN NULL WHEN s_suppkey % 55 = 0 THEN 'c12' WHEN s_suppkey % 5 = 0 THEN concat('x', lpad(CAST(s_suppkey AS VARCHAR(20)), 7, '0')) ELSE concat('c', lpad(CAST(s_suppkey AS VARCHAR(20)), 7, '0'), '9') END AS cusip,
+       concat('t', CAST(s_suppkey AS VARCHAR(20)), ' ') AS tic,
+       CASE WHEN s_suppkey % 4 = 0 THEN s_name WHEN s_suppkey % 4 = 1 THEN concat(s_name, ' holdings') WHEN s_suppkey % 4 = 2 THEN concat('another ', s_name, ' of this place') ELSE CASE WHEN s_suppkey % 3 = 0 THEN ' ' END END AS conm, CAST('1995-06-30' AS DATE) AS first_date, CAST(NULL AS DATE) AS last_date FROM supplier""",
     "raw_annual": f"""
 SELECT gvkey, datadate, sich, total AS at, CASE WHEN n % 9 = 0 THEN NULL ELSE part_r END AS ceq, part_a AS dltt, CASE WHEN n % 11 = 0 THEN NULL ELSE tax END AS dlc,
        total - disc AS sale, CASE WHEN n % 13 = 0 THEN NULL ELSE part_o END AS cogs, CASE WHEN n % 5 = 0 THEN NULL ELSE disc END AS xsga, CASE WHEN n % 3 = 0 THEN NULL ELSE tax / 2 END AS xrd,
@@ -90,5 +93,5 @@ def tables(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame
         used = {t: df for t, df in base.items() if f"{{{t}}}" in text}
         df = spark.sql(text, **used)
         # Decimal literals make decimals in one engine and doubles in another.
-        out[name] = df.select(*[df[c].cast("double").alias(c) if k.startswith("decimal") else df[c].cast("long").alias(c) if c in ("permno", "fqtr", "sich", "dlstcd", "shrcd", "exchcd") else df[c] for c, k in df.dtypes])
+        out[name] = df.select(*[df[c].cast("double").alias(c) if k.startswith("decimal") else df[c].cast("long").alias(c) if c in ("permno", "permco", "fqtr", "sich", "dlstcd", "shrcd", "exchcd") else df[c] for c, k in df.dtypes])
     return out

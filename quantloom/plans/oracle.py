@@ -56,20 +56,23 @@ QUARTERLY = "atq ceqq ibq saleq invtq oancfy xrdq txtq epspxq rdq datadate publi
 
 CTES: dict[str, str] = dict(TABLES)
 CTES |= {
-    "spans": "SELECT permno, shrcd, exchcd, comnam, namedt, coalesce(nameendt, DATE '2099-12-31') AS nameendt, CASE WHEN length(upper(trim(ncusip))) >= 8 THEN left(upper(trim(ncusip)), 8) END AS cusip8, nullif(upper(trim(ticker)), '') AS ticker FROM raw_names",
+    "spans": "SELECT permno, permco, shrcd, exchcd, comnam, namedt, coalesce(nameendt, DATE '2099-12-31') AS nameendt, nullif(upper(trim(ncusip)), '') AS cusip8, nullif(upper(trim(ticker)), '') AS ticker FROM raw_names",
     "universe": """SELECT m.*, shrcd, exchcd FROM raw_monthly m JOIN spans n ON m.permno = n.permno AND m.date BETWEEN namedt AND nameendt
       QUALIFY row_number() OVER (PARTITION BY m.permno, m.date ORDER BY namedt DESC, nameendt DESC) = 1""",
     "chosen": "SELECT * FROM universe WHERE shrcd IN (10, 11) AND exchcd IN (1, 2, 3)",
     "delisted": """SELECT u.* EXCLUDE (ret), CASE WHEN dl IS NULL THEN ret WHEN ret IS NULL THEN dl ELSE (1 + ret) * (1 + dl) - 1 END AS ret
-      FROM chosen u LEFT JOIN (SELECT permno, last_day(date) AS month, CASE WHEN dlret IS NULL AND dlstcd BETWEEN 500 AND 584 THEN -0.3 ELSE dlret END AS dl FROM raw_delistings) x
+      FROM chosen u LEFT JOIN (SELECT permno, last_day(date) AS month, CASE WHEN dlret IS NULL AND dlstcd BETWEEN 500 AND 584 THEN -0.3 ELSE dlret END AS dl FROM raw_delistings WHERE dlret IS NOT NULL OR dlstcd BETWEEN 500 AND 584) x
       ON u.permno = x.permno AND last_day(u.date) = x.month""",
     "sized": "SELECT *, abs(prc) * shrout / 1000.0 AS me, abs(prc) / nullif(cfacshr, 0) AS prc_adj FROM delisted",
     "clean": "SELECT *, coalesce(lag(me) OVER (PARTITION BY permno ORDER BY date), me) AS me_lag1 FROM sized",
-    "securities": "SELECT gvkey, iid, CASE WHEN length(upper(trim(cusip))) >= 8 THEN left(upper(trim(cusip)), 8) END AS cusip8, nullif(upper(trim(tic)), '') AS ticker, first_date AS sec_start, coalesce(last_date, DATE '2099-12-31') AS sec_end FROM raw_security",
-    "by_number": """SELECT permno, gvkey, iid, n.cusip8, greatest(namedt, sec_start) AS link_start, least(nameendt, sec_end) AS link_end, 'cusip' AS link_method
+    "securities": "SELECT gvkey, iid, left(upper(trim(cusip)), 8) AS cusip8, nullif(upper(trim(tic)), '') AS ticker, conm, first_date AS sec_start, coalesce(last_date, DATE '2099-12-31') AS sec_end FROM raw_security WHERE length(left(upper(trim(cusip)), 8)) = 8",
+    "by_number": """SELECT permno, permco, gvkey, iid, n.cusip8, greatest(namedt, sec_start) AS link_start, least(nameendt, sec_end) AS link_end, 'cusip' AS link_method
       FROM spans n JOIN securities s ON n.cusip8 = s.cusip8 WHERE datediff('day', greatest(namedt, sec_start), least(nameendt, sec_end)) >= 1""",
-    "by_ticker": """SELECT permno, gvkey, iid, s.cusip8, greatest(namedt, sec_start) AS link_start, least(nameendt, sec_end) AS link_end, 'ticker' AS link_method
-      FROM spans n JOIN securities s ON n.ticker = s.ticker WHERE datediff('day', greatest(namedt, sec_start), least(nameendt, sec_end)) >= 1 AND permno NOT IN (SELECT permno FROM by_number)""",
+    "by_name": """SELECT permno, permco, gvkey, iid, s.cusip8, greatest(namedt, sec_start) AS link_start, least(nameendt, sec_end) AS link_end, 'ticker' AS link_method, conm,
+        list_distinct(list_filter(regexp_split_to_array(lower(trim(comnam)), '\\s+'), lambda x: x <> '')) AS x, list_distinct(list_filter(regexp_split_to_array(lower(trim(coalesce(conm, ''))), '\\s+'), lambda x: x <> '')) AS y
+      FROM spans n JOIN securities s ON n.ticker = s.ticker WHERE n.cusip8 IS NOT NULL AND datediff('day', greatest(namedt, sec_start), least(nameendt, sec_end)) >= 1 AND permno NOT IN (SELECT permno FROM by_number)""",
+    "by_likeness": "SELECT *, CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0 ELSE len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) END AS name_sim FROM by_name",
+    "by_ticker": "SELECT permno, permco, gvkey, iid, cusip8, link_start, link_end, link_method FROM by_likeness WHERE name_sim >= 0.3 OR NOT (SELECT bool_or(trim(coalesce(conm, '')) <> '') FROM by_likeness)",
     "links": """SELECT * FROM (SELECT * FROM by_number UNION ALL SELECT * FROM by_ticker) x
       QUALIFY row_number() OVER (PARTITION BY permno, link_start ORDER BY CASE link_method WHEN 'cusip' THEN 0 WHEN 'ticker' THEN 1 ELSE 2 END, datediff('day', link_start, link_end) DESC, gvkey, iid) = 1""",
     "linked": """SELECT c.* EXCLUDE (date), last_day(c.date) AS date, gvkey, iid, link_method FROM clean c JOIN links l ON c.permno = l.permno AND last_day(c.date) BETWEEN last_day(link_start) AND last_day(link_end)
@@ -100,7 +103,7 @@ FIRM: dict[str, dict[str, str]] = {
         "mom36m": comp(13, 37),
         "chmom": f"({comp(2, 7)}) - ({comp(8, 13)})",
         "turn": roll("avg", d("vol", "shrout * 1000"), 3, 2),
-        "std_turn": roll("stddev_samp", d("vol", "shrout * 1000"), 3, 2),
+        "std_turn": f"round({roll('stddev_samp', d('vol', 'shrout * 1000'), 3, 2)}, 12)",
         "dolvol": roll("avg", "ln(greatest(abs(prc) * vol, 1e-6))", 3, 2),
         "std_dolvol": roll("stddev_samp", "ln(greatest(abs(prc) * vol, 1e-6))", 3, 2),
     },

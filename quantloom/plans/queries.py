@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions import characteristics as C
-from quantloom.functions.exprs import month_number, ratio, word_overlap
+from quantloom.functions.exprs import month_number, ratio
 from quantloom.functions.windows import PanelSpec, unit_rank
 from quantloom.models import expanding, nets, trees
 from quantloom.operators import cleaning, costs, diagnostics, joins, linking, metrics, panel, portfolio, subperiods
+from quantloom.operators.checkpoints import cut
 from quantloom.plans import oracle as O  # noqa: N812
+from quantloom.plans import runs
 from quantloom.plans.adapter import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,8 +26,6 @@ SPEC = PanelSpec()
 BENCH = 0.01
 PERIODS = [("full", "1996-01-01", "2001-12-31"), ("early", "1996-01-01", "1997-12-31"), ("middle", "1998-01-01", "1999-12-31"), ("late", "2000-01-01", "2001-12-31"), ("empty", "2010-01-01", "2010-12-31")]
 HOLD_OUT_FROM, TEST_FROM, TEST_TO = 1998, 2000, 2001
-FORESTS = [{"depth": d} for d in trees.DEPTHS_FOREST]
-BOOSTED = [{"depth": d, "rate": r} for r in trees.RATES for d in trees.DEPTHS_BOOSTED]
 LAYERS = range(1, 6)
 LINEAR_FEATURES = ["me", "bm", "mom12m", "mom1m", "turn", "ep", "sp", "agr", "gma", "acc"]
 
@@ -116,13 +116,13 @@ def dedup_last(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Links.
-@register("link_overlap", O.sql(f"SELECT permno, gvkey, iid, cusip8, {O.text_dates('link_start', 'link_end')}, link_method FROM by_number"))
+@register("link_overlap", O.sql(f"SELECT permno, permco, gvkey, iid, cusip8, {O.text_dates('link_start', 'link_end')}, link_method FROM by_number"))
 def link_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = tables(spark, sf_dir, "raw_names", "raw_security")
     return show(linking.number_links(raw["raw_names"], raw["raw_security"]), linking._OUT)
 
 
-@register("ticker_fallback_anti", O.sql(f"SELECT permno, gvkey, iid, cusip8, {O.text_dates('link_start', 'link_end')}, link_method FROM by_ticker"))
+@register("ticker_fallback_anti", O.sql(f"SELECT permno, permco, gvkey, iid, cusip8, {O.text_dates('link_start', 'link_end')}, link_method FROM by_ticker"))
 def ticker_fallback_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     names, security = tables(spark, sf_dir, "raw_names", "raw_security").values()
     return show(linking.ticker_links(names, security, linking.number_links(names, security)), linking._OUT)
@@ -152,17 +152,11 @@ def link_point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return show(linking.links_on(linking.build_links(raw["raw_names"], raw["raw_security"]), 7, "1998-03-01"), ["permno", "gvkey", "link_start", "link_end"])
 
 
-_WORDS = "list_distinct(list_filter(regexp_split_to_array(lower(trim({})), '\\s+'), lambda x: x <> ''))"
-
-
-@register(
-    "name_jaccard",
-    f"SELECT a.p_partkey AS a, b.p_partkey AS b, round(len(list_intersect(x, y)) / nullif(len(list_distinct(list_concat(x, y))), 0), 6) AS j FROM (SELECT *, {_WORDS.format('p_name')} AS x FROM part) a JOIN (SELECT *, {_WORDS.format('p_name')} AS y FROM part) b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey",
-)
+@register("name_jaccard", O.sql("SELECT permno, gvkey, CAST(link_start AS VARCHAR) AS link_start, round(name_sim, 6) AS name_sim FROM by_likeness"))
 def name_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_brand", "p_type")
-    a, b = (p.select("p_brand", "p_type", F.col("p_partkey").alias(k), F.col("p_name").alias(f"{k}_name")) for k in ("a", "b"))
-    return a.join(b, ["p_brand", "p_type"]).filter("a < b").select("a", "b", F.round(word_overlap(F.col("a_name"), F.col("b_name")), 6).alias("j"))
+    """Likeness of names for the pairs that a ticker alone connects."""
+    names, security = tables(spark, sf_dir, "raw_names", "raw_security").values()
+    return show(linking.ticker_pairs(names, security, linking.number_links(names, security)), ["permno", "gvkey", "link_start"], ["name_sim"])
 
 
 # As-of joins.
@@ -183,7 +177,7 @@ O.CTES |= {
     "days": "SELECT permno, date, ret, row_number() OVER (PARTITION BY permno ORDER BY date) AS i FROM raw_daily",
     "news": "SELECT DISTINCT permno, q_rdq AS rdq FROM merged WHERE q_rdq IS NOT NULL",
     "hits": "SELECT n.permno, rdq, i FROM news n ASOF JOIN days t ON n.permno = t.permno AND n.rdq <= t.date",
-    "ear": "SELECT h.permno, rdq, sum(ret) AS ear FROM hits h JOIN days t ON h.permno = t.permno AND t.i BETWEEN h.i - 1 AND h.i + 1 GROUP BY ALL",
+    "ear": "SELECT h.permno, rdq, round(sum(ret), 12) AS ear FROM hits h JOIN days t ON h.permno = t.permno AND t.i BETWEEN h.i - 1 AND h.i + 1 GROUP BY ALL",
 }
 
 
@@ -223,7 +217,7 @@ O.CTES |= {
     "betas": f"SELECT *, (({_long('rm')}) - ({_long('ret')}) * ({_long('m')})) / nullif(({_long('mm')}) - ({_long('m')}) * ({_long('m')}), 0) AS beta FROM joined_days",
     "residuals": "SELECT *, ret - beta * m AS e, (ret - beta * m) * (ret - beta * m) AS ee FROM betas",
     "measured": f"""SELECT permno, date, beta, beta * beta AS betasq, CASE WHEN ({_long('ee')}) IS NOT NULL THEN sqrt(greatest(({_long('ee')}) - ({_long('e')}) * ({_long('e')}), 0)) END AS idiovol, {_long('illq')} AS ill,
-      {O.roll('stddev_samp', 'ret', 21, 10)} AS retvol, {O.roll('max', 'ret', 21, 10)} AS maxret, {O.roll('avg', 'still', 21, 10)} AS zerotrade FROM residuals""",
+      round({O.roll('stddev_samp', 'ret', 21, 10)}, 12) AS retvol, {O.roll('max', 'ret', 21, 10)} AS maxret, {O.roll('avg', 'still', 21, 10)} AS zerotrade FROM residuals""",
     "by_month": "SELECT permno, last_day(date) AS date, " + ", ".join(f"max_by({c}, date) FILTER ({c} IS NOT NULL) AS {c}" for c in ("beta", "betasq", "idiovol", "retvol", "maxret", "ill", "zerotrade")) + " FROM measured GROUP BY permno, last_day(date)",
     "cut": "SELECT * REPLACE (CASE WHEN ill IS NOT NULL THEN least(ill, quantile_cont(ill, 0.99) OVER (PARTITION BY date)) END AS ill) FROM by_month",
     "feat_friction": """SELECT c.*, CASE WHEN p.me IS NOT NULL THEN ln(greatest(p.me, 1e-6)) END AS me, datediff('day', p.first, p.date) / 365.25 AS age
@@ -236,7 +230,8 @@ _FRICTION = [c for c in C.FAMILIES["friction"] if c != "ill"]
 def features_friction(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = tables(spark, sf_dir, *MERGED, "raw_daily", "raw_market")
     df = C.friction(panel.merged_panel(raw), raw["raw_daily"], raw["raw_market"])
-    return show(df, ["permno", "date"], _FRICTION, 5).join(df.select("permno", F.col("date").cast("string").alias("date"), (F.round(F.col("ill") * 1e9, 4) + 0.0).alias("ill")), ["permno", "date"])
+    measures = [F.round(F.col(c), 5).alias(c) if c != "ill" else F.round(F.col(c) * 1e9, 4).alias(c) for c in C.FAMILIES["friction"]]
+    return show(df.select("permno", "date", *measures), ["permno", "date"], C.FAMILIES["friction"])
 
 
 @register("month_last_nonnull", O.sql(f"SELECT permno, CAST(last_day(date) AS VARCHAR) AS date, {O.rounded(['x'])} FROM (SELECT permno, last_day(date) AS date, max_by(nullif(vol, 0), date) FILTER (vol <> 0) AS x FROM raw_daily GROUP BY ALL) t"))
@@ -265,25 +260,38 @@ def target_excess(spark: SparkSession, sf_dir: str) -> DataFrame:
     return show(panel.excess_target(panel.merged_panel(raw).select("permno", "date", "ret"), raw["raw_factors"]), ["permno", "date"], ["ret_exc"])
 
 
-@register("feature_panel", O.sql(f"SELECT permno, {O.text_dates('date')}, " + ", ".join(f"coalesce(round({O.rank_to_unit(c, 'date')}, 6), 0) + 0.0 AS {c}" for c in _RANKED) + f", {O.rounded(['ret_exc'])} FROM targeted"))
+def _ranked_sql(names: list[str], source: str) -> str:
+    ranks = ", ".join(f"coalesce(round({O.rank_to_unit(c, 'date')}, 6), 0) + 0.0 AS {c}" for c in names)
+    ahead = f"SELECT permno, date, {ranks}, lead(ret) OVER (PARTITION BY permno ORDER BY date) AS nxt FROM {source}"
+    return O.sql(f"SELECT permno, {O.text_dates('s.date').replace('AS s.date', 'AS date')}, {', '.join(names)}, round(nxt - rf, 6) + 0.0 AS ret_exc FROM ({ahead}) s JOIN raw_factors f ON f.date = last_day(s.date + INTERVAL 1 MONTH) WHERE nxt IS NOT NULL")
+
+
+@register("feature_panel", _ranked_sql(_RANKED, "few"))
 def feature_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = tables(spark, sf_dir, *MERGED, "raw_factors")
     return show(panel.feature_panel(raw, _RANKED), ["permno", "date"], [*_RANKED, "ret_exc"])
 
 
-@register("feature_panel_all")
+_MONTH = [f for f in C.FAMILIES if f != "friction"]
+_OWN = {f: [c for c in C.FAMILIES[f] if c != "ear"] for f in C.FAMILIES}
+O.CTES |= {
+    "every": f"SELECT m.permno, m.date, m.ret, {', '.join(f'{f}.{c}' for f in _OWN for c in _OWN[f])}, ear.ear FROM merged m "
+    + " ".join(f"JOIN feat_{f} {f} ON m.permno = {f}.permno AND m.date = {f}.date" for f in _MONTH)
+    + " LEFT JOIN feat_friction friction ON m.permno = friction.permno AND m.date = friction.date LEFT JOIN ear ON m.permno = ear.permno AND m.q_rdq = ear.rdq",
+}
+
+
+@register("feature_panel_all", _ranked_sql(C.ALL, "every"))
 def feature_panel_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All 94 characteristics; each is compared on its own in the family queries."""
-    return panel.feature_panel(tables(spark, sf_dir))
+    """All 94 characteristics."""
+    return show(panel.feature_panel(tables(spark, sf_dir)), ["permno", "date"], [*C.ALL, "ret_exc"])
 
 
 # Predictions out of plain signals, and what is measured on them.
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three signals over the clean monthly rows with the target, in long form."""
-    monthly = clean(spark, sf_dir)
-    ahead = panel.excess_target(monthly, tables(spark, sf_dir, "raw_factors")["raw_factors"])
-    kept = monthly.select("permno", "date", SPEC.compound(F.col("ret"), 2, 7).alias("mom"), (-F.col("ret")).alias("rev"), (-F.log("me")).alias("size"))
-    wide = ahead.select("permno", "date", "ret_exc").join(kept, ["permno", "date"])
+    """Three signals over the clean monthly rows with the target, in long form; one pass over each firm's rows."""
+    signals = clean(spark, sf_dir).select("permno", "date", "ret", SPEC.compound(F.col("ret"), 2, 7).alias("mom"), (-F.col("ret")).alias("rev"), (-F.log("me")).alias("size"))
+    wide = panel.excess_target(signals, tables(spark, sf_dir, "raw_factors")["raw_factors"]).drop("ret")
     return wide.unpivot(["permno", "date", "ret_exc"], ["mom", "rev", "size"], "model", "pred_ret").dropna(subset=["pred_ret"])
 
 
@@ -339,9 +347,9 @@ def prediction_dispersion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return show(metrics.dispersion(predictions(spark, sf_dir)), ["model"], ["pred_std"])
 
 
-@register("merge_coverage", O.sql("SELECT p.model, round(count(m.permno) / count(*), 6) AS covered FROM preds p LEFT JOIN (SELECT DISTINCT permno, date FROM linked WHERE permno % 3 <> 0) m ON p.permno = m.permno AND p.date = m.date GROUP BY p.model"))
+@register("merge_coverage", O.sql("SELECT p.model, round(count(m.permno) / count(*), 6) AS covered FROM preds p LEFT JOIN (SELECT DISTINCT permno, date FROM linked) m ON p.permno = m.permno AND p.date = m.date GROUP BY p.model"))
 def merge_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return show(metrics.coverage(predictions(spark, sf_dir), merged(spark, sf_dir).filter("permno % 3 <> 0")), ["model"], ["covered"])
+    return show(metrics.coverage(predictions(spark, sf_dir), merged(spark, sf_dir)), ["model"], ["covered"])
 
 
 def assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -380,11 +388,38 @@ def cumulative_ls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return show(portfolio.cumulative(ls(spark, sf_dir)), ["model", "date"], ["cum_ret"])
 
 
-@register("hac_alpha")
+_FACTORS = list(portfolio.FIVE)
+
+
+def _alpha_ctes(name: str, series: str, by: list[str], y: str) -> str:
+    """Puts CTEs that regress y on a constant and the factors of its month, and names the one with alpha, t and p.
+
+    The factors are taken out of y and of the constant one by one; what is left of the constant weighs the errors,
+    whose products up to twelve months apart make the variance. p is an integral of the normal density."""
+    p = f"OVER (PARTITION BY {', '.join(by)})"
+    keys = ", ".join(f"s.{k}" for k in by)
+    O.CTES[f"{name}_0"] = f"SELECT {keys}, s.date, s.{y} AS y, 1.0 AS one, {', '.join(f'CAST({f} AS DOUBLE) AS {f}' for f in _FACTORS)} FROM {series} s JOIN raw_factors f ON last_day(s.date) = last_day(f.date) WHERE s.{y} IS NOT NULL"
+    for i, f in enumerate(_FACTORS):
+        rest = ["y", "one", *_FACTORS[i + 1 :]]
+        O.CTES[f"{name}_{i + 1}"] = f"SELECT {', '.join(by)}, date, {', '.join(f'{c} - sum({c} * {f}) {p} / sum({f} * {f}) {p} * {f} AS {c}' for c in rest)} FROM {name}_{i}"
+    O.CTES[f"{name}_fit"] = f"SELECT {', '.join(by)}, date, one, sum(one * y) {p} / sum(one * one) {p} AS alpha, one * (y - sum(one * y) {p} / sum(one * one) {p} * one) / sum(one * one) {p} AS psi, row_number() OVER (PARTITION BY {', '.join(by)} ORDER BY date) AS i, count(*) {p} AS n_obs FROM {name}_{len(_FACTORS)}"
+    same = " AND ".join(f"a.{k} = b.{k}" for k in by)
+    O.CTES[f"{name}_var"] = f"SELECT {', '.join(f'a.{k}' for k in by)}, any_value(a.alpha) AS alpha, any_value(a.n_obs) AS n_obs, sum(a.psi * b.psi * (1 - abs(a.i - b.i) / 13.0)) AS v FROM {name}_fit a JOIN {name}_fit b ON {same} AND abs(a.i - b.i) <= 12 GROUP BY ALL"
+    O.CTES[f"{name}_t"] = f"SELECT {', '.join(by)}, n_obs, CASE WHEN n_obs > 6 THEN 12 * alpha END AS alpha_annual, CASE WHEN n_obs > 6 THEN alpha / sqrt(v) END AS t_alpha FROM {name}_var"
+    area = "list_sum(list_transform(range(0, 401), lambda k: (CASE WHEN k IN (0, 400) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * exp(-pow(k * abs(t_alpha) / 400, 2) / 2))) * abs(t_alpha) / 1200"
+    O.CTES[f"{name}_alpha"] = f"SELECT *, greatest(1 - sqrt(2 / pi()) * {area}, 0) AS p_alpha FROM {name}_t"
+    return f"{name}_alpha"
+
+
+_LS_ALPHA = _alpha_ctes("ls_reg", "ls", ["model"], "ls_ret")
+_PERF = ["ann_ret", "ann_vol", "sharpe", "alpha_annual", "t_alpha", "p_alpha"]
+
+
+@register("hac_alpha", O.sql(f"SELECT t.model, n_months, n_obs, {O.rounded(_PERF, 5)} FROM (SELECT model, count(ls_ret) AS n_months, {_ANN.format('ls_ret', '')} FROM ls GROUP BY model) t LEFT JOIN {_LS_ALPHA} a ON t.model = a.model"))
 def hac_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Alpha over five factors with errors robust to autocorrelation; tests hold it to a plain double loop."""
+    """Alpha over five factors with errors robust to autocorrelation."""
     factors = tables(spark, sf_dir, "raw_factors")["raw_factors"]
-    return show(portfolio.performance(ls(spark, sf_dir), factors), ["model", "n_months", "n_obs"], ["ann_ret", "ann_vol", "sharpe", "alpha_annual", "t_alpha", "p_alpha"])
+    return show(portfolio.performance(ls(spark, sf_dir), factors), ["model", "n_months", "n_obs"], _PERF, 5)
 
 
 @register("market_beta_alpha", O.sql("SELECT model, round(regr_slope(ls_ret, mkt_rf), 6) AS slope, round(12 * regr_intercept(ls_ret, mkt_rf), 6) AS alpha_annual FROM ls JOIN raw_factors f ON ls.date = f.date GROUP BY model"))
@@ -395,30 +430,26 @@ def market_beta_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Sub-periods.
-def flawed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Predictions of which one model is constant in every third month and another lacks some months."""
-    month = F.month("date")
-    p = predictions(spark, sf_dir).filter(~((F.col("model") == "rev") & (month == 5)))
-    return p.withColumn("pred_ret", F.when((F.col("model") == "size") & (month % 3 == 0), 0.5).otherwise(F.col("pred_ret")))
-
-
 O.CTES |= {
-    "flawed": "SELECT permno, date, ret_exc, model, CASE WHEN model = 'size' AND month(date) % 3 = 0 THEN 0.5 ELSE pred_ret END AS pred_ret FROM preds WHERE NOT (model = 'rev' AND month(date) = 5)",
-    "constant": "SELECT model, date FROM flawed GROUP BY ALL HAVING count(pred_ret) > 1 AND min(pred_ret) = max(pred_ret)",
-    "sound": "SELECT f.* FROM flawed f ANTI JOIN constant c ON f.model = c.model AND f.date = c.date",
+    "constant": "SELECT model, date FROM preds GROUP BY ALL HAVING count(pred_ret) > 1 AND min(pred_ret) = max(pred_ret)",
+    "sound": "SELECT f.* FROM preds f ANTI JOIN constant c ON f.model = c.model AND f.date = c.date",
     "periods": " UNION ALL ".join(f"SELECT '{p}' AS period, DATE '{a}' AS a, DATE '{b}' AS b" for p, a, b in PERIODS),
     "period_fit": f"SELECT model, period, {_r2()} AS oos_r2, count(DISTINCT date) AS n_months FROM sound JOIN periods ON date BETWEEN a AND b GROUP BY ALL",
     "period_grid": "SELECT model, period, oos_r2, n_months FROM (SELECT DISTINCT model FROM sound) CROSS JOIN periods LEFT JOIN period_fit USING (model, period)",
+    "period_ics": "SELECT model, period, avg(ic) AS mean_ic, stddev_samp(ic) AS std_ic, count(ic) AS n_months FROM ic JOIN periods ON date BETWEEN a AND b GROUP BY ALL",
+    "period_ls": "SELECT model, period, date, ls_ret FROM ls JOIN periods ON date BETWEEN a AND b",
+    "period_perf": f"SELECT model, period, count(ls_ret) AS n_months, {_ANN.format('ls_ret', '')} FROM period_ls GROUP BY ALL",
 }
+_PERIOD_ALPHA = _alpha_ctes("period_reg", "period_ls", ["model", "period"], "ls_ret")
 
 
 @register("zero_var_months", O.sql(f"SELECT model, {O.text_dates('date')} FROM constant"))
 def zero_var_months(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return show(subperiods.constant_months(flawed(spark, sf_dir)), ["model", "date"])
+    return show(subperiods.constant_months(predictions(spark, sf_dir)), ["model", "date"])
 
 
 def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return subperiods.period_r2(subperiods.without_degenerate(flawed(spark, sf_dir)), subperiods.period_table(spark, PERIODS), BENCH)
+    return subperiods.period_r2(subperiods.without_degenerate(predictions(spark, sf_dir)), subperiods.period_table(spark, PERIODS), BENCH)
 
 
 @register("model_period_grid", O.sql("SELECT model, period, n_months, round(oos_r2, 6) AS oos_r2 FROM period_grid"))
@@ -426,9 +457,38 @@ def model_period_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return show(_grid(spark, sf_dir), ["model", "period", "n_months"], ["oos_r2"])
 
 
-@register("best_per_period", O.sql("SELECT period, model, round(oos_r2, 6) AS oos_r2 FROM period_grid WHERE oos_r2 IS NOT NULL QUALIFY row_number() OVER (PARTITION BY period ORDER BY oos_r2 DESC, model) = 1"))
+_BEST = "round({0}, 6) AS {0} FROM {1} WHERE {0} IS NOT NULL QUALIFY row_number() OVER (PARTITION BY period ORDER BY {0} DESC, model) = 1"
+
+
+@register("best_per_period", O.sql("SELECT period, model, " + _BEST.format("oos_r2", "period_grid")))
 def best_per_period(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return show(joins.first_by(_grid(spark, sf_dir).dropna(subset=["oos_r2"]), ["period"], [F.desc("oos_r2"), F.col("model")]), ["period", "model"], ["oos_r2"])
+    return show(subperiods.best_by_period(_grid(spark, sf_dir), "oos_r2"), ["period", "model"], ["oos_r2"])
+
+
+def _period_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    periods = subperiods.period_table(spark, PERIODS)
+    return subperiods.period_metrics(predictions(spark, sf_dir), clean(spark, sf_dir), tables(spark, sf_dir, "raw_factors")["raw_factors"], periods, BENCH)
+
+
+@register("period_ic", O.sql("SELECT model, period, n_months, round(mean_ic, 6) AS mean_ic, round(std_ic, 6) AS std_ic, round(mean_ic / nullif(std_ic, 0), 6) AS icir FROM period_ics"))
+def period_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return show(_period_tables(spark, sf_dir)["ic_stats"], ["model", "period", "n_months"], ["mean_ic", "std_ic", "icir"])
+
+
+@register("period_performance", O.sql(f"SELECT t.model, t.period, n_months, n_obs, {O.rounded(_PERF, 5)} FROM period_perf t LEFT JOIN {_PERIOD_ALPHA} a ON t.model = a.model AND t.period = a.period"))
+def period_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Return, Sharpe ratio and alpha of each model in each period."""
+    return show(_period_tables(spark, sf_dir)["portfolio_perf"], ["model", "period", "n_months", "n_obs"], _PERF, 5)
+
+
+@register("best_sharpe_per_period", O.sql("SELECT period, model, " + _BEST.format("sharpe", "period_perf")))
+def best_sharpe_per_period(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return show(subperiods.best_by_period(_period_tables(spark, sf_dir)["portfolio_perf"], "sharpe"), ["period", "model"], ["sharpe"])
+
+
+@register("report_order", O.sql("SELECT period, model, n_months, CAST(coalesce(list_position(['" + "', '".join(subperiods.MODEL_ORDER) + f"'], model), {len(subperiods.MODEL_ORDER) + 1}) AS INT) AS ord FROM period_grid"))
+def report_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return show(_grid(spark, sf_dir).withColumn("place", subperiods.report_place(F.col("model"))).drop("ord").withColumnRenamed("place", "ord"), ["period", "model", "n_months", "ord"])
 
 
 @register("pivot_periods", O.sql("SELECT model, " + ", ".join(f"round(max(oos_r2) FILTER (period = '{p}'), 6) AS \"{p}\"" for p, *_ in PERIODS) + " FROM period_grid GROUP BY model"))
@@ -437,9 +497,9 @@ def pivot_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return show(_grid(spark, sf_dir).groupBy("model").pivot("period", names).agg(F.first("oos_r2")), ["model"], names)
 
 
-@register("coverage_except", O.sql("SELECT model, CAST(last_day(d) AS VARCHAR) AS date FROM (SELECT DISTINCT model FROM flawed) CROSS JOIN months EXCEPT SELECT model, CAST(date AS VARCHAR) FROM flawed"))
+@register("coverage_except", O.sql("SELECT model, CAST(last_day(d) AS VARCHAR) AS date FROM (SELECT DISTINCT model FROM preds) CROSS JOIN months EXCEPT SELECT model, CAST(date AS VARCHAR) FROM preds"))
 def coverage_except(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return show(subperiods.missing_months(flawed(spark, sf_dir), "1995-07-31", "2001-06-30"), ["model", "date"])
+    return show(subperiods.missing_months(predictions(spark, sf_dir), "1995-07-31", "2001-06-30"), ["model", "date"])
 
 
 @register("last_common_month", O.sql("SELECT CAST(least((SELECT max(last_day(date)) FROM preds), (SELECT max(last_day(date)) FROM raw_daily)) AS VARCHAR) AS \"end\""))
@@ -449,8 +509,10 @@ def last_common_month(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Trading costs.
 O.CTES |= {
-    "held": """SELECT a.*, exchcd, ret, prc, vol, CASE WHEN decile = 10 THEN 0.5 ELSE -0.5 END * a.me_lag1 / sum(a.me_lag1) OVER (PARTITION BY model, a.date, decile) AS signed_w
-      FROM assigned a JOIN clean c ON a.permno = c.permno AND a.date = c.date WHERE decile IN (1, 10)""",
+    "eligible": """SELECT p.*, c.me_lag1, exchcd, ret, prc, vol, row_number() OVER w AS r, count(*) OVER (PARTITION BY model, p.date) AS n FROM preds p JOIN clean c ON p.permno = c.permno AND p.date = c.date
+      WHERE c.me_lag1 > 0 AND exchcd IS NOT NULL AND ret IS NOT NULL AND prc IS NOT NULL AND vol IS NOT NULL WINDOW w AS (PARTITION BY model, p.date ORDER BY pred_ret, p.permno)""",
+    "held": """SELECT *, CASE WHEN decile = 10 THEN 0.5 ELSE -0.5 END * me_lag1 / sum(me_lag1) OVER (PARTITION BY model, date, decile) AS signed_w
+      FROM (SELECT * EXCLUDE (r, n), CAST(CASE WHEN n = 1 THEN 1 ELSE greatest(1, (10 * (r - 1) + n - 2) // (n - 1)) END AS INT) AS decile FROM eligible) e WHERE decile IN (1, 10)""",
     "points": "SELECT date, quantile_cont(me_lag1, 0.2) FILTER (exchcd = 1) AS p20, quantile_cont(me_lag1, 0.8) FILTER (exchcd = 1) AS p80, quantile_cont(me_lag1, 0.2) AS q20, quantile_cont(me_lag1, 0.8) AS q80 FROM held GROUP BY date",
     "fixed": "SELECT h.*, CASE WHEN me_lag1 <= coalesce(p20, q20) THEN 20.0 WHEN me_lag1 >= coalesce(p80, q80) THEN 5.0 ELSE 10.0 END AS spread FROM held h JOIN points p ON h.date = p.date",
     "illiquid": "SELECT *, abs(ret) / nullif(abs(prc) * vol, 0) AS illiq FROM held",
@@ -468,15 +530,12 @@ O.CTES |= {
 
 
 def held(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Kept, since spreads, turnover and returns each read it."""
-    return costs.holdings(assigned(spark, sf_dir), clean(spark, sf_dir)).persist()
+    """Written once: spreads, turnover and returns each read it."""
+    return cut(costs.holdings(predictions(spark, sf_dir), clean(spark, sf_dir)))
 
 
 def net(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Kept, too: a row for each method, model and month, which several summaries read."""
-    h = held(spark, sf_dir)
-    both = costs.illiquidity_spread(costs.fixed_spread(h))
-    return costs.monthly_costs(both, {"fixed": "spread_bps_fixed", "amihud": "spread_bps_amihud"}).persist()
+    return costs.monthly_costs(costs.with_spreads(held(spark, sf_dir)), {"fixed": "spread_bps_fixed", "amihud": "spread_bps_amihud"})
 
 
 @register("signed_weights", O.sql(f"SELECT permno, {O.text_dates('date')}, model, decile, {O.rounded(['signed_w'])} FROM held"))
@@ -486,12 +545,12 @@ def signed_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("fixed_spread", O.sql(f"SELECT permno, {O.text_dates('date')}, model, spread AS spread_bps_fixed FROM fixed"))
 def fixed_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return show(costs.fixed_spread(held(spark, sf_dir)), ["permno", "date", "model"], ["spread_bps_fixed"])
+    return show(costs.with_spreads(held(spark, sf_dir)), ["permno", "date", "model"], ["spread_bps_fixed"])
 
 
 @register("amihud_spread", O.sql(f"SELECT permno, {O.text_dates('date')}, model, round(spread, 5) AS spread_bps_amihud FROM amihud"))
 def amihud_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return show(costs.illiquidity_spread(held(spark, sf_dir)), ["permno", "date", "model"], ["spread_bps_amihud"], 5)
+    return show(costs.with_spreads(held(spark, sf_dir)), ["permno", "date", "model"], ["spread_bps_amihud"], 5)
 
 
 @register("ls_turnover", O.sql(f"SELECT model, {O.text_dates('date')}, {O.rounded(['turnover'])} FROM turnovers"))
@@ -519,13 +578,20 @@ _SUM = ["ann_ret_gross", "ann_vol_gross", "sharpe_gross", "ann_ret_net", "ann_vo
     ),
 )
 def tc_rank_change(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return show(costs.cost_summary(net(spark, sf_dir)), ["tc_method", "model", "n_months", "rank_gross", "rank_net", "rank_change"], _SUM)
+    return show(costs.cost_summary(cut(net(spark, sf_dir))), ["tc_method", "model", "n_months", "rank_gross", "rank_net", "rank_change"], _SUM)
+
 
+_TC = [_alpha_ctes(f"tc_{k}", "net", ["tc_method", "model"], f"{k}_ls_ret") for k in ("gross", "net")]
+_TC_ALPHA = ["alpha_annual_gross", "t_alpha_gross", "alpha_annual_net", "t_alpha_net"]
 
-@register("tc_summary_alpha")
+
+@register(
+    "tc_summary_alpha",
+    O.sql(f"SELECT g.tc_method, g.model, round(g.alpha_annual, 5) + 0.0 AS alpha_annual_gross, round(g.t_alpha, 5) + 0.0 AS t_alpha_gross, round(n.alpha_annual, 5) + 0.0 AS alpha_annual_net, round(n.t_alpha, 5) + 0.0 AS t_alpha_net FROM {_TC[0]} g JOIN {_TC[1]} n ON g.tc_method = n.tc_method AND g.model = n.model"),
+)
 def tc_summary_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cost summary with gross and net alphas; the regression is tested on its own."""
-    return costs.cost_summary(net(spark, sf_dir), tables(spark, sf_dir, "raw_factors")["raw_factors"])
+    """Gross and net alphas of the cost summary."""
+    return show(costs.cost_summary(cut(net(spark, sf_dir)), tables(spark, sf_dir, "raw_factors")["raw_factors"]), ["tc_method", "model"], _TC_ALPHA, 5)
 
 
 @register("top_rank_changes", O.sql("SELECT tc_method, model, place, round(mean_turnover, 6) AS mean_turnover FROM (SELECT *, CAST(row_number() OVER (PARTITION BY tc_method ORDER BY mean_turnover DESC, model) AS INT) AS place FROM (SELECT tc_method, model, avg(turnover) AS mean_turnover FROM net GROUP BY ALL) a) b WHERE place <= 2"))
@@ -581,9 +647,14 @@ def feature_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return show(diagnostics.correlations(panel.excess_target(panel.raw_features(raw, _COR), raw["raw_factors"]), _COR), ["a", "b"], ["r"])
 
 
-@register("seeded_sample")
+@register("seeded_sample", O.sql("SELECT permno, CAST(date AS VARCHAR) AS date FROM clean ORDER BY md5(concat(permno, '|', CAST(date AS VARCHAR), '|42')), permno, date LIMIT 500"))
 def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diagnostics.seeded_sample(clean(spark, sf_dir).select("permno", "date"), ["permno", "date"], 500)
+    return show(diagnostics.seeded_sample(clean(spark, sf_dir).select("permno", "date"), ["permno", "date"], 500), ["permno", "date"])
+
+
+@register("largest_moves", O.sql("SELECT permno, CAST(date AS VARCHAR) AS date, round(ret, 6) AS ret FROM clean WHERE ret IS NOT NULL ORDER BY abs(ret) DESC, permno, date LIMIT 20"))
+def largest_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return show(diagnostics.top_n(clean(spark, sf_dir).dropna(subset=["ret"]), [F.desc(F.abs("ret")), F.col("permno"), F.col("date")], 20), ["permno", "date"], ["ret"])
 
 
 @register("many_to_one_guard", "SELECT s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey")
@@ -600,18 +671,66 @@ def report_lag_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.clean_annual(raw["raw_annual"]).agg(gap).select(F.lit("annual").alias("kind"), "least").unionByName(cleaning.clean_quarterly(raw["raw_quarterly"]).agg(gap).select(F.lit("quarterly").alias("kind"), "least"))
 
 
-# Fitted models. SQL cannot state the fits; tests hold them to direct solutions on the rows.
+# Fitted models. SQL states the least-squares ones; tests hold the others to direct solutions on the rows.
+_PARTS = {c: f for f in C.FAMILIES for c in C.FAMILIES[f] if c in LINEAR_FEATURES}
+O.CTES |= {
+    "linear_rows": f"SELECT m.permno, m.date, m.ret, {', '.join(f'{_PARTS[c]}.{c}' for c in LINEAR_FEATURES)} FROM merged m " + " ".join(f"LEFT JOIN feat_{f} {f} ON m.permno = {f}.permno AND m.date = {f}.date" for f in dict.fromkeys(_PARTS.values())),
+    "ranked": "SELECT permno, date, lead(ret) OVER (PARTITION BY permno ORDER BY date) AS nxt, " + ", ".join(f"coalesce({O.rank_to_unit(c, 'date')}, 0) AS {c}" for c in LINEAR_FEATURES) + " FROM linear_rows",
+    "panel": f"SELECT permno, s.date, nxt - rf AS ret_exc, {', '.join(LINEAR_FEATURES)} FROM ranked s JOIN raw_factors f ON f.date = last_day(s.date + INTERVAL 1 MONTH) WHERE nxt IS NOT NULL",
+}
+
+
+def _ols_cte(model: str, features: list[str], test_year: int) -> str:
+    """Puts CTEs that take the constant and the features out of the target one by one, by training rows only, and
+    names the one with the predictions: target less what is left of it."""
+    name = f"{model}_{test_year}"
+    O.CTES[f"{name}_0"] = f"SELECT permno, date, ret_exc, ret_exc AS y, 1.0 AS one, year(date) < {test_year} AS train, {', '.join(features)} FROM panel WHERE year(date) <= {test_year}"
+    order = ["one", *features]
+    for i, f in enumerate(order):
+        part = lambda c, f=f: f"{c} - coalesce(sum({c} * {f}) FILTER (train) OVER () / nullif(sum({f} * {f}) FILTER (train) OVER (), 0), 0) * {f} AS {c}"
+        O.CTES[f"{name}_{i + 1}"] = f"SELECT permno, date, ret_exc, train, {', '.join(part(c) for c in ['y', *order[i + 1 :]])} FROM {name}_{i}"
+    O.CTES[name] = f"SELECT permno, date, '{model}' AS model, ret_exc - y AS pred_ret FROM {name}_{len(order)} WHERE NOT train"
+    return name
+
+
+_OLS = [_ols_cte(m, f, y) for m, f in (("ols3", list(expanding.SMALL)), ("ols_all", LINEAR_FEATURES)) for y in range(TEST_FROM, TEST_TO + 1)]
+
+
 def _panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Kept: training, selection and prediction each read it."""
-    return panel.feature_panel(tables(spark, sf_dir), LINEAR_FEATURES).persist()
+    return panel.feature_panel(tables(spark, sf_dir), LINEAR_FEATURES)
+
+
+@contextmanager
+def _kept(p: DataFrame) -> Iterator[DataFrame]:
+    """p, kept while fits read it again and again, and given back when they are done."""
+    p.persist()
+    try:
+        yield p
+    finally:
+        p.unpersist()
+
+
+YEARS = (HOLD_OUT_FROM, TEST_FROM, TEST_TO)
+
+
+@register("ols_expanding", O.sql(f"SELECT permno, {O.text_dates('date')}, model, round(pred_ret, 6) + 0.0 AS pred_ret FROM (" + " UNION ALL ".join(f"SELECT * FROM {n}" for n in _OLS) + ") u"))
+def ols_expanding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least squares on three and on all features, fitted anew for each test year on all years before."""
+    p = _panel(spark, sf_dir)
+    run = expanding.expanding(p, LINEAR_FEATURES, *YEARS, ["ols3", "ols_all"])
+    return show(expanding.predictions(p, run), ["permno", "date", "model"], ["pred_ret"])
+
+
+@register("pretest_mean", O.sql(f"SELECT round(avg(ret_exc), 9) AS bench FROM panel WHERE year(date) < {TEST_FROM}"))
+def pretest_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return show(runs.pretest_mean(_panel(spark, sf_dir), TEST_FROM), [], ["bench"], 9)
 
 
 @register("linear_expanding")
 def linear_expanding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All six linear models, fitted anew for each test year on all years before."""
     p = _panel(spark, sf_dir)
-    run = expanding.expanding(p, LINEAR_FEATURES, HOLD_OUT_FROM, TEST_FROM, TEST_TO)
-    return expanding.predictions(p, run)
+    return expanding.predictions(p, expanding.expanding(p, LINEAR_FEATURES, *YEARS))
 
 
 @register("grid_select")
@@ -632,69 +751,74 @@ def grid_select(spark: SparkSession, sf_dir: str) -> DataFrame:
 def model_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pooled fit and rank correlation of the linear models."""
     p = _panel(spark, sf_dir)
-    run = expanding.expanding(p, LINEAR_FEATURES, HOLD_OUT_FROM, TEST_FROM, TEST_TO)
+    run = expanding.expanding(p, LINEAR_FEATURES, *YEARS)
     return metrics.summary(expanding.predictions(p, run), run.bench)
 
 
+def _whole_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panel.feature_panel(tables(spark, sf_dir))
+
+
 @register("parsimony_delta")
 def parsimony_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R2 of each linear model on all features, on the allowed ones of most importance, and the difference."""
-    p = _panel(spark, sf_dir)
-    ranked = [r["feature"] for r in _importance(p).orderBy("place").collect()]  # one row for each feature
-    small = trees.small_set(ranked)
-    full = expanding.expanding(p, LINEAR_FEATURES, HOLD_OUT_FROM, TEST_FROM, TEST_TO)
-    less = expanding.expanding(p.select("permno", "date", *small, "ret_exc"), small, HOLD_OUT_FROM, TEST_FROM, TEST_TO)
-    a, b = (metrics.pooled_r2(expanding.predictions(p, r), full.bench).withColumnRenamed("oos_r2", n) for r, n in ((full, "r2_full"), (less, "r2_reduced")))
-    return a.join(b, "model", "full").withColumn("delta", F.col("r2_reduced") - F.col("r2_full"))
+    """R2 of each linear model on all 94 features, on the allowed ones of most importance, and the difference."""
+    with _kept(_whole_panel(spark, sf_dir)) as p:
+        small, chosen = runs.small_panel(p, HOLD_OUT_FROM, TEST_FROM, features=C.ALL)
+        fits = [expanding.expanding(x, f, *YEARS) for x, f in ((p, C.ALL), (small, chosen))]
+    both = [metrics.pooled_r2(expanding.predictions(p, r), fits[0].bench) for r in fits]
+    return runs.compare(*both)
+
 
+@register("selected_features")
+def selected_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The small feature set, by importance."""
+    with _kept(_whole_panel(spark, sf_dir)) as p:
+        chosen = runs.small_panel(p, HOLD_OUT_FROM, TEST_FROM, features=C.ALL)[1]
+    return spark.createDataFrame(list(enumerate(chosen, 1)), "place int, feature string")
 
-def _chosen(p: DataFrame, make, grid: list[dict]) -> dict:  # noqa: ANN001
-    """The parameters of grid with the best hold-out R2 before the first test year."""
-    return trees.select(p, LINEAR_FEATURES, make, grid, HOLD_OUT_FROM, TEST_FROM)[0]
+
+def _grown(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    make, grid = runs.GROWN[name]
+    with _kept(_panel(spark, sf_dir)) as p:
+        best = trees.select(p, LINEAR_FEATURES, make, grid, HOLD_OUT_FROM, TEST_FROM)[0]
+        return trees.expanding(p, LINEAR_FEATURES, name, lambda: make(**best), TEST_FROM, TEST_TO)
 
 
 @register("forest_expanding")
 def forest_expanding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forests of the chosen depth, fitted anew for each test year."""
-    p = _panel(spark, sf_dir)
-    best = _chosen(p, trees.forest, FORESTS)
-    return trees.expanding(p, LINEAR_FEATURES, "rf", lambda: trees.forest(**best), TEST_FROM, TEST_TO)
+    return _grown(spark, sf_dir, "rf")
 
 
 @register("boosted_expanding")
 def boosted_expanding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boosted trees of the chosen depth and rate, fitted anew for each test year."""
-    p = _panel(spark, sf_dir)
-    best = _chosen(p, trees.boosted, BOOSTED)
-    return trees.expanding(p, LINEAR_FEATURES, "gbrt", lambda: trees.boosted(**best), TEST_FROM, TEST_TO)
-
-
-def _importance(p: DataFrame) -> DataFrame:
-    """Importance of every feature in a forest of depth 2, by the years held out before the first test year."""
-    year = F.year("date")
-    train = p.dropna(subset=["ret_exc"]).filter(year < HOLD_OUT_FROM)
-    model = trees.forest(2).fit(trees.vectors(train, LINEAR_FEATURES))
-    held = p.dropna(subset=["ret_exc"]).filter((year >= HOLD_OUT_FROM) & (year < TEST_FROM))
-    return trees.permutation_importance(model, trees.importance_sample(held).cache(), LINEAR_FEATURES, BENCH)
+    return _grown(spark, sf_dir, "gbrt")
 
 
 @register("perm_importance")
 def perm_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _importance(_panel(spark, sf_dir))
+    """Importance of all 94 features."""
+    with _kept(_whole_panel(spark, sf_dir)) as p:
+        return runs.importance(p, C.ALL, HOLD_OUT_FROM, TEST_FROM)
 
 
 @register("nn_expanding")
 def nn_expanding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nets of one to five layers, the mean of three seeds, trained anew for each test year."""
-    p = _panel(spark, sf_dir)
-    parts = [nets.predictions(p, LINEAR_FEATURES, layers, year) for layers in LAYERS for year in range(TEST_FROM, TEST_TO + 1)]
-    return reduce(DataFrame.unionByName, parts)
+    return nets.predictions(_panel(spark, sf_dir), LINEAR_FEATURES, list(LAYERS), TEST_FROM, TEST_TO)
 
 
-@register("completed_years")
+@register(
+    "completed_years",
+    O.sql(
+        """SELECT y.year FROM (SELECT year(date) AS year, count(*) AS n FROM preds WHERE model = 'mom' GROUP BY 1) y
+        JOIN (SELECT model, year(date) AS year, count(*) AS n FROM preds WHERE model IN ('mom', 'size') GROUP BY 1, 2) h ON y.year = h.year AND y.n = h.n GROUP BY y.year HAVING count(DISTINCT model) = 2"""
+    ),
+)
 def completed_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = predictions(spark, sf_dir)
-    return expanding.completed_years(p, p.filter("model = 'mom'").select("permno", "date"), ["mom", "size"])
+    return expanding.completed_years(p, p.filter("model = 'mom'").select("permno", "date"), ["mom", "size"]).withColumn("year", F.col("year").cast("long"))
 
 
 @register("unit_rank_single", O.sql(f"SELECT permno, {O.text_dates('date')}, round({O.rank_to_unit('ret', 'date')}, 6) + 0.0 AS x FROM clean"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,11 +49,81 @@ def select_list(template: Iterable[str]) -> list[str]:
     return [name for line in template if (name := line.split("#")[0].split("--")[0].strip().rstrip(","))]
 
 
-def jdbc(spark: SparkSession, url: str, table: str, columns: list[str], date: str, years: Iterable[int], user: str | None = None, password: str | None = None) -> DataFrame:
-    """A remote table read by one task a year; the rest of a query's filters is pushed to the server."""
-    predicates = [f"{date} >= DATE '{y}-01-01' AND {date} < DATE '{y + 1}-01-01'" for y in years]
+@dataclass(frozen=True)
+class Pull:
+    """A remote table: its columns, the rows that are wanted and their order. dated: the column of the start date."""
+
+    table: str
+    columns: str
+    order: str
+    where: tuple[str, ...] = ()
+    dated: str = ""
+
+    def predicates(self, start: str | None = None, years: Iterable[int] = ()) -> list[str]:
+        """One condition for each task: of the start date, or of each year."""
+        fixed = list(self.where)
+        if self.dated and years:
+            return [" AND ".join([*fixed, f"{self.dated} >= '{y}-01-01'", f"{self.dated} <= '{y}-12-31'"]) for y in years]
+        if self.dated and start:
+            fixed.append(f"{self.dated} >= '{start}'")
+        return [" AND ".join(fixed) or "1 = 1"]
+
+
+_STANDARD = ("indfmt = 'INDL'", "datafmt = 'STD'", "popsrc = 'D'", "consol = 'C'")
+#: The remote tables, with their columns and filters.
+PULLS = {
+    "monthly": Pull("crsp.msf", "permno, date, ret, retx, prc, shrout, vol, cfacshr", "permno, date", dated="date"),
+    "names": Pull("crsp.msenames", "permno, permco, cusip, ncusip, ticker, comnam, shrcd, exchcd, namedt, nameendt", "permno, namedt"),
+    "delistings": Pull("crsp.mse", "permno, date, dlstcd, dlret, dlpdt", "permno, date", ("dlstcd IS NOT NULL",)),
+    "index": Pull("crsp.dsi", "date, vwretd, ewretd", "date", dated="date"),
+    "daily": Pull("crsp.dsf", "permno, date, ret, vol, prc", "permno, date", dated="date"),
+    "annual": Pull(
+        "comp.funda",
+        "gvkey, datadate, fyear, indfmt, datafmt, popsrc, consol, sich, naicsh, at, lt, ceq, seq, csho, prcc_f, ajex, mkvalt, pstkl, pstkrv, pstk, txditc, txdb, itcb, revt, sale, cogs, xsga, xrd, dp, ib, ni, ebit, ebitda, pi, txt, mii, oancf, capx, dv, fincf, ivncf, act, che, rect, invt, ppent, ppegt, intan, ao, ivao, lct, dlc, dltt, dd1, ap, txp, ob, re, prstkc, sstk, dvc, dvp, dvt, dcvt, xacc, recch, invch, emp",
+        "gvkey, datadate",
+        _STANDARD,
+        "datadate",
+    ),
+    "quarterly": Pull(
+        "comp.fundq",
+        "gvkey, datadate, fyearq, fqtr, indfmt, datafmt, popsrc, consol, atq, ltq, ceqq, seqq, cshoq, prccq, ajexq, ibq, saleq, niq, dpq, xrdq, oancfy, capsq, actq, cheq, rectq, invtq, ppentq, lctq, dlcq, dlttq, txdbq, txditcq, txtq, epspxq, epspiq, rdq",
+        "gvkey, datadate",
+        _STANDARD,
+        "datadate",
+    ),
+    "security": Pull("comp.security", "gvkey, iid, cusip, tic, exchg, tpci", "gvkey, iid"),
+    "company": Pull("comp.company", "gvkey, conm, sic, naics, gind, gsector, fic, loc, incorp", "gvkey"),
+}
+
+
+def pull(spark: SparkSession, url: str, source: Pull, start: str | None = None, years: Iterable[int] = (), user: str | None = None, password: str | None = None) -> DataFrame:
+    """The wanted rows of a remote table, by one task a year where years are given; all filters run on the server.
+    The rows of each task come in the table's order."""
     properties = {"user": user or os.environ.get("DB_USER", ""), "password": password or os.environ.get("DB_PASSWORD", "")}
-    return without_nan(spark.read.jdbc(url, f"(SELECT {', '.join(columns)} FROM {table}) t", predicates=predicates, properties=properties))
+    properties = {k: v for k, v in properties.items() if v}
+    df = spark.read.jdbc(url, f"(SELECT {source.columns} FROM {source.table}) t", predicates=source.predicates(start, years), properties=properties)
+    return without_nan(df).sortWithinPartitions(*source.order.split(", "))
+
+
+#: Where the extension's pulls begin.
+EXTENSION = {"monthly": "2017-01-01", "names": None, "delistings": None, "index": "2017-01-01", "daily": 2017, "annual": "2017-01-01", "quarterly": "2016-01-01", "security": None, "company": None}
+
+
+def pull_extension(spark: SparkSession, url: str, last_year: int, **login: str) -> dict[str, DataFrame]:
+    """All tables of the extension, the daily one by years up to the last."""
+    return {n: pull(spark, url, PULLS[n], years=range(s, last_year + 1), **login) if isinstance(s, int) else pull(spark, url, PULLS[n], s, **login) for n, s in EXTENSION.items()}
+
+
+def factor_archive(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of the one CSV file in a zip archive, on any store that Spark reads; such an archive is small."""
+    import io
+    import zipfile
+
+    body = spark.read.format("binaryFile").load(path).select("content").first()["content"]
+    with zipfile.ZipFile(io.BytesIO(bytes(body))) as z:
+        name = next(n for n in z.namelist() if n.lower().endswith(".csv"))
+        lines = z.read(name).decode("utf-8", "replace").splitlines()
+    return spark.createDataFrame([(x,) for x in lines], "value string")
 
 
 def latest(df: DataFrame, date: str = "date") -> DataFrame:

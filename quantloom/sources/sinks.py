@@ -22,17 +22,24 @@ def if_absent(df: DataFrame, path: str) -> None:
     df.write.mode("ignore").parquet(path)
 
 
-def checkpoint_predictions(preds: DataFrame, path: str) -> None:
-    """Replaces the model and year partitions that preds holds and leaves all others: a run can be resumed, and
-    another run can add models."""
+def checkpoint_predictions(preds: DataFrame, path: str, whole: bool = False) -> None:
+    """Replaces the model and year partitions that preds holds and leaves all others, so that a run can be resumed and
+    another run can add models. whole: replaces all that lies there."""
     rows = preds.withColumn("year", F.year("date")).repartition("model", "year").sortWithinPartitions("date", "permno")
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model", "year").parquet(path)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "static" if whole else "dynamic").partitionBy("model", "year").parquet(path)
 
 
 def manifest(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
 
+def copy_version(df: DataFrame, root: str, stamp: str, name: str) -> str:
+    """Writes a copy under its stamp beside earlier ones, and says where."""
+    path = versioned(root, stamp, name)
+    parquet(df, path)
+    return path
+
+
 def versioned(root: str, stamp: str, name: str) -> str:
     return f"{root}/{name}/version={stamp}"
 

@@ -107,7 +107,7 @@ def test_guards(spark):
 
 def test_delistings(spark):
     m = spark.createDataFrame([(1, D(2000, 1, 31), 0.1), (2, D(2000, 1, 31), None), (3, D(2000, 1, 31), 0.1)], "permno long, date date, ret double")
-    d = spark.createDataFrame([(1, D(2000, 1, 10), 500, None), (2, D(2000, 1, 10), 200, -0.5), (3, D(2000, 1, 10), 300, None)], "permno long, date date, dlstcd int, dlret double")
+    d = spark.createDataFrame([(1, D(2000, 1, 10), 500, None), (2, D(2000, 1, 10), 200, -0.5), (3, D(2000, 1, 10), 300, None), (1, D(2000, 1, 20), 300, None), (2, D(2000, 1, 20), None, None)], "permno long, date date, dlstcd int, dlret double")
     assert [round(x, 9) for x in column(cleaning.adjust_delistings(m, d), "ret", "permno")] == [round(1.1 * 0.7 - 1, 9), -0.5, 0.1]
 
 
@@ -123,7 +123,40 @@ def test_links_are_sound(spark, sf):
     links = linking.build_links(t["raw_names"], t["raw_security"])
     assert links.filter("link_start > link_end or gvkey is null or permno is null").count() == 0
     assert links.groupBy("permno", "link_start").count().filter("count > 1").count() == 0
-    assert linking.match_rate(t["raw_names"], links).first()["unmatched_share"] == 0
+    assert links.filter("permco is null").count() == 0 and {r[0] for r in links.select("link_method").distinct().collect()} == {"cusip", "ticker"}
+
+
+def test_links_ask_for_numbers_and_names(spark):
+    """Securities without a whole number and names without any are gone before the ticker is tried; once any security
+    of the pairs has a name, blank ones fail."""
+    names = [(p, 10 * p, f" {c} " if c else c, f"t{p}", "Alpha Beta", D(1990, 1, 1), None) for p, c in ((1, "aaaaaaaa"), (2, "bbbbbbbb"), (3, None), (4, "dddddddd"), (5, "  "), (6, "ffffffff"))]
+    names = spark.createDataFrame(names, "permno long, permco long, ncusip string, ticker string, comnam string, namedt date, nameendt date")
+
+    def linked(conms):
+        rows = [(f"g{p}", "01", c, f"T{p}", conms.get(p)) for p, c in ((1, "AAAAAAAA9"), (2, "ZZZZZZZZ9"), (3, "CCCCCCCC9"), (4, None), (5, "EEEEEEEE9"), (6, "YYYYYYYY9"))]
+        sec = spark.createDataFrame(rows, "gvkey string, iid string, cusip string, tic string, conm string")
+        return {(r["permno"], r["permco"], r["link_method"]) for r in linking.build_links(names, sec).collect()}
+
+    assert linked({}) == {(1, 10, "cusip"), (2, 20, "ticker"), (6, 60, "ticker")}
+    assert linked({2: "beta gamma"}) == {(1, 10, "cusip"), (2, 20, "ticker")}
+    assert linked({6: "one two three"}) == {(1, 10, "cusip")}
+
+
+def test_ranks_do_not_know_who_stays(spark):
+    """Three firms, of which one has no next month, keep the ranks of three; targets of the others follow."""
+    df = spark.createDataFrame([(p, D(2000, m, 30 + m % 2), 0.1 * p, float(p)) for m in (1, 3) for p in (1, 2, 3) if not (p == 3 and m == 3)], "permno long, date date, ret double, x double").withColumn("date", F.last_day("date"))
+    f = spark.createDataFrame([(D(2000, m, 28), 0.0) for m in range(1, 6)], "date date, rf double")
+    ranked = panel.rank_columns(df, ["x"], ["permno", "date", "ret"])
+    got = {(r["permno"], r["date"].month): r["x"] for r in panel.excess_target(ranked, f).collect()}
+    assert got == {(1, 1): -1.0, (2, 1): 0.0}
+
+
+def test_feature_panel_ranks_the_whole_month(spark, sf):
+    t = tables(spark, sf)
+    ranked = panel.rank_columns(panel.raw_features(t, ["mom12m"]), ["mom12m"], ["permno", "date"]).fillna(0.0, subset=["mom12m"])
+    p = panel.feature_panel(t, ["mom12m"])
+    assert p.join(ranked, ["permno", "date"]).filter(p["mom12m"] != ranked["mom12m"]).count() == 0 and p.count() > 0
+    assert p.count() < ranked.count()
 
 
 def test_no_lookahead(spark, sf):
@@ -179,6 +212,40 @@ def test_month_ends_meet_trading_days(spark):
     assert portfolio.build_portfolios(preds, sizes).select("decile").distinct().count() == 10
 
 
+def test_holdings_are_cut_among_known_rows(spark):
+    rows = [(p, D(2000, 1, 31), "m", float(p), 0.01) for p in range(1, 25)]
+    preds = spark.createDataFrame(rows, "permno long, date date, model string, pred_ret double, ret_exc double")
+    details = [(p, D(2000, 1, 28), 1.0 + p, 1, None if p == 24 else 0.1, None if p == 23 else 5.0, None if p == 22 else 9.0) for p in range(1, 25)]
+    details[0] = (1, D(2000, 1, 28), -1.0, 1, 0.1, 5.0, 9.0)
+    d = spark.createDataFrame(details, "permno long, date date, me_lag1 double, exchcd int, ret double, prc double, vol double")
+    held = costs.with_spreads(costs.holdings(preds, d)).toPandas().sort_values("permno")
+    assert list(held.permno) == [2, 3, 20, 21] and list(held.decile) == [1, 1, 10, 10] and abs(held.signed_w.sum()) < 1e-12 and abs(held.abs_w.sum() - 1) < 1e-12
+    illiq = 0.1 / (5.0 * 9.0)
+    assert np.allclose(held.spread_bps_amihud, 20000 * math.sqrt(illiq) if 20000 * math.sqrt(illiq) < 300 else 300)
+    with pytest.raises(Exception, match="NULL in one of"):
+        costs.holdings(preds.withColumn("ret_exc", F.when(F.col("permno") > 3, 0.01)), d).collect()
+
+
+def test_spreads_of_a_date_with_two_values(spark):
+    rows = [("m", D(2000, 1, 31), p, 10.0 * p, 2, r, 1.0, v, 1, 0.0, 0.25, 0.25) for p, r, v in ((1, 1e-6, 1.0), (2, 3e-6, 1.0), (3, 1e-6, 0.0), (4, None, 1.0))]
+    h = spark.createDataFrame(rows, "model string, date date, permno long, me_lag1 double, exchcd int, ret double, prc double, vol double, decile int, ret_exc double, signed_w double, abs_w double")
+    got = costs.with_spreads(h).toPandas().set_index("permno").spread_bps_amihud
+    top = 1e-6 + 0.99 * 2e-6
+    assert np.allclose(got.loc[[1, 2, 3, 4]], [20000 * math.sqrt(x) for x in (1e-6, top, (1e-6 + top) / 2, (1e-6 + top) / 2)])
+
+
+@pytest.mark.parametrize("few", [100_000, 5_000])
+def test_exact_quantiles(spark, monkeypatch, few):
+    monkeypatch.setattr(diagnostics, "FEW", few)
+    rng = np.random.default_rng(1)
+    x = np.concatenate([np.round(rng.standard_normal(12_000), 1), rng.lognormal(0, 8, 8001)])
+    df = spark.createDataFrame([(float(a), None if i % 2 else float(i)) for i, a in enumerate(x)] + [(None, None)], "a double, b double").repartition(5)
+    got = {r["feature"]: r["q"] for r in diagnostics.exact_quantiles(df, ["a", "b"], [0.0, 0.25, 0.5, 0.9999, 1.0]).collect()}
+    assert np.allclose(got["a"], np.quantile(x, [0.0, 0.25, 0.5, 0.9999, 1.0])) and np.allclose(got["b"], np.quantile(np.arange(0.0, 20_001, 2), [0.0, 0.25, 0.5, 0.9999, 1.0]))
+    none = diagnostics.describe(df.limit(0), ["a"]).first()
+    assert none["n"] == 0 and none["median"] is None
+
+
 def test_turnover_first_month_and_exits(spark):
     h = spark.createDataFrame([("m", month(0), 1, 0.5), ("m", month(0), 2, -0.5), ("m", month(3), 2, 0.5), ("m", month(3), 3, -0.5)], "model string, date date, permno long, signed_w double")
     assert column(costs.turnover(h), "turnover") == [0.0, 1.0]
@@ -205,6 +272,26 @@ def test_periods(spark):
     assert subperiods.constant_months(p).count() == 0
 
 
+def test_period_metrics_leave_out_what_does_not_vary(spark):
+    rng = np.random.default_rng(4)
+    rows = [(p, D(2000 + m // 12, m % 12 + 1, 28), k, 0.5 if k == "nn4" or (k == "rf" and m == 5) else float(rng.standard_normal()), 0.02 * p + 0.01 * float(rng.standard_normal())) for k in ("rf", "nn4", "ols3") for m in range(30) for p in range(20) if not (k == "ols3" and m == 7)]
+    preds = spark.createDataFrame(rows, "permno long, date date, model string, pred_ret double, ret_exc double").withColumn("date", F.last_day("date"))
+    sizes = spark.createDataFrame([(p, D(2000 + m // 12, m % 12 + 1, 27), 1.0 + p) for m in range(30) for p in range(20)], "permno long, date date, me_lag1 double")
+    factors = spark.createDataFrame([(D(2000 + m // 12, m % 12 + 1, 28), *map(float, rng.standard_normal(5))) for m in range(30)], "date date, mkt_rf double, smb double, hml double, rmw double, cma double")
+    t = subperiods.period_table(spark, [("all", "2000-01-01", "2002-12-31"), ("first", "2000-01-01", "2000-12-31"), ("none", "2010-01-01", "2010-12-31")])
+    got = subperiods.period_metrics(preds, sizes, factors, t, 0.0)
+    months = {(r["model"], r["period"]): r["n_months"] for r in got["oos_r2"].collect()}
+    assert months == {("rf", "all"): 29, ("rf", "first"): 11, ("rf", "none"): None, ("ols3", "all"): 29, ("ols3", "first"): 11, ("ols3", "none"): None}
+    assert {(r["model"], r["period"]): r["n_months"] for r in got["ic_stats"].collect()} == {k: v for k, v in months.items() if v}
+    perf = got["portfolio_perf"].toPandas().set_index(["model", "period"])
+    assert len(perf) == 4 and perf.loc[("rf", "all"), "n_obs"] == 29 and perf.t_alpha.notna().all()
+    best = {r["period"]: r["model"] for r in subperiods.best_by_period(got["portfolio_perf"], "sharpe").collect()}
+    assert best == {p: max(("rf", "ols3"), key=lambda m: perf.loc[(m, p), "sharpe"]) for p in ("all", "first")}
+    assert subperiods.missing_months(preds, "2000-01-31", "2002-06-30").collect()[0]["model"] == "ols3"
+    order = spark.createDataFrame([("nn5",), ("ols3",), ("other",)], "m string").select("m", subperiods.report_place(F.col("m")).alias("o"))
+    assert {r["m"]: r["o"] for r in order.collect()} == {"nn5": 13, "ols3": 1, "other": 14}
+
+
 def _moments(x, y):
     z = np.column_stack([np.ones(len(y)), x, y])
     return moments.Moments(z.T @ z)
@@ -254,7 +341,9 @@ def test_expanding_windows_see_only_the_past(spark):
 def test_small_set():
     ranked = [f"x{i}" for i in range(10)] + list(trees.ALLOWED)
     assert trees.small_set(ranked) == list(trees.ALLOWED)[:15]
-    assert trees.small_set(["bm"]) == ["bm"]
+    assert trees.small_set(["bm"]) == ["bm"] and len(trees.small_set(list(trees.ALLOWED) + ["x"] * 4)) == 15
+    with pytest.raises(ValueError, match="none of"):
+        trees.small_set(["x"])
 
 
 def test_model_queries_ask_for_the_whole_job(spark, monkeypatch):
@@ -263,6 +352,7 @@ def test_model_queries_ask_for_the_whole_job(spark, monkeypatch):
     df = spark.createDataFrame(rows, "permno long, date date, ret_exc double, " + ", ".join(f"{f} double" for f in queries.LINEAR_FEATURES))
     asked = []
     monkeypatch.setattr(queries, "_panel", lambda *a: df)
+    monkeypatch.setattr(queries, "_whole_panel", lambda *a: df)
     monkeypatch.setattr(trees, "select", lambda p, f, make, grid, *years: (asked.append(("select", f, grid, years)), (grid[-1], []))[1])
     monkeypatch.setattr(trees, "expanding", lambda p, f, name, make, a, b: (asked.append((name, f, make(), a, b)), df)[1])
     for name in ("forest_expanding", "boosted_expanding"):
@@ -275,23 +365,96 @@ def test_model_queries_ask_for_the_whole_job(spark, monkeypatch):
     assert (gbrt[1], gbrt[2].getMaxIter(), gbrt[2].getMaxDepth(), gbrt[2].getMinInstancesPerNode(), *gbrt[3:]) == (features, 300, 2, 1000, 2000, 2001)
 
     asked.clear()
-    monkeypatch.setattr(nets, "predictions", lambda p, f, layers, year, **k: (asked.append((f, layers, year, k)), df)[1])
+    monkeypatch.setattr(nets, "predictions", lambda p, f, layers, *years, **k: (asked.append((f, layers, years, k)), df)[1])
     queries.QUERIES["nn_expanding"](spark, "")
-    assert asked == [(features, k, y, {}) for k in range(1, 6) for y in (2000, 2001)]
+    assert asked == [(features, [1, 2, 3, 4, 5], (2000, 2001), {})]
 
     asked.clear()
-    make = trees.forest
-    monkeypatch.setattr(trees, "forest", lambda *a, **k: (asked.append(make(*a, **k).getNumTrees()), make(2, trees=1, least_leaf=1))[1])
-    ranks = spark.createDataFrame([(f, i) for i, f in enumerate(features)], "feature string, place int")
-    monkeypatch.setattr(trees, "permutation_importance", lambda m, r, f, bench, which=None: (asked.append((which or f, sorted(x["date"].year for x in r.collect()))), ranks)[1])
+    monkeypatch.setattr(queries.runs, "importance", lambda p, f, *years: (asked.append((f, years)), df)[1])
     queries.QUERIES["perm_importance"](spark, "")
-    assert asked == [300, (features, [1998, 1999])]
+    assert asked == [(queries.C.ALL, (1998, 2000))]
+
+
+def test_permutation_importance(spark):
+    from pyspark.ml.regression import LinearRegression
 
-    monkeypatch.setattr(queries.expanding, "expanding", lambda p, f, *a: asked.append(f))
-    monkeypatch.setattr(queries.expanding, "predictions", lambda p, r: (_ for _ in ()).throw(StopIteration))
-    with pytest.raises((StopIteration, AttributeError, RuntimeError)):
-        queries.QUERIES["parsimony_delta"](spark, "")
-    assert asked[-1] == [f for f in features if f in trees.ALLOWED]
+    rng = np.random.default_rng(0)
+    rows = [(p, D(2000, 1, 31), *map(float, x), float(2 * x[0] + 0.5 * x[1])) for p, x in enumerate(rng.standard_normal((400, 3)))]
+    df = spark.createDataFrame(rows, "permno long, date date, a double, b double, c double, ret_exc double")
+    model = LinearRegression(featuresCol="ql_x", labelCol="ret_exc", predictionCol="pred_ret").fit(trees.vectors(df, ["a", "b", "c"]))
+    got = {r["feature"]: r for r in trees.permutation_importance(model, df.repartition(3), ["a", "b", "c"], 0.0).collect()}
+    assert [got[f]["place"] for f in "abc"] == [1, 2, 3] and got["a"]["importance"] > 1.5 and abs(got["c"]["importance"]) < 1e-3
+    assert [r["feature"] for r in trees.permutation_importance(model, df, ["a", "b", "c"], 0.0, ["b"]).collect()] == ["b"]
+
+
+def test_train_appends_and_resumes(spark, tmp_path, monkeypatch):
+    from quantloom.plans import runs
+
+    rng = np.random.default_rng(0)
+    features = ["me", "bm", "mom12m"]
+    rows = [(p, D(y, 6, 30), *map(float, rng.standard_normal(4))) for y in range(2000, 2006) for p in range(30)]
+    df = spark.createDataFrame(rows, "permno long, date date, me double, bm double, mom12m double, ret_exc double")
+    path = str(tmp_path / "preds")
+    of = lambda: {(r["model"], r["year"]): r["count"] for r in spark.read.parquet(path).groupBy("model", "year").count().collect()}
+    with pytest.raises(ValueError, match="unknown models"):
+        runs.train(df, path, ["nope"], 2002, 2004, 2005)
+    assert runs.train(df, path, ["ols3"], 2002, 2004, 2005) == [2004, 2005]
+    assert runs.train(df, path, ["ols_all"], 2002, 2004, 2004, append=True) == [2004]
+    assert of() == {("ols3", 2004): 30, ("ols3", 2005): 30, ("ols_all", 2004): 30}
+    assert runs.train(df, path, ["ols_all"], 2002, 2004, 2005, append=True, resume=True) == [2005]
+    assert runs.train(df, path, ["ols3", "ols_all"], 2002, 2004, 2005, append=True, resume=True) == []
+    assert runs.train(df, path, ["nn2", "ols3"], 2002, 2004, 2004, features=features) == [2004] and of() == {("nn2", 2004): 30, ("ols3", 2004): 30}
+    names = {r["model"] for r in spark.read.json(f"{path}_manifest/*/*").collect()}
+    assert {"ols3", "ols_all", "nn2"} <= names
+
+
+def test_command_line(spark, sf, tmp_path, monkeypatch):
+    from quantloom import __main__ as cli
+
+    raw, out = str(tmp_path / "raw"), str(tmp_path / "out")
+    for n, df in tables(spark, sf).items():
+        df.write.parquet(f"{raw}/{n}")
+    whole = panel.feature_panel
+    monkeypatch.setattr(cli.panel, "feature_panel", lambda r: whole(r, ["me", "bm", "mom12m"]))
+    years = ["--hold-out-from", "1998", "--test-from", "2000", "--test-to", "2001"]
+    run = lambda stage, *more: cli.main([stage, "--raw", raw, "--out", out, *years, *more], spark)
+    run("panel")
+    run("train", "--models", "ols3", "pcr")
+    assert {r["model"] for r in run("evaluate")["eval_oos_r2"].collect()} == {"ols3", "pcr"}
+    assert run("periods", "--period", "all", "2000-01-01", "2001-12-31")["periods_oos_r2"].count() == 2
+    assert run("costs")["tc_summary"].count() == 4
+    assert spark.read.csv(f"{out}/eval/eval_portfolio_perf", header=True).count() == 2
+    monkeypatch.setattr(trees, "TREES", 2)
+    monkeypatch.setattr(trees, "forest", lambda depth, make=trees.forest: make(depth, trees=3, least_leaf=5))
+    delta = run("parsimony", "--models", "ols3")["parsimony_delta"].collect()
+    assert {r["model"] for r in delta} == {"ols3", "pcr"}
+    assert set(spark.read.json(f"{out}/selected_features").first()["selected_features"]) == {"me", "bm", "mom12m"}
+
+
+def test_remote_pulls(spark):
+    derby = "jdbc:derby:memory:pulls;create=true"
+    days = spark.createDataFrame([(1, D(y, m, 3), float(m)) for y in (1999, 2000, 2001) for m in (1, 7)], "permno int, date date, ret double")
+    days.toDF("PERMNO", "DT", "RET").write.jdbc(derby, "DAYS", properties={"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})
+    src = readers.Pull("DAYS", "permno, dt, ret", "permno, dt", ("ret IS NOT NULL",), "dt")
+    assert readers.pull(spark, derby, src, "2000-01-01").count() == 4
+    by_year = readers.pull(spark, derby, src, years=range(1999, 2001))
+    assert by_year.count() == 4 and by_year.rdd.getNumPartitions() == 2
+    assert readers.PULLS["delistings"].predicates() == ["dlstcd IS NOT NULL"] and readers.PULLS["names"].predicates("1957-01-01") == ["1 = 1"]
+    assert readers.PULLS["daily"].predicates(years=[2017]) == ["date >= '2017-01-01' AND date <= '2017-12-31'"]
+    assert readers.PULLS["annual"].predicates("2017-01-01") == ["indfmt = 'INDL' AND datafmt = 'STD' AND popsrc = 'D' AND consol = 'C' AND datadate >= '2017-01-01'"]
+    assert readers.EXTENSION.keys() == readers.PULLS.keys()
+
+
+def test_factor_archive(spark, tmp_path):
+    import zipfile
+
+    for name, text in (("three", "head\n192607, 1.0, 2.0, 3.0, 0.5\n192608, 1, 2, 3, 4\n"), ("five", "192608, 9, 8, 7, 6.0, 5.0, 1\n")):
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w") as z:
+            z.writestr(f"{name}.CSV", text)
+    three = readers.factor_rows(readers.factor_archive(spark, str(tmp_path / "three.zip")), ["mkt_rf", "smb", "hml", "rf"])
+    five = readers.factor_rows(readers.factor_archive(spark, str(tmp_path / "five.zip")), ["mkt_rf", "smb", "hml", "rmw", "cma", "rf"])
+    got = readers.five_factors(three, five).orderBy("date").collect()
+    assert [(r["mkt_rf"], r["rmw"], r["cma"]) for r in got] == [(pytest.approx(0.01), None, None), (pytest.approx(0.01), pytest.approx(0.06), pytest.approx(0.05))]
 
 
 def test_net_learns():
@@ -315,7 +478,9 @@ def test_sinks(spark, tmp_path):
     sinks.checkpoint_predictions(p.filter("model = 'a'").withColumn("pred_ret", F.lit(0.9)), path)
     assert sorted((r["model"], r["pred_ret"]) for r in spark.read.parquet(path).collect()) == [("a", 0.9), ("b", 0.5)]
     assert readers.yearly(spark, path, 2001, 2001).count() == 1
-    sinks.if_absent(p, path)
+    sinks.if_absent(p.limit(0), path)
+    assert spark.read.parquet(path).count() == 2
+    assert readers.parquet(spark, sinks.copy_version(p, str(tmp_path / "v"), "20240101", "preds")).count() == 2
     sinks.csv(p, str(tmp_path / "c"))
     assert readers.csv(spark, str(tmp_path / "c"), "model string, date date, permno long, pred_ret double").count() == 2
     assert r"a\_b" in sinks.latex(spark.createDataFrame([("a_b", 0.5)], "m string, x double"))
