@@ -7,7 +7,9 @@ sequence, so the byte view and the code point view find the same words.
 from __future__ import annotations
 
 import ctypes
+import os
 from collections.abc import Callable, Iterator
+from contextlib import nullcontext
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,13 @@ def only(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 
+def ranges_for(docs: DataFrame) -> int:
+    """Ranges to deal documents to by their order: one for 16 MB of text, from 2,000 ranges on for up to 256 MB. A
+    number that depends on the data alone gives the same ranges under all settings."""
+    size = docs.agg(F.sum(F.octet_length("text")).alias("size")).first()["size"] or 0
+    return max(1, min(size >> 24, 2000), size >> 28)
+
+
 def give_back() -> None:
     """Returns freed memory to the machine: workers are reused, and one stage's peak would stay for the next."""
     pa.default_memory_pool().release_unused()
@@ -45,8 +54,21 @@ def give_back() -> None:
         pass
 
 
+def one_thread() -> None:
+    """Products of matrices in a Python worker run on the one core that its task has; threads that wait for each
+    other cost as much time again."""
+    with open("/proc/self/maps") if os.path.exists("/proc/self/maps") else nullcontext(()) as maps:
+        found = {line.split()[-1] for line in maps if "openblas" in line}
+    for path in found:
+        library = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+
+
 def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         try:
             yield from function(batches)
         finally:
