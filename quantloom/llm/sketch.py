@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm.text import documents, map_arrow, mix, only, raw, word_hashes
+from quantloom.llm.text import documents, map_arrow, mix, only, ranges_for, raw, word_hashes
 
 #: Words of a paragraph, on average: a word whose hash is divisible by this ends one.
 PARAGRAPH_WORDS = 8
@@ -219,12 +219,11 @@ def edit(text: str, after: str) -> str:
     return text[: len(text) - k] + after[:k]
 
 
-def with_next(docs: DataFrame, partitions: int | None = None) -> tuple[DataFrame, dict[int, int]]:
-    """Rows dealt to ranges of descending doc_id, each range with a guest copy of the rows that follow its last.
+def with_next(docs: DataFrame, n: int) -> tuple[DataFrame, dict[int, int]]:
+    """Rows in n ranges of descending doc_id, each range with a guest copy of the rows that follow its last.
 
     Only the ranges' bounds and first ids reach the driver. Nulls come last; equal doc_ids go by text."""
     spark = docs.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     key = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
     ids = docs.select(key.alias("k"))
     # Quantiles of the ids, found by counting: as many numbers as there are ranges.
@@ -250,10 +249,10 @@ def fingerprint(docs: DataFrame, partitions: int | None = None, cells: int = CEL
     next is the first. Null texts are empty; a single row is its own next; rows with a null doc_id come last;
     an empty table gives an empty one. Likeness is 1 for equal paragraph multisets, 0 for disjoint ones."""
     base = only(docs)
-    dealt, _ = with_next(base, partitions)
-    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or ranges_for(base)
+    dealt, _ = with_next(base, n)
     sort = [F.asc("part"), F.desc("own"), F.desc("k"), F.desc("text")]
-    dealt = dealt.repartition(n, "part").sortWithinPartitions(*sort)
+    dealt = dealt.repartitionById(n, F.col("part").cast("int")).sortWithinPartitions(*sort)  # each range is a partition
 
     def block(rows: list[tuple[int | None, str]], after: str) -> pa.RecordBatch:
         """Rows with what follows them; the last one's next is after."""
