@@ -1,6 +1,6 @@
 """Packing along a space-filling curve.
 
-Each document's words are hashed to a vector, projected to a few dimensions and placed on a Hilbert curve.
+Each document's words are hashed to a vector of length 1, projected to a few dimensions and placed on a Hilbert curve.
 Documents are range-sorted by that key, so texts with similar words become neighbours, and each range is cut
 along the curve into sequences of at most 1024 tokens. What is left at the end of a range goes into sequences
 whose lengths are powers of two, which need no padding.
@@ -17,13 +17,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quantloom.llm.text import chunks, documents, map_arrow, only, raw, word_hashes
+from quantloom.llm.text import chunks, documents, map_arrow, mix, only, ranges_for, raw, word_hashes
 
 VOCABULARY = "byte_bpe_50k"
 SEPARATOR = 0
 LENGTH = 1024
-#: Dimensions of the curve and bits of each; their product stays below 63.
+#: Cells of a document's hashed vector; dimensions of the curve and bits of each, whose product stays below 63.
+CELLS = 256
 DIMENSIONS = 4
 BITS = 15
 #: Sequences of one range; a range's index stands above these bits of sequence_id.
@@ -40,8 +42,9 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 @lru_cache(maxsize=2)
 def _encoder(path: str, pattern: str):  # noqa: ANN202
-    """The byte-level vocabulary of path.json over its ranks, several times faster than from the JSON file; the
-    ids are the same (tests compare them). A special token's string in a text is that token, as in the JSON's library."""
+    """The byte-level vocabulary of path.json over its ranks, several times faster than from the JSON file. Both hold the
+    same merges in the same order behind the same pattern, so the ids are the same; tests compare them with the JSON
+    library's over a whole table. A special token's string in a text is that token, as in that library."""
     import json
 
     import tiktoken
@@ -60,19 +63,23 @@ def token_ids(texts: list[str], path: str, pattern: str) -> list[np.ndarray]:
     return [np.concatenate([np.array(e.encode(t, allowed_special="all"), np.uint32), end]) for t in texts]
 
 
+def _directions(dimensions: int) -> np.ndarray:
+    """Fixed random directions through the cells, a column for each dimension."""
+    return np.random.Generator(np.random.PCG64(20240517)).standard_normal((CELLS, dimensions))
+
+
 def projected(data: np.ndarray, offsets: np.ndarray, dimensions: int = DIMENSIONS) -> np.ndarray:
-    """Mean over a row's words of a hashed vector, scaled so that rows of any length spread alike; 0 without words.
+    """Projections of each row's hashed vector; 0 without words.
 
-    Each word's coordinates are the bits of its hash turned to -1 and 1, eight of them summed per dimension."""
+    A vector holds the words of each cell less their mean and is scaled to length 1, so that texts of any length lie
+    equally far out and what they say, not how much, gives their place."""
     hashes, first = word_hashes(data, offsets)
-    n = np.diff(first)
-    out = np.zeros((len(n), dimensions))
-    for j in range(dimensions):
-        part = (hashes >> np.uint64(8 * j)) & np.uint64(0xFF)
-        value = np.bitwise_count(part).astype(np.float64) - 4.0
-        sums = np.concatenate([[0.0], np.cumsum(value)])[first]
-        out[:, j] = np.diff(sums) / np.sqrt(np.maximum(n, 1) * 2.0)
-    return out
+    rows = len(first) - 1
+    cell = np.repeat(np.arange(rows), np.diff(first)) * CELLS + (hashes & np.uint64(CELLS - 1)).astype(np.int64)
+    vector = np.bincount(cell, minlength=rows * CELLS).reshape(rows, CELLS).astype(float)
+    vector -= vector.mean(axis=1, keepdims=True)
+    length = np.sqrt((vector * vector).sum(axis=1, keepdims=True))
+    return (vector / np.maximum(length, 1e-12)) @ _directions(dimensions)
 
 
 def quantised(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -112,7 +119,7 @@ def hilbert_key(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 def curve_keys(docs: DataFrame) -> DataFrame:
-    """doc_id, text and curve, the Hilbert key of each row."""
+    """doc_id, text, curve (the Hilbert key of each row) and order, a hash of the text that settles ties."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,7 +127,7 @@ def curve_keys(docs: DataFrame) -> DataFrame:
                 key = hilbert_key(quantised(projected(*raw(part.column("text")))))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), pa.array(key, pa.int64())], ["doc_id", "text", "curve"])
 
-    return map_arrow(only(docs), run, "doc_id long, text string, curve long")
+    return map_arrow(only(docs), run, "doc_id long, text string, curve long").withColumn("order", F.xxhash64("text"))
 
 
 def tail_lengths(n: int) -> list[int]:
@@ -167,13 +174,13 @@ class Packer:
 def pack(docs: DataFrame, path: str | None = None, pattern: str | None = None, length: int = LENGTH, partitions: int | None = None) -> DataFrame:
     """SCHEMA, one row for each piece. Every row of docs, repeated ones too, is packed whole, as its ids and the
     separator; null and empty texts are the separator alone; a null doc_id stays null; an empty table gives no
-    rows; a text longer than a sequence is cut. Equal keys go by doc_id and text, so a lost task repeats itself."""
+    rows; a text longer than a sequence is cut. Equal keys go by doc_id and text, so a lost task repeats itself.
+    The number of ranges follows from the texts alone, and only numbers, no texts, are sampled for their bounds."""
     import public_tokenizers
 
     path, pattern = path or vocabulary_path(), pattern or public_tokenizers.PATTERN
-    keys = ["curve", "doc_id", "text"]
-    keyed = curve_keys(docs)
-    dealt = keyed.repartitionByRange(partitions, *keys) if partitions else keyed.repartitionByRange(*keys)
+    keys = ["curve", "doc_id", "order"]
+    dealt = curve_keys(docs).repartitionByRange(partitions or ranges_for(only(docs)), *keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(TaskContext.get().partitionId() << RANGE_BITS, length)
@@ -194,7 +201,7 @@ def pack(docs: DataFrame, path: str | None = None, pattern: str | None = None, l
         if packer.rows:
             yield out()
 
-    return map_arrow(dealt.sortWithinPartitions(*keys).select("doc_id", "text"), run, SCHEMA)
+    return map_arrow(dealt.sortWithinPartitions(*keys, "text").select("doc_id", "text"), run, SCHEMA)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
