@@ -1,31 +1,24 @@
-"""Shared folders and connected components for the join operators."""
+"""Connected components for the join operators."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quantloom.operators.checkpoints import cut
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the folder in spark.checkpoint.dir, so that lost executors cost no recomputation.
-
-    Only where no such folder is set, as in tests, one is made."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+__all__ = ["components", "cut"]
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) of the undirected edges a, b; nodes without an edge are absent.
 
     Large-star and small-star rounds: each node's greater neighbours, then its smaller ones, move to the least
-    neighbour, so the rounds grow with the logarithm of the longest path. Each round is cut."""
+    neighbour, so the rounds grow with the logarithm of the longest path. Each round is cut; rounds end only when
+    nothing moves any more."""
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
     e, before = cut(e), None
-    for _ in range(most_rounds):
+    while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
