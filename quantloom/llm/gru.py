@@ -8,7 +8,7 @@ buckets, are words of the model themselves.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 
@@ -16,26 +16,35 @@ END, TAIL = 0, 1
 #: Words of a class at least; large vocabularies have larger classes.
 CLASS_SIZE = 32
 #: Words of one pass through the output layer, whose logits stay in cache.
-OUTPUT_ROWS = 16_384
+OUTPUT_ROWS = 4096
+#: Bound on weights and on what training adds to a bias: a logit stays where its exponential is a finite float.
+WEIGHT_MOST = 4.0
 _NONE = -1e9
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 + 0.5 * np.tanh(0.5 * x)
-
-
-def _logs(z: np.ndarray) -> np.ndarray:
-    """Log softmax down the columns; the long axis lies last, along memory."""
-    z -= z.max(axis=0)
-    z -= np.log(np.exp(z).sum(axis=0))
-    return z
+def _sigmoid(x: np.ndarray) -> None:
+    """In place."""
+    x *= 0.5
+    np.tanh(x, out=x)
+    x *= 0.5
+    x += 0.5
 
 
 @dataclass
 class Gru:
-    """Parameters by name. Words 2, 3, ... are the output vocabulary, the most frequent first."""
+    """Parameters by name. Words 2, 3, ... are the output vocabulary, the most frequent first.
+
+    The last row of wc, and of each class's part of wo, is a bias: states are followed by a 1."""
 
     p: dict[str, np.ndarray]
+    spaces: dict[str, np.ndarray] = field(default_factory=dict, repr=False)
+
+    def space(self, name: str, *shape: int) -> np.ndarray:
+        """An array to write to, the same memory in every call: large arrays made anew are mapped page by page."""
+        n = int(np.prod(shape))
+        if name not in self.spaces or self.spaces[name].size < n:
+            self.spaces[name] = np.empty(n, np.float32)
+        return self.spaces[name][:n].reshape(shape)
 
     @staticmethod
     def fresh(counts: np.ndarray, hidden: int, seed: int = 11) -> Gru:
@@ -57,10 +66,8 @@ class Gru:
                 "wx": draw(hidden, 3 * hidden),
                 "bx": np.zeros(3 * hidden, np.float32),
                 "wh": draw(hidden, 3 * hidden),
-                "wc": np.zeros((hidden, classes), np.float32),
-                "bc": (mass - mass.max()).astype(np.float32),
-                "wo": np.zeros((classes, hidden, size), np.float32),
-                "bo": np.where(table > _NONE / 2, table - mass[:, None], _NONE).astype(np.float32),
+                "wc": np.concatenate([np.zeros((hidden, classes)), (mass - mass.max())[None]]).astype(np.float32),
+                "wo": np.concatenate([np.zeros((classes, hidden, size)), np.where(table > _NONE / 2, table - mass[:, None], _NONE)[:, None]], axis=1).astype(np.float32),
             }
         )
 
@@ -70,7 +77,7 @@ class Gru:
 
     @property
     def class_size(self) -> int:
-        return self.p["bo"].shape[1]
+        return self.p["wo"].shape[2]
 
     def flat(self) -> np.ndarray:
         return np.concatenate([v.ravel() for v in self.p.values()])
@@ -82,22 +89,29 @@ class Gru:
             at += v.size
         return Gru(out)
 
-    def steps(self, x: np.ndarray, h: np.ndarray, inputs: np.ndarray, keep: list | None = None) -> np.ndarray:
+    def steps(self, x: np.ndarray, h: np.ndarray, inputs: np.ndarray, keep: np.ndarray | None = None, ends: np.ndarray | None = None) -> np.ndarray:
         """States after each of the inputs x (time, lanes), from h; END empties a lane's state.
 
-        inputs: each word's embedding times wx. keep collects what the way back needs."""
+        inputs: each word's embedding times wx. keep takes what the way back needs. ends: where END stands, if x
+        are not words."""
         H, wh = self.hidden, self.p["wh"]
         out = np.empty((*x.shape, H), np.float32)
         for t in range(len(x)):
-            mask = (x[t] != END)[:, None].astype(np.float32)
+            mask = (x[t] != END if ends is None else ~ends[t])[:, None].astype(np.float32)
             h = h * mask
             g, u = inputs[x[t]], h @ wh
-            zr = _sigmoid(g[:, : 2 * H] + u[:, : 2 * H])
+            zr = g[:, : 2 * H] + u[:, : 2 * H]
+            _sigmoid(zr)
             z, r, un = zr[:, :H], zr[:, H:], u[:, 2 * H :]
-            n = np.tanh(g[:, 2 * H :] + r * un)
-            new = (1 - z) * n + z * h
+            n = r * un
+            n += g[:, 2 * H :]
+            np.tanh(n, out=n)
+            new = h - n
+            new *= z
+            new += n
             if keep is not None:
-                keep.append((mask, h, z, r, un, n))
+                for k, part in enumerate((h, z, r, un, n)):
+                    keep[k, t] = part
             h = out[t] = new
         return out
 
@@ -106,26 +120,34 @@ class Gru:
         out = np.empty(len(y))
         for a in range(0, len(y), OUTPUT_ROWS):
             at = slice(a, a + OUTPUT_ROWS)
-            order, _, tops, of, words, place = self.output(states[at], y[at])
-            k = np.arange(len(of))
-            out[at][order] = tops[of, k].astype(np.float64) + words[place, k]
+            order, *_, logs = self.output(states[at], y[at])
+            out[at][order] = logs
         return out
 
     def output(self, states: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
-        """The order of y by class, the states in it, the classes' logs, each class, the logs within it, each place."""
+        """The order of y by class, the states in it with a 1 below, each class and place in it, the exponentials of
+        the logits of classes and of words with their sums, and the log probabilities of y."""
         of = np.where(y < 2, 0, (y - 2) // self.class_size + 1)
         order = np.argsort(of.astype(np.int16), kind="stable")
         of, y = of[order], y[order]
-        s = np.ascontiguousarray(states[order].T)
-        tops = _logs(self.p["wc"].T @ s + self.p["bc"][:, None])
-        words = np.empty((self.class_size, len(y)), s.dtype)
+        place = np.where(y < 2, y, (y - 2) % self.class_size)
+        s = self.space("states", self.hidden + 1, len(y))
+        s[:-1], s[-1] = states[order].T, 1
+        k, sums, logs = np.arange(len(of)), [], 0.0
+        words = self.space("words", self.class_size, len(y))
+        tops = np.matmul(self.p["wc"].T, s, out=self.space("tops", self.p["wc"].shape[1], len(y)))
         for c, i in self.runs(of):
-            words[:, i] = self.p["wo"][c].T @ s[:, i] + self.p["bo"][c][:, None]
-        return order, s, tops, of, _logs(words), np.where(y < 2, y, (y - 2) % self.class_size)
+            np.matmul(self.p["wo"][c].T, s[:, i], out=words[:, i])
+        for z, hit in ((tops, of), (words, place)):
+            logs = logs + z[hit, k].astype(np.float64)
+            np.exp(z, out=z)
+            sums.append(z.sum(axis=0))
+            logs -= np.log(sums[-1])
+        return order, s, of, place, tops, words, *sums, logs
 
     def runs(self, of: np.ndarray) -> list[tuple[int, slice]]:
         """Each class that occurs and its run in the sorted classes."""
-        bounds = np.searchsorted(of, np.arange(len(self.p["bc"]) + 1))
+        bounds = np.searchsorted(of, np.arange(self.p["wc"].shape[1] + 1))
         return [(c, slice(bounds[c], bounds[c + 1])) for c in np.flatnonzero(np.diff(bounds))]
 
     def score(self, texts: list[np.ndarray], window: int = 64) -> np.ndarray:
@@ -153,55 +175,64 @@ class Gru:
             out[order[:live]] += np.bincount(lane, self.log_probability(states[real], y[real]), live)
         return out
 
-    def gradients(self, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
-        """Gradients of the mean loss over one window, cut off at its start; the last state; the mean loss."""
+    def gradients(self, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, float]:
+        """Gradients of the mean loss over one window, cut off at its start; the words whose embeddings those of embed
+        are; the last state; the mean loss."""
         p, H, (steps, lanes) = self.p, self.hidden, x.shape
-        inputs, kept = p["embed"] @ p["wx"] + p["bx"], []
-        states = self.steps(x, h, inputs, kept)
+        used, own = np.unique(x, return_inverse=True)
+        inputs, kept = p["embed"][used] @ p["wx"] + p["bx"], self.space("kept", 5, steps, lanes, H)
+        own = own.reshape(x.shape)
+        states = self.steps(own, h, inputs, kept, x == END)
         s, t = states.reshape(-1, H), y.reshape(-1)
         n = len(t)
-        g = {k: np.zeros_like(v) for k, v in p.items()}
-        order, sorted_states, tops, of, words, place = self.output(s, t)
-        k = np.arange(n)
-        loss = -float(tops[of, k].sum(dtype=np.float64) + words[place, k].sum(dtype=np.float64))
-        for logs, hit in ((tops, of), (words, place)):
-            np.exp(logs, out=logs)
-            logs[hit, k] -= 1
-            logs /= n
-        g["wc"], g["bc"] = sorted_states @ tops.T, tops.sum(axis=1)
-        back = p["wc"] @ tops
+        order, s1, of, place, tops, words, top_sums, word_sums, logs = self.output(s, t)
+        k, g = np.arange(n), {"wo": np.zeros_like(p["wo"])}
+        # What a logit is to change by is its share less 1 where it is right. Shares are left as exponentials; their
+        # sums and n divide the few rows of states and of what goes back.
+        tops[of, k] -= top_sums
+        words[place, k] -= word_sums
+        top_sums, word_sums = 1 / (top_sums * n), 1 / (word_sums * n)
+        g["wc"] = (s1 * top_sums) @ tops.T
+        back = (p["wc"][:-1] @ tops) * top_sums
+        scaled, within = s1 * word_sums, self.space("within", H, n)
         for c, i in self.runs(of):
-            g["wo"][c], g["bo"][c] = sorted_states[:, i] @ words[:, i].T, words[:, i].sum(axis=1)
-            back[:, i] += p["wo"][c] @ words[:, i]
-        ds = np.empty_like(s)
+            g["wo"][c] = scaled[:, i] @ words[:, i].T
+            np.matmul(p["wo"][c][:-1], words[:, i], out=within[:, i])
+        within *= word_sums
+        back += within
+        ds = self.space("ds", n, H)
         ds[order] = back.T
         ds = ds.reshape(steps, lanes, H)
-        dh, wht = np.zeros((lanes, H), np.float32), p["wh"].T
-        dx = np.empty((steps, lanes, 3 * H), np.float32)
-        for k in range(steps - 1, -1, -1):
-            mask, h0, z, r, un, nn = kept[k]
-            dh = dh + ds[k]
-            dn = dh * (1 - z) * (1 - nn * nn)
-            dz = dh * (h0 - nn) * z * (1 - z)
-            dr = dn * un * r * (1 - r)
-            dx[k] = np.concatenate([dz, dr, dn], axis=1)
-            du = np.concatenate([dz, dr, dn * r], axis=1)
-            g["wh"] += h0.T @ du
-            dh = (dh * z + du @ wht) * mask
-        flat, words = dx.reshape(-1, 3 * H), x.reshape(-1)
+        # All that does not wait for a later step is worked out for all steps at once.
+        h0, z, r, un, nn = kept
+        to_n, to_z, to_r = (1 - z) * (1 - nn * nn), (h0 - nn) * z * (1 - z), un * r * (1 - r)
+        alive, wht = (x != END)[:, :, None].astype(np.float32), np.ascontiguousarray(p["wh"].T)
+        dx, du = self.space("dx", steps, lanes, 3 * H), self.space("du", steps, lanes, 3 * H)
+        dh = np.zeros((lanes, H), np.float32)
+        for j in range(steps - 1, -1, -1):
+            dh += ds[j]
+            dn = dx[j, :, 2 * H :] = dh * to_n[j]
+            np.multiply(dh, to_z[j], out=du[j, :, :H])
+            np.multiply(dn, to_r[j], out=du[j, :, H : 2 * H])
+            np.multiply(dn, r[j], out=du[j, :, 2 * H :])
+            dh *= z[j]
+            dh += du[j] @ wht
+            dh *= alive[j]
+        dx[:, :, : 2 * H] = du[:, :, : 2 * H]
+        g["wh"] = h0.reshape(-1, H).T @ du.reshape(-1, 3 * H)
+        flat, words = dx.reshape(-1, 3 * H), own.reshape(-1)
         g["bx"] = flat.sum(axis=0)
         order = np.argsort(words, kind="stable")
-        used, first = np.unique(words[order], return_index=True)
-        by_word = np.add.reduceat(flat[order], first, axis=0)
+        by_word = np.add.reduceat(flat[order], np.searchsorted(words[order], np.arange(len(used))), axis=0)
         g["wx"] = p["embed"][used].T @ by_word
-        g["embed"][used] = by_word @ p["wx"].T
-        return g, states[-1], loss / n
+        g["embed"] = by_word @ p["wx"].T
+        return g, used, states[-1], -float(logs.sum()) / n
 
 
 class Trainer:
     """Truncated backpropagation over a stream of texts, dealt to parallel lanes, with Adam."""
 
-    def __init__(self, model: Gru, window: int = 32, lanes: int = 128, windows: int = 8, rate: float = 0.01, clip: float = 1.0) -> None:
+    def __init__(self, model: Gru, window: int = 32, lanes: int = 256, windows: int = 4, rate: float = 0.014, clip: float = 1.0) -> None:
         self.model, self.window, self.lanes, self.windows, self.rate, self.clip = model, window, lanes, windows, rate, clip
         self.m = {k: np.zeros_like(v) for k, v in model.p.items()}
         self.v = {k: np.zeros_like(v) for k, v in model.p.items()}
@@ -233,18 +264,37 @@ class Trainer:
         x = np.concatenate([np.full((1, lanes), END), y[:-1]])
         h = np.zeros((lanes, self.model.hidden), np.float32)
         for at in range(0, length, self.window):
-            g, h, loss = self.model.gradients(x[at : at + self.window], y[at : at + self.window], h)
+            g, used, h, loss = self.model.gradients(x[at : at + self.window], y[at : at + self.window], h)
             self.losses.append(loss)
-            self.update(g)
+            self.update(g, used)
         self.words += lanes * length
 
-    def update(self, g: dict[str, np.ndarray]) -> None:
+    def update(self, g: dict[str, np.ndarray], used: np.ndarray) -> None:
+        """One step of Adam; of embeddings, only those of the used words move."""
         self.step += 1
-        norm = float(np.sqrt(sum(float((x * x).sum()) for x in g.values())))
+        norm = float(np.sqrt(sum(float(np.vdot(x, x)) for x in g.values())))
         scale = min(1.0, self.clip / max(norm, 1e-12))
-        rate = self.rate * min(1.0, self.step / 10) / np.sqrt(1 + self.step / 200)
+        rate = self.rate * min(1.0, self.step / 10) / np.sqrt(1 + self.step / 200) / (1 - 0.9**self.step)
         for k, x in g.items():
-            x = x * scale
-            self.m[k] += 0.1 * (x - self.m[k])
-            self.v[k] += 0.01 * (x * x - self.v[k])
-            self.model.p[k] = (self.model.p[k] - rate * (self.m[k] / (1 - 0.9**self.step)) / (np.sqrt(self.v[k] / (1 - 0.99**self.step)) + 1e-8)).astype(np.float32)
+            whole, p = k != "embed", self.model.p[k]
+            m, v = (self.m[k], self.v[k]) if whole else (self.m[k][used], self.v[k][used])
+            x *= np.float32(scale)
+            m *= np.float32(0.9)
+            m += np.float32(0.1) * x
+            v *= np.float32(0.99)
+            np.multiply(x, x, out=x)
+            x *= np.float32(0.01)
+            v += x
+            np.sqrt(v, out=x)
+            x /= np.float32(np.sqrt(1 - 0.99**self.step))
+            x += np.float32(1e-8)
+            np.divide(m, x, out=x)
+            x *= np.float32(rate)
+            if whole:
+                p -= x
+            else:
+                self.m[k][used], self.v[k][used] = m, v
+                p[used] -= x
+            if k in ("wc", "wo"):
+                np.clip(p[..., :-1, :], -WEIGHT_MOST, WEIGHT_MOST, out=p[..., :-1, :])
+                np.minimum(p[..., -1, :], WEIGHT_MOST, out=p[..., -1, :])

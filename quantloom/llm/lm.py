@@ -14,7 +14,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,8 +32,9 @@ BUCKET_WORDS = 32
 BINS = 8
 #: Words that one run of a task counts, or scores, at once.
 RUN_WORDS = 4_000_000
-SCORE_WORDS = 400_000
-#: Sums of models that reach the driver; each adds up any number of models, one at a time.
+SCORE_WORDS = 2_000_000
+#: Numbers of a model that are sent and added up together, and the tasks that add, each its pieces of all models.
+PIECE = 8192
 SLOTS = 16
 END_KEY = 0x7F4A7C15F39CC060
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -167,25 +167,23 @@ def train(training: DataFrame, known: Known, start: Gru) -> Gru:
                     trainer.add(np.append(ids[a:b], END))
         trainer.flush()
         if trainer.words:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % SLOTS]), pa.array([trainer.words]), pa.array([(trainer.model.flat().astype(np.float64) * trainer.words).tobytes()], pa.large_binary())], ["slot", "words", "sum"])
+            flat = trainer.model.flat().astype(np.float64) * trainer.words
+            parts = [flat[i : i + PIECE].tobytes() for i in range(0, len(flat), PIECE)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts))), pa.array(np.full(len(parts), trainer.words)), pa.array(parts, pa.binary())], ["piece", "words", "sum"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, total = 0, None
+        words, total = {}, {}
         for batch in batches:
-            for n, x in zip(batch.column("words").to_pylist(), batch.column("sum").to_pylist(), strict=True):
-                words += n
-                total = np.frombuffer(x) if total is None else total + np.frombuffer(x)
+            for i, n, x in zip(*(batch.column(c).to_pylist() for c in ("piece", "words", "sum")), strict=True):
+                words[i] = words.get(i, 0) + n
+                total[i] = total.get(i, 0.0) + np.frombuffer(x)
         if words:
-            yield pa.RecordBatch.from_arrays([pa.array([words]), pa.array([total.tobytes()], pa.large_binary())], ["words", "sum"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(words)), pa.array(list(words.values())), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["piece", "words", "sum"])
 
-    models = map_arrow(training.select("text"), run, "slot long, words long, sum binary")
-    spark = training.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
-    sums = models.repartition(SLOTS, "slot").select("words", "sum").mapInArrow(add, "words long, sum binary").toLocalIterator()
-    words, total = 0, 0.0
-    for r in sums:  # at most SLOTS of a model's size, one at a time
-        words, total = words + r["words"], total + np.frombuffer(r["sum"])
-    return start.filled(total / words) if words else start
+    schema = "piece long, words long, sum binary"
+    sums = map_arrow(map_arrow(training.select("text"), run, schema).repartition(SLOTS, "piece"), add, schema)
+    parts = sorted((r["piece"], r["words"], bytes(r["sum"])) for r in sums.toLocalIterator())  # one model in all
+    return start.filled(np.concatenate([np.frombuffer(x) / n for _, n, x in parts])) if parts else start
 
 
 def score(docs: DataFrame, vocabulary: int | None = None, hidden: int = HIDDEN, frequent: int = FREQUENT_MOST) -> DataFrame:
@@ -194,7 +192,8 @@ def score(docs: DataFrame, vocabulary: int | None = None, hidden: int = HIDDEN,
     Null text: empty, which is one token, the end. A null doc_id is in the training fold. Without training
     documents every token is unknown. Both scores are of whole texts, in log10; the second is the recurrent
     model's, in which a word outside its vocabulary costs its bucket's probability times the word's add-one share
-    of the bucket. No rows give no rows."""
+    of the bucket. Repeated rows share a score: a row is known by two hashes of what it holds, so that a lost task
+    deals nothing anew. No rows give no rows."""
     folded = with_fold(docs)
     training = folded.filter(~F.col("held_out"))
     counts = cut(word_counts(training))
@@ -215,7 +214,7 @@ def score(docs: DataFrame, vocabulary: int | None = None, hidden: int = HIDDEN,
 
         def report() -> Iterator[pa.RecordBatch]:
             texts, rows = [], []
-            lost: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            lost: list[tuple[np.ndarray, ...]] = []
             for part, (hashes, at, hit, ids, first) in held:
                 logs = np.where(hit, np.log10(known.counts[at] + 1.0), 0.0) if len(known.words) else np.zeros(len(hashes))
                 end = np.log10(ends + 1.0)
@@ -230,12 +229,12 @@ def score(docs: DataFrame, vocabulary: int | None = None, hidden: int = HIDDEN,
                 texts += [np.append(ids[a:b], END) for a, b in zip(first[:-1], first[1:], strict=True)]
                 missing = np.flatnonzero(~hit)
                 row = np.searchsorted(first, missing, side="right") - 1
-                rid = part.column("rid").to_numpy()[row]
-                pair = np.lexsort((hashes[missing], rid))
-                r, w = rid[pair], hashes[missing][pair]
+                pair = np.lexsort((hashes[missing], row))
+                r, w = row[pair], hashes[missing][pair]
                 new = np.ones(len(r), bool)
                 new[1:] = (r[1:] != r[:-1]) | (w[1:] != w[:-1])
-                lost.append((r[new], w[new], np.diff(np.append(np.flatnonzero(new), len(r)))))
+                keys = [part.column(c).to_numpy()[r[new]] for c in ("k1", "k2")]
+                lost.append((*keys, w[new], np.diff(np.append(np.flatnonzero(new), len(r)))))
             model_scores = model.score(texts) / np.log(10)
             at = 0
             for part, n, n_known, base, tail in rows:
@@ -245,11 +244,11 @@ def score(docs: DataFrame, vocabulary: int | None = None, hidden: int = HIDDEN,
                     ["doc_id", "held_out", "n_tokens", "n_known", "base", "model"],
                 )
                 at += k
-                yield pa.RecordBatch.from_arrays([part.column("rid"), part.column("rid"), pa.array(np.zeros(k, np.int64)), doc], ["rid", "word", "times", "doc"])
-            for r, w, times in lost:
-                for a in range(0, len(r), 100_000):
+                yield pa.RecordBatch.from_arrays([part.column("k1"), part.column("k2"), part.column("k1"), pa.array(np.zeros(k, np.int64)), doc], names)
+            for k1, k2, w, times in lost:
+                for a in range(0, len(w), 100_000):
                     b = slice(a, a + 100_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(r[b]), pa.array(w[b].view(np.int64)), pa.array(times[b].astype(np.int64)), pa.nulls(len(r[b]), doc_type)], ["rid", "word", "times", "doc"])
+                    yield pa.RecordBatch.from_arrays([pa.array(k1[b]), pa.array(k2[b]), pa.array(w[b].view(np.int64)), pa.array(times[b].astype(np.int64)), pa.nulls(len(w[b]), doc_type)], names)
 
         for batch in batches:
             for part in chunks(batch):
@@ -263,16 +262,21 @@ def score(docs: DataFrame, vocabulary: int | None = None, hidden: int = HIDDEN,
 
     doc_type = pa.struct([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("model", pa.float64())])
     # One row for each text, and one for each of its words that no task knows; the latter meet their counts.
+    names = ["k1", "k2", "word", "times", "doc"]
+    what = [F.coalesce(F.col("doc_id"), F.lit(-1)), F.col("doc_id").isNull(), F.col("text")]
     rows = map_arrow(
-        folded.withColumn("rid", F.monotonically_increasing_id()),
+        folded.withColumns({"k1": F.xxhash64(*what), "k2": F.xxhash64(*what, F.lit("second"))}),
         run,
-        "rid long, word long, times long, doc struct<doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double>",
+        "k1 long, k2 long, word long, times long, doc struct<doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double>",
     )
-    met = rows.join(counts, "word", "left").groupBy("rid").agg(
+    lone = F.col("doc").isNull()
+    sums = rows.join(counts, "word", "left").groupBy("k1", "k2").agg(
         F.max("doc").alias("doc"),
-        F.sum(F.when(F.col("doc").isNull(), F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 1.0)).otherwise(0.0)).alias("more"),
-        F.sum(F.when(F.col("doc").isNull() & F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("found"),
+        F.count("doc").alias("rows"),
+        F.sum(F.when(lone, F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 1.0)).otherwise(0.0)).alias("more"),
+        F.sum(F.when(lone & F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("found"),
     )
+    met = sums.select("doc", (F.col("more") / F.col("rows")).alias("more"), F.expr("found div rows").alias("found"), F.explode(F.sequence(F.lit(1), F.col("rows"))))
     return met.select(
         "doc.doc_id",
         "doc.held_out",

@@ -9,6 +9,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from quantloom.llm.text import raw
 from quantloom.llm import bpe, gru, line_dedup, lm, ngram_join, packing, pii, quality_classifier, quality_rules, secrets, sketch
 from tests.llm import brute
 
@@ -41,7 +42,7 @@ ROWS = [
     (45, "ſecret: abcdefghij toKen: abcdefghij"),
 ]
 #: Names that operators use inside; none may clash.
-EXTRA = ["key", "n", "set", "word", "part", "own", "vector", "spans", "kept", "row_key", "shard", "curve", "h1", "rid", "drop", "component", "votes"]
+EXTRA = ["ql_kept", "ql_lines", "ql_row", "ql_key", "ql_k1", "order", "key", "n", "set", "word", "part", "own", "vector", "spans", "kept", "row_key", "shard", "curve", "h1", "rid", "drop", "component", "votes"]
 
 
 @pytest.fixture(scope="module")
@@ -204,6 +205,18 @@ def test_line_dedup(docs, empty):
     same(got, [(d, *x) for (d, _), x in zip(ROWS, brute.deduplicated(ROWS), strict=True)])
     assert line_dedup.drop_lines(empty).count() == 0
     assert set(docs.columns) <= set(line_dedup.drop_lines(docs).columns)
+    whole = line_dedup.without_lines(docs)
+    assert whole.columns == docs.columns and whole.filter("doc_id = 4").first()["text"] is None
+    same([(r["doc_id"], r["text"] or "", r["n_chars"]) for r in whole.collect()], [(d, x[2], None if t is None else len(x[2])) for (d, t), x in zip(ROWS, brute.deduplicated(ROWS), strict=True)])
+
+
+def test_line_dedup_of_a_line_in_every_document(spark, monkeypatch):
+    rows = [(d, f"{COMMON}\n{'own words of a document ' * 2}{d}\n{COMMON} {d % 7}") for d in range(60)] + [(None, COMMON)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for share in (1000, 1):
+        monkeypatch.setattr(line_dedup, "HOT_SHARE", share)
+        got = line_dedup.drop_lines(df).select("doc_id", "ql_lines", "ql_dropped", "ql_kept").collect()
+        same(got, [(d, *x) for (d, _), x in zip(rows, brute.deduplicated(rows), strict=True)])
 
 
 def test_bpe(docs, empty):
@@ -297,14 +310,17 @@ def test_gru_is_a_distribution_and_its_gradients_hold():
     assert np.allclose(m.score(texts, window=8), m.score(texts, window=1000), atol=1e-3)
     m.p = {k: v + 0.1 * rng.standard_normal(v.shape).astype(np.float32) * (v > -1e8) for k, v in m.p.items()}
     x, y, h = rng.integers(0, 72, (6, 4)), rng.integers(0, 72, (6, 4)), np.zeros((4, 5), np.float32)
-    g = m.gradients(x, y, h)[0]
+    g, used, *_ = m.gradients(x, y, h)
+    every = np.zeros_like(m.p["embed"])
+    every[used] = g["embed"]
+    g["embed"] = every
     for k, p in m.p.items():
         i = int(np.abs(g[k]).argmax())
         flat, old = p.reshape(-1), p.reshape(-1)[i]
         flat[i] = old + 0.05
-        up = m.gradients(x, y, h)[2]
+        up = m.gradients(x, y, h)[3]
         flat[i] = old - 0.05
-        down = m.gradients(x, y, h)[2]
+        down = m.gradients(x, y, h)[3]
         flat[i] = old
         assert abs((up - down) / 0.1 - g[k].reshape(-1)[i]) < 0.02 * max(1, abs(g[k]).max()), k
 
@@ -372,6 +388,35 @@ def test_packing(docs, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_packing_ids_are_the_library_s(spark):
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    mine = packing.token_ids(texts, packing.vocabulary_path(), public_tokenizers.PATTERN)
+    assert all(a.tolist() == [*b.ids, 0] for a, b in zip(mine, library.encode_batch(texts, add_special_tokens=False), strict=True))
+
+
+def test_packing_puts_like_texts_side_by_side(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("text is not null").select("text", "lang").collect()
+    import pyarrow as pa
+
+    keys = packing.hilbert_key(packing.quantised(packing.projected(*raw(pa.array([r["text"] for r in rows])))))
+    lang = np.array([str(r["lang"]) for r in rows])[np.argsort(keys, kind="stable")]
+    share = np.unique(lang, return_counts=True)[1] / len(lang)
+    assert (lang[1:] == lang[:-1]).mean() > (share**2).sum() + 0.15
+    long = packing.projected(*raw(pa.array([PROSE, " ".join([PROSE] * 500)])))
+    assert np.allclose(long[0], long[1], atol=0.2)
+
+
+def test_packing_does_not_depend_on_settings(spark):
+    df = spark.createDataFrame([(d, f"{PROSE} {d}") for d in range(300)], "doc_id long, text string")
+    got = []
+    for parts, n in (("2", 1), ("9", 7)):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got.append(sorted(map(tuple, packing.pack(df.repartition(n)).collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got[0] == got[1]
+
+
 def test_hilbert_neighbours_touch():
     cells = np.stack(np.meshgrid(*[np.arange(8)] * 3), axis=-1).reshape(-1, 3)
     key = packing.hilbert_key(cells, 3)
