@@ -3,17 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quantloom.llm import line_dedup, ngram_join, packing, pii, quality_classifier
-from quantloom.llm.graph import cut
-
-
-def _as(docs: DataFrame, out: DataFrame, text: str) -> DataFrame:
-    """The columns of docs, with text replaced by that column of out and n_chars counted anew."""
-    kept = F.when(out["text"].isNotNull(), out[text])
-    new = {"text": kept, "n_chars": F.length(kept).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
-    return out.select(*[new[c].alias(c) if new.get(c) is not None else out[c] for c in docs.columns])
+from quantloom.operators.checkpoints import cut
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +15,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops repeated long lines from all but the largest document that holds them."""
-    return _as(docs, line_dedup.drop_lines(docs), "ql_kept")
+    return line_dedup.without_lines(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
