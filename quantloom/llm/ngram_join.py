@@ -5,9 +5,10 @@ group counts, and the summed coordinate minima of two points bound the overlap o
 indexed in R-trees whose nodes hold coordinate maxima; a search descends where the bound allows a link, and
 what it returns is verified on whole sets.
 
-One tree over all points would have to be copied to every task, so points are first dealt to shards that
-lose no link: two sets of the asked similarity share one of their first shingles in any common order. The
-order puts shingles that many documents hold last, so a passage of the whole corpus makes no large shard.
+One tree over all points would have to be copied to every task, and its upper boxes would allow everything: the
+maxima of a few unrelated points reach any other point's counts. So points are first dealt to a forest, a tree for
+each shard, that loses no link: two sets of the asked similarity share one of their first shingles in any common
+order. The order puts shingles that many documents hold last, so a passage of the whole corpus makes no large shard.
 Equal sets are one point. Shards emit spanning stars, never all pairs.
 """
 
@@ -40,7 +41,9 @@ BLOCK = 20_000
 BLOCK_SHINGLES = 4_000_000
 #: Bits of the filter that says whose sets are needed for verification (2 MB; it only saves shuffling).
 FILTER_BITS = 24
+#: Entries of a node of a tree, and coordinates by which points are put in order.
 FANOUT = 16
+PACK = 16
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -59,6 +62,10 @@ def groups_of(n: np.ndarray) -> np.ndarray:
     return np.maximum(GROUPS, 1 << np.maximum(np.frexp(np.maximum(n, 1))[1].astype(np.int64) - 2, 0))
 
 
+#: Greatest count that half a byte of a sent point holds; what is above is added up beside it.
+NIBBLE = 15
+
+
 def vectors(hashed: np.ndarray, first: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
     """Group counts of each row, cut at 255, and the sum of what was cut (the bound takes it into account)."""
     rows = len(first) - 1
@@ -72,14 +79,15 @@ def cut_counts(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def packed_points(hashed: np.ndarray, first: np.ndarray) -> list[bytes]:
-    """Each row's overflow (4 bytes) and its point, in its own number of groups."""
+    """Each row's overflow (4 bytes) and its point, in its own number of groups, two to a byte."""
     size = groups_of(np.diff(first))
     begin = np.concatenate([[0], np.cumsum(size)])
     row = np.repeat(np.arange(len(size)), np.diff(first))
     count = np.bincount(begin[row] + (mix(hashed) & (size[row] - 1).astype(np.uint64)).astype(np.int64), minlength=begin[-1])
-    over = np.diff(np.concatenate([[0], np.cumsum(np.maximum(count - 255, 0))])[begin]).astype("<i4")
-    point = np.minimum(count, 255).astype(np.uint8)
-    return [o.tobytes() + point[a:b].tobytes() for o, a, b in zip(over, begin[:-1], begin[1:], strict=True)]
+    over = np.diff(np.concatenate([[0], np.cumsum(np.maximum(count - NIBBLE, 0))])[begin]).astype("<i4")
+    low = np.minimum(count, NIBBLE).astype(np.uint8)
+    point = low[0::2] | low[1::2] << 4
+    return [o.tobytes() + point[a // 2 : b // 2].tobytes() for o, a, b in zip(over, begin[:-1], begin[1:], strict=True)]
 
 
 def unpacked_points(packed: list[bytes], groups: int) -> tuple[np.ndarray, np.ndarray]:
@@ -87,7 +95,9 @@ def unpacked_points(packed: list[bytes], groups: int) -> tuple[np.ndarray, np.nd
     so folding adds up the parts of a longer point."""
     point, over = np.empty((len(packed), groups), np.uint8), np.empty(len(packed), np.int64)
     for i, x in enumerate(packed):
-        body = np.frombuffer(x, np.uint8, offset=4)
+        pairs = np.frombuffer(x, np.uint8, offset=4)
+        body = np.empty(2 * len(pairs), np.uint8)
+        body[0::2], body[1::2] = pairs & NIBBLE, pairs >> 4
         point[i], more = (body, 0) if len(body) == groups else cut_counts(body.reshape(-1, groups).sum(axis=0, dtype=np.int64))
         over[i] = int.from_bytes(x[:4], "little") + more
     return point, over
@@ -162,21 +172,20 @@ def sketches(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataF
 
 
 class Tree:
-    """R-tree over count vectors. A node's box is its coordinate maxima, its least size and its most overflow;
+    """R-tree over boxes of count vectors. A box is its coordinate maxima, its most overflow and its least size;
     minima of the coordinates are not needed, since the bound grows with each coordinate."""
 
     def __init__(self, point: np.ndarray, over: np.ndarray, size: np.ndarray) -> None:
         self.levels = [(point, over, size)]
         while len(self.levels[-1][2]) > FANOUT:
-            p, o, s = self.levels[-1]
-            at = np.arange(0, len(s), FANOUT)
-            self.levels.append((np.maximum.reduceat(p, at), np.maximum.reduceat(o, at), np.minimum.reduceat(s, at)))
+            self.levels.append(boxes(*self.levels[-1], np.arange(0, len(self.levels[-1][2]), FANOUT)))
 
-    def search(self, point: np.ndarray, over: int, size: int, percent: int) -> np.ndarray:
-        """Entries whose bound allows a link with anything in the given box."""
+    def search(self, point: np.ndarray, over: int, size: int, percent: int, first: int = 0) -> np.ndarray:
+        """Entries from the first on whose bound allows a link with anything in the given box."""
         at = np.arange(len(self.levels[-1][2]))
         for depth in range(len(self.levels) - 1, -1, -1):
             p, o, s = self.levels[depth]
+            at = at[at >= first // FANOUT**depth]
             at = at[may_link(p[at], o[at], s[at], point, over, size, percent)]
             if depth:
                 at = (at[:, None] * FANOUT + np.arange(FANOUT)).ravel()
@@ -184,6 +193,11 @@ class Tree:
         return at
 
 
+def boxes(point: np.ndarray, over: np.ndarray, size: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Boxes of runs that begin at the given places."""
+    return np.maximum.reduceat(point, begin), np.maximum.reduceat(over, begin), np.minimum.reduceat(size, begin)
+
+
 def may_link(point: np.ndarray, over: np.ndarray, size: np.ndarray, other: np.ndarray, other_over, other_size, percent: int) -> np.ndarray:  # noqa: ANN001
     """Whether the summed minima reach the overlap that sets of (at least) these sizes need to link."""
     bound = np.minimum(point, other).sum(axis=-1, dtype=np.int64) + np.minimum(over, other_over)
@@ -202,47 +216,58 @@ class Union:
             self.of[self.of == max(x, y)] = min(x, y)
 
 
+def leaves(point: np.ndarray, over: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the points that puts like ones side by side, and where its leaves begin: runs of at most FANOUT
+    points of which each may link to the one before, so that a leaf's box is hardly wider than its points."""
+    order = np.lexsort(point[:, min(PACK, point.shape[1]) - 1 :: -1].T)
+    p, o, s = point[order], over[order], size[order]
+    near = np.empty(len(order), bool)
+    near[0] = False
+    for a in range(1, len(order), 4096):  # some megabytes at a time
+        b = min(a + 4096, len(order))
+        near[a:b] = may_link(p[a - 1 : b - 1], o[a - 1 : b - 1], s[a - 1 : b - 1], p[a:b], o[a:b], s[a:b], percent)
+    run = np.maximum.accumulate(np.where(near, 0, np.arange(len(order))))
+    return order, np.flatnonzero((np.arange(len(order)) - run) % FANOUT == 0)
+
+
 def bound_components(point: np.ndarray, over: np.ndarray, size: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Labels of the components of the graph of all pairs that the bound allows; rows come by size.
 
-    Leaves are gathered around leaders, the trees' boxes say which leaves can hold a further pair, and leaves
-    that are connected already are not looked into."""
+    A tree is packed over leaves of like points. Each leaf's box is searched in it for leaves that come later; of
+    those that the boxes allow and that are not connected already, the points decide."""
     n = len(size)
     if n == 2:
         return np.array([0, 0 if may_link(point[:1], over[:1], size[:1], point[1], over[1], size[1], percent)[0] else 1])
-    union, leaders, members = Union(n), [], []
-    lead = np.empty((0,), np.int64)
-    lead_point = np.empty((16, point.shape[1]), np.uint8)
-    for i in range(n):
-        k = len(leaders)
-        from_ = int(np.searchsorted(size[lead], -(-percent * size[i] // 100))) if k else 0
-        ok = np.flatnonzero(may_link(lead_point[from_:k], over[lead[from_:]], size[lead[from_:]], point[i], over[i], size[i], percent)) + from_ if k > from_ else ()
-        if len(ok):
-            members[ok[0]].append(i)
-            for j in ok:
-                union.merge(leaders[j], i)
-        else:
-            if k == len(lead_point):
-                lead_point = np.concatenate([lead_point, np.empty_like(lead_point)])
-            lead_point[k] = point[i]
-            leaders.append(i)
-            members.append([i])
-            lead = np.append(lead, i)
-    wide = [j for j, m in enumerate(members) if len(m) > 1]
-    if len(leaders) > 1 and wide:
-        boxes = [(point[m].max(axis=0), over[m].max(), size[m].min()) for m in members]
-        tree = Tree(np.stack([b[0] for b in boxes]), np.array([b[1] for b in boxes]), np.array([b[2] for b in boxes]))
-        for j in wide:
-            mine = np.array(members[j])
-            for other in tree.search(*boxes[j], percent):
-                if union.of[leaders[other]] == union.of[leaders[j]]:
-                    continue
-                theirs = np.array(members[other])
-                for i in mine:
-                    if may_link(point[theirs], over[theirs], size[theirs], point[i], over[i], size[i], percent).any():
-                        union.merge(leaders[j], leaders[other])
-                        break
-    return union.of
+    order, begin = leaves(point, over, size, percent)
+    point, over, size = point[order], over[order], size[order]
+    end = np.append(begin[1:], n)
+    box = boxes(point, over, size, begin)
+    tree, label = Tree(*box), Union(len(begin))
+    for a in range(len(begin) - 1):
+        found = tree.search(box[0][a], box[1][a], box[2][a], percent, a + 1)
+        found = found[(found > a) & (label.of[found] != label.of[a])]
+        if not len(found):
+            continue
+        many = end[found] - begin[found]
+        at = np.arange(many.sum()) + np.repeat(begin[found] - np.concatenate([[0], np.cumsum(many)[:-1]]), many)
+        leaf = np.repeat(found, many)
+        single = end[a] - begin[a] == 1 and (many == 1).all()
+        for i in range(begin[a], end[a]) if not single else ():
+            hit = leaf[may_link(point[at], over[at], size[at], point[i], over[i], size[i], percent)]
+            for other in np.unique(hit):
+                label.merge(a, int(other))
+            left = label.of[leaf] != label.of[a]
+            at, leaf = at[left], leaf[left]
+            if not len(at):
+                break
+        for other in found if single else ():  # boxes of one point are that point
+            label.merge(a, int(other))
+    # The label of a component is its first row by size.
+    of = np.empty(n, np.int64)
+    of[order] = np.repeat(label.of, end - begin)
+    least = np.full(len(begin), n)
+    np.minimum.at(least, of, np.arange(n))
+    return least[of]
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
@@ -369,17 +394,18 @@ def shard_rows(points: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def search(rows: DataFrame, points: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Spanning stars, within each shard of rows, of the pairs that the trees' bound allows."""
-    order = ["shard", "octave", "i", "j", "n", "set"]
-    rows = dealt(rows, _blocks(F.col("members"), BLOCK)).join(points.select("set", "vector"), "set")
-    rows = rows.repartition("shard", "octave", "i", "j").sortWithinPartitions(*order).select(*order, "vector")
+    rows = dealt(rows, _blocks(F.col("members"), BLOCK)).select(F.xxhash64("shard", "octave", "i", "j").alias("tree"), "n", "set").join(points.select("set", "vector"), "set")
+    rows = rows.repartition("tree").sortWithinPartitions("tree", "n", "set").select("tree", "n", "set", "vector")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, at in groups(batches, ["shard", "octave", "i", "j"], 5_000):
-            ids, size, octaves = (table.column(c).to_numpy() for c in ("set", "n", "octave"))
+        for table, at in groups(batches, ["tree"], 5_000):
+            ids, size = (table.column(c).to_numpy() for c in ("set", "n"))
             packed = table.column("vector").to_pylist()
             a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for s, e in zip(at[:-1], at[1:], strict=True):
-                point, over = unpacked_points(packed[s:e], int(groups_of(np.array([1 << octaves[s]]))[0]))
+                if e - s == 1:
+                    continue
+                point, over = unpacked_points(packed[s:e], int(groups_of(size[s : s + 1])[0]))  # of the smallest set
                 of = bound_components(point, over, size[s:e], percent)
                 other = of != np.arange(e - s)
                 a.append(ids[s:e][of[other]])
@@ -475,8 +501,10 @@ def keep_one(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataF
     keepers = similar_groups(docs, k, percent).filter("keeper").select(F.col("row_key").alias("ql_key"), (F.col("n_shingles") > 0).alias("ql_some")).distinct()
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("ql_row"), row_key(docs["doc_id"].cast("long"), text).alias("ql_key")).join(keepers, "ql_key")
-    first = F.row_number().over(Window.partitionBy("ql_key").orderBy("ql_row"))
-    return held.withColumn("ql_nth", first).filter("ql_nth = 1 or not ql_some").select("ql_row.*")
+    # Rows that differ only in other columns go by the text of those; maps and the like have no order of their own.
+    first = F.row_number().over(Window.partitionBy("ql_key").orderBy(F.to_json(F.struct("ql_row"))))
+    kept = held.withColumn("ql_nth", first).filter("ql_nth = 1 or not ql_some")
+    return kept.select(*[F.col("ql_row").getField(c).alias(c) for c in docs.columns])
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

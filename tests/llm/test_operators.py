@@ -268,6 +268,59 @@ def test_ngram_join_near_copies(spark, monkeypatch):
         same([(r["doc_id"], r["component_id"]) for r in ngram_join.similar_groups(df).collect()], want)
 
 
+def _points(sets, groups=128):
+    hashed = [np.sort(x) for x in sets]
+    first = np.concatenate([[0], np.cumsum([len(x) for x in hashed])])
+    packed = ngram_join.packed_points(np.concatenate(hashed), first)
+    return *ngram_join.unpacked_points(packed, groups), np.array([len(x) for x in hashed])
+
+
+def test_ngram_join_trees_replace_flat_scans(monkeypatch):
+    """Copies that differ a little: far fewer comparisons than pairs, by searches of trees, and the components of all
+    pairs that the bound allows."""
+    rng = np.random.default_rng(2)
+    sets = []
+    for _ in range(60):
+        own = rng.integers(0, 2**63, 200, dtype=np.uint64)
+        sets += [np.unique(np.concatenate([own[int(rng.integers(0, 8)) :], rng.integers(0, 2**63, int(rng.integers(1, 6)), dtype=np.uint64)])) for _ in range(30)]
+    sets.sort(key=len)
+    point, over, size = _points(sets)
+    compared, searches, may, search = [0], [0], ngram_join.may_link, ngram_join.Tree.search
+
+    def counted(p, *rest):
+        compared[0] += len(p)
+        return may(p, *rest)
+
+    monkeypatch.setattr(ngram_join, "may_link", counted)
+    monkeypatch.setattr(ngram_join.Tree, "search", lambda *a: (searches.__setitem__(0, searches[0] + 1), search(*a))[1])
+    got = ngram_join.bound_components(point, over, size)
+    n = len(sets)
+    assert searches[0] > 0 and compared[0] < n * (n - 1) / 2 / 4
+    union = ngram_join.Union(n)
+    for i in range(n):
+        for j in np.flatnonzero(may(point[:i], over[:i], size[:i], point[i], over[i], size[i], 80)):
+            union.merge(int(j), i)
+    assert (got == union.of).all() and len(set(got)) == 60
+
+
+def test_ngram_join_points_bound_overlaps():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 3000, dtype=np.uint64)
+    sets = sorted((np.unique(base[: int(k)]) for k in rng.integers(1, 3000, 40)), key=len)
+    sets += [np.unique(base[rng.integers(0, 3000, 2500)])]
+    for groups in (128, 64, 4):  # few groups: counts above half a byte and above a byte
+        point, over, size = _points(sets, groups)
+        for i in range(len(sets)):
+            bound = np.minimum(point, point[i]).sum(axis=1, dtype=int) + np.minimum(over, over[i])
+            assert all(b >= len(np.intersect1d(x, sets[i])) for b, x in zip(bound, sets, strict=True))
+
+
+def test_keep_one_with_columns_that_have_no_order(spark):
+    df = spark.createDataFrame([(1, PROSE, {"a": 1}, 5), (1, PROSE, {"b": 2}, 5), (2, PROSE + " more", None, None), (3, "", {"c": 3}, 1), (3, "", {"c": 3}, 1)], "doc_id long, text string, m map<string,int>, ql_row int")
+    got = ngram_join.keep_one(df)
+    assert got.columns == df.columns and sorted(r["doc_id"] for r in got.collect()) == [1, 3, 3]
+
+
 def test_lm(docs, empty):
     got = lm.score(docs, vocabulary=20, hidden=4, frequent=10).collect()
     tokens = [[*brute.WORD.findall((t or "").translate(brute.LOW)), None] for _, t in ROWS]
