@@ -375,11 +375,23 @@ STAR = "a long, b long"
 
 
 def shard_rows(points: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """shard, octave, set, n, members: each set of at least two in a shard of like sizes."""
-    keyed = points.select("set", "n", F.explode("prefix").alias("key"))
+    """shard, octave, set, n, members: each set of at least two in a shard of like sizes.
+
+    A pair meets where its first common shingle is. What lies before that in either order is not common, so a set of
+    n shingles with it at place i links to none of more than most = (100 + percent) / percent * (n - i) - n. A set
+    stays in a shard if the sizes there leave it a partner: one not larger, that is large enough and of which one may
+    link to so many, or the next larger one."""
+    keyed = points.select("set", F.posexplode("prefix").alias("pos", "key"), "n").select("set", "key", (F.col("n") * F.lit(1 << 32) + F.col("pos")).alias("place"))
+    n, pos = F.shiftright("place", 32), F.col("place").bitwiseAND(F.lit((1 << 32) - 1))
+    by_size = Window.partitionBy("key").orderBy("n", "set")
+    placed = keyed.select("set", "key", n.alias("n"), F.floor((100 + percent) * (n - pos) / percent).cast("long").alias("most")).withColumn("most", F.col("most") - F.col("n"))
+    smaller, larger = F.lag("n").over(by_size), F.lead("n").over(by_size)
+    reach = F.max("most").over(by_size.rowsBetween(Window.unboundedPreceding, -1))
+    near = placed.select("set", "key", "n", "most", smaller.alias("smaller"), larger.alias("larger"), reach.alias("reach"))
+    near = near.filter(((F.col("smaller") * 100 >= F.col("n") * percent) & (F.col("reach") >= F.col("n"))) | ((F.col("larger") * percent <= F.col("n") * 100) & (F.col("larger") <= F.col("most"))))
     shard = Window.partitionBy("key")
     # A shard is known by its members: shards with the same members are searched once.
-    sized = keyed.select(
+    sized = near.select(
         "set", "n", F.count(F.lit(1)).over(shard).alias("members"), F.bit_xor(F.xxhash64("set")).over(shard).alias("x"), F.bit_xor(F.xxhash64("set", F.lit(1))).over(shard).alias("y")
     ).filter("members > 1")
     shards = sized.groupBy(F.xxhash64("x", "y", "members").alias("shard"), "set").agg(F.first("n").alias("n"))
