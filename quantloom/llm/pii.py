@@ -46,18 +46,27 @@ _LOOSE = (
     ("ip", re.compile(r"(?<![0-9.])[0-9]{1,3}(?: ?\. ?[0-9]{1,3}){3}(?![0-9.])")),
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
 )
-_CONTEXT = (
-    ("email", re.compile(r"mail|contact|write|reach", re.I)),
-    ("phone", re.compile(r"phone|call|tel|fax|mobile|cell|whatsapp", re.I)),
-    ("ssn", re.compile(r"ssn|social|security|tax", re.I)),
-    ("card", re.compile(r"card|visa|credit|debit|payment|account", re.I)),
-    ("ip", re.compile(r"\bip\b|host|server|address|login", re.I)),
-    ("iban", re.compile(r"iban|bank|account|transfer", re.I)),
-    ("none", re.compile(r"version|order|invoice|ref|page|isbn|part|serial|build|release|total|id\b", re.I)),
-)
+#: Words that stand near each kind, in English, German, French, Spanish and Italian; those of "none" tell of look-alikes.
+WORDS = {
+    "email": "mail contact write reach kontakt schreiben courriel écrire contacter correo escribir scrivere posta",
+    "phone": "phone call tel fax mobile cell whatsapp telefon anrufen rufnummer téléphone appeler teléfono telefono llamar móvil chiamare cellulare",
+    "ssn": "ssn social security tax steuer sozialversicherung sécurité sociale seguridad social fiscale",
+    "card": "card visa credit debit payment karte kreditkarte zahlung carte paiement tarjeta pago carta pagamento",
+    "ip": "ip host server address login adresse serveur servidor dirección indirizzo",
+    "iban": "iban bank account transfer konto überweisung banque compte virement banco cuenta conto bonifico",
+    "none": "version order invoice ref page part serial build release total isbn bestellung rechnung seite commande facture pedido factura página ordine fattura pagina",
+}
+_CONTEXT = tuple((k, re.compile(r"(?<![^\W_])(?:" + "|".join(w.split()) + ")", re.I)) for k, w in WORDS.items())
 CONTEXT_CHARS = 40
 
 
+def mod97(span: str) -> bool:
+    """Whether an account number's check digits are right."""
+    text = span.replace(" ", "").upper()
+    moved = text[4:] + text[:4]
+    return len(text) >= 15 and moved.isascii() and moved.isalnum() and int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, d in enumerate(map(int, reversed(digits))):
@@ -116,7 +125,7 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
 
 def features(text: str, kind: str, start: int, end: int) -> list[float]:
     """Format of the span and of what surrounds it."""
-    span, before = text[start:end], text[max(0, start - CONTEXT_CHARS) : start]
+    span, before, after = text[start:end], text[max(0, start - CONTEXT_CHARS) : start], text[end : end + CONTEXT_CHARS]
     digits = _NOT_DIGIT.sub("", span)
     parts = [int(x) for x in re.findall("[0-9]{1,9}", span)]
     near_left, near_right = text[start - 1 : start], text[end : end + 1]
@@ -132,10 +141,12 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         float(len(parts)),
         float(span[:1] == "0" or digits[:3] in ("000", "666") or digits[:1] == "9"),
         float("@" in span),
+        float(kind == "iban" and mod97(span)),
         float(near_left.isalnum() or near_left in ("/", "_", "#")),
         float(near_right.isalnum() or near_right in ("/", "_", "%")),
         float(sum(c.isdigit() for c in before)),
         *(float(bool(p.search(before))) for _, p in _CONTEXT),
+        *(float(bool(p.search(after))) for _, p in _CONTEXT),
     ]
 
 
@@ -150,16 +161,20 @@ def generated(n: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
         head = pick("3456") + num(14)
         return head + next(d for d in "0123456789" if luhn(head + d))
 
+    def iban() -> str:
+        land, body = pick(["DE", "FR", "ES", "GB", "IT", "NL"]), num(int(rng.integers(11, 24)))
+        return next(x for x in (f"{land}{c:02d}{body}" for c in range(2, 99)) if mod97(x))
+
     def group(digits: str, sep: str) -> str:
         return sep.join(digits[i : i + 4] for i in range(0, len(digits), 4))
 
     real = {
         "email": lambda: f"{name()}{pick(['.', '_', ''])}{name()}{pick(['@', ' (at) ', ' [at] ', '(at)'])}{name()}{pick(['.', '.', ' (dot) '])}{pick(['com', 'org', 'net', 'io'])}",
-        "phone": lambda: pick([f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"{num(3)}.{num(3)}.{num(4)}"]),
+        "phone": lambda: pick([f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"{num(3)}.{num(3)}.{num(4)}", f"0{num(2)} {num(3)} {num(4)}", f"0{num(3)} {num(4)} {num(3)}", f"{num(2)} {num(3)} {num(4)}"]),
         "ssn": lambda: f"{int(rng.integers(1, 665)):03d}-{int(rng.integers(1, 99)):02d}-{num(4)}",
         "card": lambda: group(card(), pick([" ", "-", "."])),
         "ip": lambda: pick([" . ", ". ", "."]).join(str(int(x)) for x in rng.integers(0, 256, 4)),
-        "iban": lambda: group(pick(["DE", "FR", "ES", "GB"]) + num(18), pick(["", " "])),
+        "iban": lambda: group(iban(), pick(["", " "])),
     }
     fake = {
         "email": lambda: f"{name()} @ {name()} . {name()[:4]}",
@@ -169,14 +184,13 @@ def generated(n: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
         "ip": lambda: ".".join(str(int(x)) for x in rng.integers(0, 999, 4)),
         "iban": lambda: group(name()[:2].upper() + num(16 + 4 * int(rng.integers(0, 2))), ""),
     }
-    word = {"email": "mail contact write", "phone": "phone call tel mobile", "ssn": "ssn social security", "card": "card visa credit", "ip": "ip host server", "iban": "iban bank transfer"}
-    plain = "version order invoice ref page part serial build total"
     rows, labels = [], []
     for i in range(n):
         kind, good = pick(list(real)), bool(i % 2)
         value = (real if good else fake)[kind]()
-        lead = pick(word[kind].split()) if rng.random() < (0.7 if good else 0.15) else pick(plain.split()) if not good and rng.random() < 0.7 else name()
-        text = f"{name()} {name()} {lead}{pick([': ', ' ', ' is '])}{value}{pick(['', '.', ',', ' '])} {name()} {name()}"
+        near = pick(WORDS[kind].split()) if rng.random() < (0.8 if good else 0.15) else pick(WORDS["none"].split()) if not good and rng.random() < 0.7 else name()
+        lead, tail = (near, name()) if rng.random() < 0.8 else (name(), near)
+        text = f"{name()} {name()} {lead}{pick([': ', ' ', ' is '])}{value}{pick(['', '.', ',', ' '])} {tail} {name()}"
         at = text.index(value)
         for k, s, e in candidates(text):
             rows.append(features(text, k, s, e))

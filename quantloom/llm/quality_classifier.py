@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quantloom.llm.quality_rules import _LETTER, Rows, duplicate_lines, exclaiming, many_symbols, mostly_digits, per_row, shouting, statistics
@@ -21,6 +21,8 @@ from quantloom.llm.text import _BYTE_KEYS, _LOWER, _POWERS, chunks, documents, g
 
 #: Labelled rows, by hash order, from which wordings are learnt and on which the scorers are trained.
 TRAIN_ROWS = 12_000
+#: Bytes of their texts at most: rows are taken in hash order as long as their texts fit.
+TRAIN_BYTES = 64 << 20
 #: Documents of the positive class that must hold a wording, and its lift over the other class.
 MIN_SUPPORT = 6
 MIN_LIFT = 30.0
@@ -194,11 +196,14 @@ def expectation_maximisation(votes: np.ndarray, counts: np.ndarray, rounds: int
     return q, rate, share
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> list:
-    """Up to most labelled texts, by the hash of doc_id; a doc_id with several labels counts as toxic or poor if any says so."""
+def labelled_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> list:
+    """Up to most labelled texts of up to most_bytes together, by the hash of doc_id; a doc_id with several labels
+    counts as toxic or poor if any says so."""
     one = labels.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col("quality").cast("int")).alias("quality"), F.max(F.col("toxic").cast("int")).alias("toxic"))
     drawn = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return only(docs).join(F.broadcast(drawn), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most).collect()
+    found = only(docs).join(F.broadcast(drawn), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most)
+    upto = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0))
+    return found.withColumn("upto", upto).filter(F.col("upto") <= most_bytes).drop("upto").collect()  # at most so many rows and bytes
 
 
 def _counted(parts: list[tuple[np.ndarray, np.ndarray]], first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -107,6 +107,29 @@ def test_pii_finds_addresses_in_any_case():
         assert pii.redacted(text, spans) == "please write to <EMAIL> for more", (at, dot)
 
 
+#: Sentences that the trees have not seen the like of, with what is personal in them.
+FOREIGN = [
+    ("Bitte auf das Konto DE89370400440532013000 überweisen, danke", "iban", "DE89370400440532013000"),
+    ("le compte FR1420041010050500013M02606 est le bon", "iban", "FR1420041010050500013M02606"),
+    ("paid from iban GB82 WEST 1234 5698 7654 32 last week", "iban", "GB82 WEST 1234 5698 7654 32"),
+    ("mi teléfono 091 555 1234 a cualquier hora", "phone", "091 555 1234"),
+    ("you can call (212) 555-0199 after nine", "phone", "(212) 555-0199"),
+    ("her social security number: 078-05-1120", "ssn", "078-05-1120"),
+    ("contact jane.roe [at] example [dot] org today", "email", "jane.roe [at] example [dot] org"),
+    ("the part AB12 3456 7890 1234 of build 7 is late", None, None),
+    ("order 4111 2222 3333 4445 shipped, invoice to follow", None, None),
+    ("seite 900-12-3456 der bestellung", None, None),
+]
+
+
+def test_pii_beyond_the_generator_s_sentences():
+    found = pii.find_all([t for t, *_ in FOREIGN], pii.model())
+    caught = [kind is None or any(k == kind and t[s:e].strip() == value for k, s, e in spans) for (t, kind, value), (_, spans) in zip(FOREIGN, found, strict=True)]
+    wrong = [spans for (_, kind, _), (_, spans) in zip(FOREIGN, found, strict=True) if kind is None and spans]
+    assert sum(caught) >= 9 and not wrong, [t for (t, *_), c in zip(FOREIGN, caught, strict=True) if not c]
+    assert pii.mod97("GB82 WEST 1234 5698 7654 32") and not pii.mod97("GB83 WEST 1234 5698 7654 32")
+
+
 def test_secrets(docs, empty):
     got = secrets.scan(docs).collect()
     want = []
@@ -159,6 +182,16 @@ def test_quality_rules(docs, empty):
     reverse = {(r["doc_id"], r["n_words"]): r["kept"] for r in quality_rules.judge(docs, list(quality_rules.RULES)[::-1]).collect()}
     assert reverse == {(r["doc_id"], r["n_words"]): r["kept"] for r in got}
     assert quality_rules.judge(empty).count() == 0
+    rejected, seconds = quality_rules.measure(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    assert sum(rejected.values()) == len(ROWS) and all(s > 0 for s in seconds)
+    assert 0 < sum(quality_rules.measure(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), 10)[0].values()) < len(ROWS)
+
+
+def test_order_of_rules_counts_what_is_left():
+    names = list(quality_rules.RULES)
+    # The second rule rejects what the first does and little more, the third other rows: it comes before the second.
+    assert quality_rules.order_rules({0b011: 50, 0b010: 1, 0b100: 20, 0: 900}, [1.0, 1.01, 1.0, 1e-3, 9.0, 9.0])[:4] == [names[3], names[1], names[2], names[0]]
+    assert sorted(quality_rules.order_rules({}, [0.0] * 6)) == sorted(names)
 
 
 def test_sketch(docs, empty):
@@ -397,6 +430,12 @@ def test_quality_classifier(docs, empty, labels):
     assert quality_classifier.accepted(docs, labels).columns == docs.columns
 
 
+def test_training_rows_are_bounded_in_bytes(spark):
+    df = spark.createDataFrame([(d, "x" * 1000) for d in range(50)], "doc_id long, text string")
+    lab = spark.createDataFrame([(d, 1, 0) for d in range(50)], "doc_id long, quality int, toxic int")
+    assert len(quality_classifier.labelled_rows(df, lab, 40)) == 40 and len(quality_classifier.labelled_rows(df, lab, 40, 10_500)) == 10
+
+
 def test_quality_classifier_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.1"
     d, lab = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
