@@ -116,15 +116,16 @@ class Scorer:
         rows, buckets, times: each feature once for each row that has it."""
         n = len(target)
         row_bits = np.uint64(64 - FEATURE_BITS)
-        pairs = np.sort(buckets << row_bits | rows.astype(np.uint64))
-        # Pairs are sorted by bucket, so a bucket's rows are a run of them.
-        bucket_of = pairs >> row_bits
-        begin = np.flatnonzero(np.append(True, bucket_of[1:] != bucket_of[:-1])) if len(pairs) else np.zeros(0, np.int64)
-        held = bucket_of[begin]
-        hits = np.concatenate([[0.0], np.cumsum(target[(pairs & np.uint64((1 << int(row_bits)) - 1)).astype(np.int64)])])
-        positive = hits[np.append(begin[1:], len(pairs))] - hits[begin] if len(begin) else np.zeros(0)
+        # Sorted in place by bucket and row, so a bucket's rows are a run of them.
+        pairs = buckets << row_bits
+        pairs |= rows.astype(np.uint64)
+        pairs.sort()
+        begin = np.flatnonzero(np.append(True, (pairs[1:] ^ pairs[:-1]) >> row_bits)) if len(pairs) else np.zeros(0, np.int64)
+        held = pairs[begin] >> row_bits
+        pairs &= np.uint64((1 << int(row_bits)) - 1)
+        positive = np.add.reduceat(target[pairs.view(np.int64)], begin) if len(begin) else np.zeros(0)
         support = np.diff(np.append(begin, len(pairs))).astype(float)
-        del pairs, bucket_of, hits
+        del pairs
         total = target.sum()
         ratio = (positive / max(total, 1e-9)) / np.maximum((support - positive + 0.5) / max(n - total, 1e-9), 1e-12)
         good = (positive >= MIN_SUPPORT) & (ratio >= lift) if lift else support >= MIN_SUPPORT
@@ -196,14 +197,14 @@ def expectation_maximisation(votes: np.ndarray, counts: np.ndarray, rounds: int
     return q, rate, share
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> list:
+def labelled_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> pa.Table:
     """Up to most labelled texts of up to most_bytes together, by the hash of doc_id; a doc_id with several labels
     counts as toxic or poor if any says so."""
     one = labels.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col("quality").cast("int")).alias("quality"), F.max(F.col("toxic").cast("int")).alias("toxic"))
     drawn = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     found = only(docs).join(F.broadcast(drawn), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most)
     upto = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0))
-    return found.withColumn("upto", upto).filter(F.col("upto") <= most_bytes).drop("upto").collect()  # at most so many rows and bytes
+    return found.withColumn("upto", upto).filter(F.col("upto") <= most_bytes).select("text", "quality", "toxic").toArrow()  # at most so many rows and bytes
 
 
 def _counted(parts: list[tuple[np.ndarray, np.ndarray]], first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -222,10 +223,12 @@ def _joined(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> tuple[Scorer, Scorer]:
     """Scorers of poor and of toxic texts."""
     rows = labelled_rows(docs, labels, most)
-    toxic_label = np.array([-1 if r["toxic"] is None else r["toxic"] for r in rows], int)
-    poor_label = np.array([-1 if r["quality"] is None else 1 - r["quality"] for r in rows], int)
-    texts = pa.RecordBatch.from_arrays([pa.array([r["text"] for r in rows], pa.large_string())], ["text"])
+    toxic_label = rows.column("toxic").fill_null(-1).to_numpy().astype(int)
+    quality = rows.column("quality").fill_null(2).to_numpy().astype(int)  # 2: not known, whose vote is -1
+    poor_label = 1 - quality
+    texts = pa.RecordBatch.from_arrays([pa.concat_arrays([c.cast(pa.large_string()) for c in rows.column("text").chunks] or [pa.array([], pa.large_string())])], ["text"])
     del rows
+    give_back()
     # The hashed features of all training rows, made a part at a time.
     found, n_words, own_poor_votes = {wordings: [], shapes: []}, [np.zeros(0, np.int64)], [np.zeros((0, len(POOR) - 1), np.int8)]
     for part in chunks(texts):
@@ -235,10 +238,12 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> tuple[S
             parts.append(_counted(list(kind(d, o)), at))
         n_words.append(np.diff(word_hashes(d, o)[1]))
         own_poor_votes.append(poor_votes(d, o))
+        give_back()
     n_words = np.concatenate(n_words)
     features, shape_features = _joined(found.pop(wordings)), _joined(found.pop(shapes))
     give_back()
     lexicon = Scorer().fit(*features, (toxic_label == 1).astype(float), n_words, MIN_LIFT)
+    give_back()
     one = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col("quality").cast("int")).alias("quality"), F.max(F.col("toxic").cast("int")).alias("toxic"))
     # Votes meet labels, both narrow; texts stay where they are.
     voted = map_arrow(only(docs), _voter(lexicon), "doc_id long, votes string")
@@ -256,6 +261,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> tuple[S
         of = {tuple(v): q for v, q in zip(votes.tolist(), posterior, strict=True)}
         target = np.array([of.get(tuple(v), 0.0) for v in own.tolist()])
         scorers.append(Scorer(share=share).fit(*parts, target, n_words, lift))
+        give_back()
     del features, shape_features, found, texts
     give_back()
     return scorers[0], scorers[1]
