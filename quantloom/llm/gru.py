@@ -15,8 +15,10 @@ import numpy as np
 END, TAIL = 0, 1
 #: Words of a class at least; large vocabularies have larger classes.
 CLASS_SIZE = 32
-#: Words of one pass through the output layer, whose logits stay in cache.
-OUTPUT_ROWS = 4096
+#: Words of one pass through the output layer, whose logits stay in a core's own cache.
+OUTPUT_ROWS = 1024
+#: Texts that are scored side by side.
+SCORE_LANES = 1024
 #: Bound on weights and on what training adds to a bias: a logit stays where its exponential is a finite float.
 WEIGHT_MOST = 4.0
 _NONE = -1e9
@@ -117,25 +119,29 @@ class Gru:
 
     def log_probability(self, states: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural log probability of each word y after its state."""
-        out = np.empty(len(y))
+        out, (order, of, place) = np.empty(len(y)), self.by_class(y)
         for a in range(0, len(y), OUTPUT_ROWS):
             at = slice(a, a + OUTPUT_ROWS)
-            order, *_, logs = self.output(states[at], y[at])
-            out[at][order] = logs
+            *_, out[order[at]] = self.output(states[order[at]], of[at], place[at])
         return out
 
-    def output(self, states: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
-        """The order of y by class, the states in it with a 1 below, each class and place in it, the exponentials of
-        the logits of classes and of words with their sums, and the log probabilities of y."""
+    def by_class(self, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The order of the words y by class, and each one's class and place in it, in that order. Runs of it meet few
+        classes, so passes through the output layer can be short."""
         of = np.where(y < 2, 0, (y - 2) // self.class_size + 1)
         order = np.argsort(of.astype(np.int16), kind="stable")
         of, y = of[order], y[order]
-        place = np.where(y < 2, y, (y - 2) % self.class_size)
-        s = self.space("states", self.hidden + 1, len(y))
-        s[:-1], s[-1] = states[order].T, 1
-        k, sums, logs = np.arange(len(of)), [], 0.0
-        words = self.space("words", self.class_size, len(y))
-        tops = np.matmul(self.p["wc"].T, s, out=self.space("tops", self.p["wc"].shape[1], len(y)))
+        return order, of, np.where(y < 2, y, (y - 2) % self.class_size)
+
+    def output(self, states: np.ndarray, of: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For words of these classes (ascending) and places: the states with a 1 below, the exponentials of the logits
+        of classes and of words with their sums, and the words' log probabilities."""
+        n = len(of)
+        s = self.space("states", self.hidden + 1, n)
+        s[:-1], s[-1] = states.T, 1
+        k, sums, logs = np.arange(n), [], 0.0
+        words = self.space("words", self.class_size, n)
+        tops = np.matmul(self.p["wc"].T, s, out=self.space("tops", self.p["wc"].shape[1], n))
         for c, i in self.runs(of):
             np.matmul(self.p["wo"][c].T, s[:, i], out=words[:, i])
         for z, hit in ((tops, of), (words, place)):
@@ -143,7 +149,7 @@ class Gru:
             np.exp(z, out=z)
             sums.append(z.sum(axis=0))
             logs -= np.log(sums[-1])
-        return order, s, of, place, tops, words, *sums, logs
+        return s, tops, words, *sums, logs
 
     def runs(self, of: np.ndarray) -> list[tuple[int, slice]]:
         """Each class that occurs and its run in the sorted classes."""
@@ -154,25 +160,32 @@ class Gru:
         """Log probability of each whole text (its words, END last); states are carried from window to window."""
         inputs = self.p["embed"] @ self.p["wx"] + self.p["bx"]
         order = np.argsort([-len(t) for t in texts], kind="stable")
-        size = np.array([len(texts[i]) for i in order])
+        out = np.zeros(len(texts))
+        for a in range(0, len(texts), SCORE_LANES):
+            lanes = order[a : a + SCORE_LANES]
+            out[lanes] = self.side_by_side([texts[i] for i in lanes], inputs, window)
+        return out
+
+    def side_by_side(self, texts: list[np.ndarray], inputs: np.ndarray, window: int) -> np.ndarray:
+        """As score, of texts the longest first."""
+        size = np.array([len(t) for t in texts])
         out = np.zeros(len(texts))
         h = np.zeros((len(texts), self.hidden), np.float32)
-        for at in range(0, int(size.max(initial=0)), window):
+        for at in range(0, int(size[0]), window):
             live = int(np.searchsorted(-size, -at, side="left"))  # longest first: those longer than at
             h = h[:live]
             width = min(window, int(size[0]) - at)
             x, y = np.full((width, live), TAIL), np.full((width, live), -1)
             for j in range(live):
-                t = texts[order[j]]
-                part = t[at : at + width]
+                part = texts[j][at : at + width]
                 y[: len(part), j] = part
                 x[1 : len(part), j] = part[:-1]
-                x[0, j] = t[at - 1] if at else END
+                x[0, j] = texts[j][at - 1] if at else END
             states = self.steps(x, h, inputs)
             h = states[-1]
             real = y >= 0
             lane = np.broadcast_to(np.arange(live), y.shape)[real]
-            out[order[:live]] += np.bincount(lane, self.log_probability(states[real], y[real]), live)
+            out[:live] += np.bincount(lane, self.log_probability(states[real], y[real]), live)
         return out
 
     def gradients(self, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, float]:
@@ -185,23 +198,28 @@ class Gru:
         states = self.steps(own, h, inputs, kept, x == END)
         s, t = states.reshape(-1, H), y.reshape(-1)
         n = len(t)
-        order, s1, of, place, tops, words, top_sums, word_sums, logs = self.output(s, t)
-        k, g = np.arange(n), {"wo": np.zeros_like(p["wo"])}
-        # What a logit is to change by is its share less 1 where it is right. Shares are left as exponentials; their
-        # sums and n divide the few rows of states and of what goes back.
-        tops[of, k] -= top_sums
-        words[place, k] -= word_sums
-        top_sums, word_sums = 1 / (top_sums * n), 1 / (word_sums * n)
-        g["wc"] = (s1 * top_sums) @ tops.T
-        back = (p["wc"][:-1] @ tops) * top_sums
-        scaled, within = s1 * word_sums, self.space("within", H, n)
-        for c, i in self.runs(of):
-            g["wo"][c] = scaled[:, i] @ words[:, i].T
-            np.matmul(p["wo"][c][:-1], words[:, i], out=within[:, i])
-        within *= word_sums
-        back += within
+        order, ofs, places = self.by_class(t)
+        g, loss = {"wo": np.zeros_like(p["wo"]), "wc": np.zeros_like(p["wc"])}, 0.0
         ds = self.space("ds", n, H)
-        ds[order] = back.T
+        for a in range(0, n, OUTPUT_ROWS):
+            rows, of, place = order[a : a + OUTPUT_ROWS], ofs[a : a + OUTPUT_ROWS], places[a : a + OUTPUT_ROWS]
+            s1, tops, words, top_sums, word_sums, logs = self.output(s[rows], of, place)
+            loss -= float(logs.sum())
+            # What a logit is to change by is its share less 1 where it is right. Shares are left as exponentials;
+            # their sums and n divide the few rows of states and of what goes back.
+            k = np.arange(len(of))
+            tops[of, k] -= top_sums
+            words[place, k] -= word_sums
+            top_sums, word_sums = 1 / (top_sums * n), 1 / (word_sums * n)
+            g["wc"] += (s1 * top_sums) @ tops.T
+            back = (p["wc"][:-1] @ tops) * top_sums
+            scaled, within = s1 * word_sums, self.space("within", H, len(of))
+            for c, i in self.runs(of):
+                g["wo"][c] += scaled[:, i] @ words[:, i].T
+                np.matmul(p["wo"][c][:-1], words[:, i], out=within[:, i])
+            within *= word_sums
+            back += within
+            ds[rows] = back.T
         ds = ds.reshape(steps, lanes, H)
         # All that does not wait for a later step is worked out for all steps at once.
         h0, z, r, un, nn = kept
@@ -220,13 +238,12 @@ class Gru:
             dh *= alive[j]
         dx[:, :, : 2 * H] = du[:, :, : 2 * H]
         g["wh"] = h0.reshape(-1, H).T @ du.reshape(-1, 3 * H)
-        flat, words = dx.reshape(-1, 3 * H), own.reshape(-1)
+        flat, own = dx.reshape(-1, 3 * H), own.reshape(-1)
         g["bx"] = flat.sum(axis=0)
-        order = np.argsort(words, kind="stable")
-        by_word = np.add.reduceat(flat[order], np.searchsorted(words[order], np.arange(len(used))), axis=0)
-        g["wx"] = p["embed"][used].T @ by_word
-        g["embed"] = by_word @ p["wx"].T
-        return g, used, states[-1], -float(logs.sum()) / n
+        g["wx"] = p["embed"][x.reshape(-1)].T @ flat
+        order = np.argsort(own.astype(np.uint16 if len(used) < 1 << 16 else np.int64), kind="stable")
+        g["embed"] = np.add.reduceat((flat @ p["wx"].T)[order], np.searchsorted(own[order], np.arange(len(used))), axis=0)
+        return g, used, states[-1], loss / n
 
 
 class Trainer:
