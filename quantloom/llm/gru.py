@@ -1,9 +1,9 @@
 """A small gated recurrent language model in numpy with a class-factored output.
 
-Output words are sorted by frequency into classes of equal size; a word's probability is that of its class
-times its own within the class, so a step costs the number of classes and of one class's words, about twice the
-root of the vocabulary. Class 0 holds the end of a text and the tail, which pads lanes. Further words, dealt to
-buckets, are words of the model themselves.
+Output words are sorted by frequency into classes of equal size, and classes into as many groups as a group has
+classes; a word's probability is that of its group times its class's in the group times its own in the class, so a
+step costs the groups, one group's classes and one class's words. Class 0 holds the end of a text and the tail, which
+pads lanes. Further words, dealt to buckets, are words of the model themselves.
 """
 
 from __future__ import annotations
@@ -16,11 +16,14 @@ END, TAIL = 0, 1
 #: Words of a class at least; large vocabularies have larger classes.
 CLASS_SIZE = 32
 #: Words of one pass through the output layer, whose logits stay in a core's own cache.
-OUTPUT_ROWS = 1024
+OUTPUT_ROWS = 2048
+#: Numbers of a table that one step of training moves at once, in cache as well.
+STEP_SIZE = 1 << 15
 #: Texts that are scored side by side.
 SCORE_LANES = 1024
 #: Bound on weights and on what training adds to a bias: a logit stays where its exponential is a finite float.
 WEIGHT_MOST = 4.0
+LEVELS = ("groups", "classes", "words")
 _NONE = -1e9
 
 
@@ -36,7 +39,8 @@ def _sigmoid(x: np.ndarray) -> None:
 class Gru:
     """Parameters by name. Words 2, 3, ... are the output vocabulary, the most frequent first.
 
-    The last row of wc, and of each class's part of wo, is a bias: states are followed by a 1."""
+    LEVELS names the output layers: of groups (one table), of a group's classes (a table for each group), of a class's
+    words (a table for each class). The last row of each table is a bias: states are followed by a 1."""
 
     p: dict[str, np.ndarray]
     spaces: dict[str, np.ndarray] = field(default_factory=dict, repr=False)
@@ -53,13 +57,18 @@ class Gru:
         """counts: training counts of END, TAIL and each vocabulary word. Starts as the unigram model."""
         words = len(counts) - 2
         size = max(CLASS_SIZE, 1 << round(np.log2(max(words, 1)) / 2))
-        classes = 1 + -(-words // size)
-        table = np.full((classes, size), _NONE)
+        group = int(np.ceil(np.sqrt(1 + -(-words // size))))
+        table = np.full((group * group, size), _NONE)
         log = np.log(np.maximum(counts, 0.5))
         table[0, :2] = log[:2]
         table[1:].ravel()[:words] = log[2:]
-        top = table.max(axis=1, keepdims=True)
-        mass = top[:, 0] + np.log(np.exp(table - top).sum(axis=1))
+        layers: dict[str, np.ndarray] = {}
+        for name in reversed(LEVELS):
+            top = table.max(axis=1, keepdims=True)
+            mass = top + np.log(np.exp(table - top).sum(axis=1, keepdims=True))
+            bias = np.where(table > _NONE / 2, table - mass, _NONE)
+            layers[name] = np.concatenate([np.zeros((len(table), hidden, table.shape[1])), bias[:, None]], axis=1).astype(np.float32)
+            table = np.maximum(mass, _NONE).reshape(-1, min(group, len(mass)))
         rng = np.random.default_rng(seed)
         draw = lambda *s: (rng.standard_normal(s) / np.sqrt(hidden)).astype(np.float32)
         return Gru(
@@ -68,9 +77,8 @@ class Gru:
                 "wx": draw(hidden, 3 * hidden),
                 "bx": np.zeros(3 * hidden, np.float32),
                 "wh": draw(hidden, 3 * hidden),
-                "wc": np.concatenate([np.zeros((hidden, classes)), (mass - mass.max())[None]]).astype(np.float32),
-                "wo": np.concatenate([np.zeros((classes, hidden, size)), np.where(table > _NONE / 2, table - mass[:, None], _NONE)[:, None]], axis=1).astype(np.float32),
             }
+            | layers
         )
 
     @property
@@ -79,7 +87,7 @@ class Gru:
 
     @property
     def class_size(self) -> int:
-        return self.p["wo"].shape[2]
+        return self.p["words"].shape[2]
 
     def flat(self) -> np.ndarray:
         return np.concatenate([v.ravel() for v in self.p.values()])
@@ -119,42 +127,51 @@ class Gru:
 
     def log_probability(self, states: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural log probability of each word y after its state."""
-        out, (order, of, place) = np.empty(len(y)), self.by_class(y)
+        out, (order, way) = np.empty(len(y)), self.by_class(y)
         for a in range(0, len(y), OUTPUT_ROWS):
             at = slice(a, a + OUTPUT_ROWS)
-            *_, out[order[at]] = self.output(states[order[at]], of[at], place[at])
+            *_, out[order[at]] = self.output(states[order[at]], way[:, at])
         return out
 
-    def by_class(self, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The order of the words y by class, and each one's class and place in it, in that order. Runs of it meet few
-        classes, so passes through the output layer can be short."""
+    def by_class(self, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The order of the words y by class, and in that order the way to each: its group, its class, its place in the
+        group and its place in the class. Runs of it meet few classes, so passes through the output layer can be short."""
         of = np.where(y < 2, 0, (y - 2) // self.class_size + 1)
-        order = np.argsort(of.astype(np.int16), kind="stable")
+        order = np.argsort(of.astype(np.uint16 if self.p["words"].shape[0] < 1 << 16 else np.int64), kind="stable")
         of, y = of[order], y[order]
-        return order, of, np.where(y < 2, y, (y - 2) % self.class_size)
-
-    def output(self, states: np.ndarray, of: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
-        """For words of these classes (ascending) and places: the states with a 1 below, the exponentials of the logits
-        of classes and of words with their sums, and the words' log probabilities."""
-        n = len(of)
-        s = self.space("states", self.hidden + 1, n)
-        s[:-1], s[-1] = states.T, 1
-        k, sums, logs = np.arange(n), [], 0.0
-        words = self.space("words", self.class_size, n)
-        tops = np.matmul(self.p["wc"].T, s, out=self.space("tops", self.p["wc"].shape[1], n))
-        for c, i in self.runs(of):
-            np.matmul(self.p["wo"][c].T, s[:, i], out=words[:, i])
-        for z, hit in ((tops, of), (words, place)):
-            logs = logs + z[hit, k].astype(np.float64)
+        group, inside = np.divmod(of, self.p["classes"].shape[2])
+        return order, np.stack([group, of, inside, np.where(y < 2, y, (y - 2) % self.class_size)])
+
+    @staticmethod
+    def levels(way: np.ndarray) -> list[tuple[str, np.ndarray, np.ndarray]]:
+        """Each output layer with the tables and places in them on this way."""
+        group, of, inside, place = way
+        return list(zip(LEVELS, (np.zeros_like(group), group, of), (group, inside, place), strict=True))
+
+    def output(self, states: np.ndarray, way: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """For words on this way, by class: the states followed by a 1, the exponentials of each layer's logits, their
+        sums, and the words' log probabilities."""
+        n = way.shape[1]
+        s = self.space("states", n, self.hidden + 1)
+        s[:, :-1], s[:, -1] = states, 1
+        k, shares, sums, logs = np.arange(n), [], [], np.zeros(n)
+        for name, table, place in self.levels(way):
+            w = self.p[name]
+            z = self.space("z" + name, n, w.shape[2])
+            for c, i in self.runs(table):
+                np.matmul(s[i], w[c], out=z[i])
+            logs += z[k, place]
             np.exp(z, out=z)
-            sums.append(z.sum(axis=0))
+            shares.append(z)
+            sums.append(z @ np.ones(w.shape[2], np.float32))
             logs -= np.log(sums[-1])
-        return s, tops, words, *sums, logs
+        return s, shares, sums, logs
 
-    def runs(self, of: np.ndarray) -> list[tuple[int, slice]]:
-        """Each class that occurs and its run in the sorted classes."""
-        bounds = np.searchsorted(of, np.arange(self.p["wc"].shape[1] + 1))
-        return [(c, slice(bounds[c], bounds[c + 1])) for c in np.flatnonzero(np.diff(bounds))]
+    @staticmethod
+    def runs(of: np.ndarray) -> list[tuple[int, slice]]:
+        """Each number that occurs and its run in the sorted numbers."""
+        bounds = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
+        return [(int(of[a]), slice(a, b)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
     def score(self, texts: list[np.ndarray], window: int = 64) -> np.ndarray:
         """Log probability of each whole text (its words, END last); states are carried from window to window."""
@@ -198,28 +215,26 @@ class Gru:
         states = self.steps(own, h, inputs, kept, x == END)
         s, t = states.reshape(-1, H), y.reshape(-1)
         n = len(t)
-        order, ofs, places = self.by_class(t)
-        g, loss = {"wo": np.zeros_like(p["wo"]), "wc": np.zeros_like(p["wc"])}, 0.0
+        order, ways = self.by_class(t)
+        g, loss = {name: np.zeros_like(p[name]) for name in LEVELS}, 0.0
         ds = self.space("ds", n, H)
         for a in range(0, n, OUTPUT_ROWS):
-            rows, of, place = order[a : a + OUTPUT_ROWS], ofs[a : a + OUTPUT_ROWS], places[a : a + OUTPUT_ROWS]
-            s1, tops, words, top_sums, word_sums, logs = self.output(s[rows], of, place)
+            rows, way = order[a : a + OUTPUT_ROWS], ways[:, a : a + OUTPUT_ROWS]
+            s1, shares, sums, logs = self.output(s[rows], way)
             loss -= float(logs.sum())
             # What a logit is to change by is its share less 1 where it is right. Shares are left as exponentials;
             # their sums and n divide the few rows of states and of what goes back.
-            k = np.arange(len(of))
-            tops[of, k] -= top_sums
-            words[place, k] -= word_sums
-            top_sums, word_sums = 1 / (top_sums * n), 1 / (word_sums * n)
-            g["wc"] += (s1 * top_sums) @ tops.T
-            back = (p["wc"][:-1] @ tops) * top_sums
-            scaled, within = s1 * word_sums, self.space("within", H, len(of))
-            for c, i in self.runs(of):
-                g["wo"][c] += scaled[:, i] @ words[:, i].T
-                np.matmul(p["wo"][c][:-1], words[:, i], out=within[:, i])
-            within *= word_sums
-            back += within
-            ds[rows] = back.T
+            k, back, within = np.arange(len(rows)), 0.0, self.space("within", len(rows), H)
+            for (name, table, place), z, total in zip(self.levels(way), shares, sums, strict=True):
+                z[k, place] -= total
+                total = 1 / (total * n)[:, None]
+                scaled = s1 * total
+                for c, i in self.runs(table):
+                    g[name][c] += scaled[i].T @ z[i]
+                    np.matmul(z[i], p[name][c][:-1].T, out=within[i])
+                within *= total
+                back = back + within
+            ds[rows] = back
         ds = ds.reshape(steps, lanes, H)
         # All that does not wait for a later step is worked out for all steps at once.
         h0, z, r, un, nn = kept
@@ -292,26 +307,28 @@ class Trainer:
         norm = float(np.sqrt(sum(float(np.vdot(x, x)) for x in g.values())))
         scale = min(1.0, self.clip / max(norm, 1e-12))
         rate = self.rate * min(1.0, self.step / 10) / np.sqrt(1 + self.step / 200) / (1 - 0.9**self.step)
+        unbias = np.sqrt(1 - 0.99**self.step)
         for k, x in g.items():
-            whole, p = k != "embed", self.model.p[k]
-            m, v = (self.m[k], self.v[k]) if whole else (self.m[k][used], self.v[k][used])
-            x *= np.float32(scale)
-            m *= np.float32(0.9)
-            m += np.float32(0.1) * x
-            v *= np.float32(0.99)
-            np.multiply(x, x, out=x)
-            x *= np.float32(0.01)
-            v += x
-            np.sqrt(v, out=x)
-            x /= np.float32(np.sqrt(1 - 0.99**self.step))
-            x += np.float32(1e-8)
-            np.divide(m, x, out=x)
-            x *= np.float32(rate)
-            if whole:
-                p -= x
+            if k == "embed":
+                p, m, v = self.model.p[k][used], self.m[k][used], self.v[k][used]
             else:
-                self.m[k][used], self.v[k][used] = m, v
-                p[used] -= x
-            if k in ("wc", "wo"):
+                p, m, v = self.model.p[k], self.m[k], self.v[k]
+            flat = [a.reshape(-1) for a in (x, p, m, v)]
+            for a in range(0, x.size, STEP_SIZE):
+                dx, dp, dm, dv = (b[a : a + STEP_SIZE] for b in flat)
+                dm *= np.float32(0.9)
+                dm += np.float32(0.1 * scale) * dx
+                dv *= np.float32(0.99)
+                np.multiply(dx, dx, out=dx)
+                dx *= np.float32(0.01 * scale * scale)
+                dv += dx
+                np.sqrt(dv, out=dx)
+                dx += np.float32(1e-8 * unbias)
+                np.divide(dm, dx, out=dx)
+                dx *= np.float32(rate * unbias)
+                dp -= dx
+            if k == "embed":
+                self.model.p[k][used], self.m[k][used], self.v[k][used] = p, m, v
+            if k in LEVELS:
                 np.clip(p[..., :-1, :], -WEIGHT_MOST, WEIGHT_MOST, out=p[..., :-1, :])
                 np.minimum(p[..., -1, :], WEIGHT_MOST, out=p[..., -1, :])
