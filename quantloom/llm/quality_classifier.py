@@ -32,6 +32,8 @@ CUT = 0.5
 MAX_FALSE = 0.02
 SCHEMA = "doc_id long, p_quality double, p_toxic double, kept boolean"
 FEATURE_BITS = 30
+#: Features, or buckets, that training handles at once.
+PIECE = 1 << 18
 
 _WORDY = _LETTER.copy()
 _WORDY[128:] = True
@@ -110,22 +112,25 @@ class Scorer:
             raw_score = raw_score / np.maximum(n_words, 1)
         return 1 / (1 + np.exp(-np.clip(self.bias + raw_score, -30, 30)))
 
-    def fit(self, rows: np.ndarray, buckets: np.ndarray, times: np.ndarray, target: np.ndarray, n_words: np.ndarray, lift: float, rounds: int = 1500, penalty: float = 1e-4) -> Scorer:
+    def fit(self, features: np.ndarray, times: np.ndarray, target: np.ndarray, n_words: np.ndarray, lift: float, rounds: int = 1500, penalty: float = 1e-4) -> Scorer:
         """Proximal gradient descent with an L1 penalty on the features that pass the support and lift screen.
 
-        rows, buckets, times: each feature once for each row that has it."""
+        features, times: each feature once for each row that has it, its bucket above the row's number. What is made
+        of all of them is made a piece at a time."""
         n = len(target)
-        row_bits = np.uint64(64 - FEATURE_BITS)
-        # Sorted in place by bucket and row, so a bucket's rows are a run of them.
-        pairs = buckets << row_bits
-        pairs |= rows.astype(np.uint64)
-        pairs.sort()
+        row_bits, in_row = np.uint64(64 - FEATURE_BITS), np.uint64((1 << (64 - FEATURE_BITS)) - 1)
+        # A bucket's rows are a run of the sorted features.
+        pairs = np.sort(features)
         begin = np.flatnonzero(np.append(True, (pairs[1:] ^ pairs[:-1]) >> row_bits)) if len(pairs) else np.zeros(0, np.int64)
         held = pairs[begin] >> row_bits
-        pairs &= np.uint64((1 << int(row_bits)) - 1)
-        positive = np.add.reduceat(target[pairs.view(np.int64)], begin) if len(begin) else np.zeros(0)
-        support = np.diff(np.append(begin, len(pairs))).astype(float)
-        del pairs
+        pairs &= in_row
+        ends = np.append(begin, len(pairs))
+        positive = np.zeros(len(begin))
+        for a in range(0, len(begin), PIECE):
+            own = ends[a : a + PIECE + 1]
+            positive[a : a + PIECE] = np.add.reduceat(target[pairs[own[0] : own[-1]].view(np.int64)], begin[a : a + PIECE] - own[0])
+        support = np.diff(ends).astype(float)
+        del pairs, begin, ends
         total = target.sum()
         ratio = (positive / max(total, 1e-9)) / np.maximum((support - positive + 0.5) / max(n - total, 1e-9), 1e-12)
         good = (positive >= MIN_SUPPORT) & (ratio >= lift) if lift else support >= MIN_SUPPORT
@@ -134,9 +139,15 @@ class Scorer:
             self.bias = float(np.log((total + 0.5) / (n - total + 0.5))) if n and lift == 0 else -10.0
             self.buckets, self.weights = self.buckets[:0], np.zeros(0)
             return self
-        i = np.minimum(np.searchsorted(self.buckets, buckets), len(self.buckets) - 1)
-        hit = self.buckets[i] == buckets
-        rows, i, times = rows[hit], i[hit], times[hit]
+        del held, support, positive, ratio, good
+        found = []
+        for a in range(0, len(features), PIECE):
+            piece = features[a : a + PIECE]
+            at = np.minimum(np.searchsorted(self.buckets, piece >> row_bits), len(self.buckets) - 1)
+            hit = np.flatnonzero(self.buckets[at] == piece >> row_bits)
+            found.append(((piece[hit] & in_row).astype(np.int32), at[hit].astype(np.int32), times[a + hit]))
+        rows, i, times = (np.concatenate(x) for x in zip(*found, strict=True))
+        del found
         value = 10 * times / np.maximum(n_words, 1)[rows] if self.share else np.minimum(times, 3).astype(float)
         scale = np.bincount(i, value**2, len(self.buckets))
         step = 1 / (0.25 * (scale + np.sqrt(scale.sum() * scale)) / n + 1e-3)
@@ -207,17 +218,19 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, mo
     return found.withColumn("upto", upto).filter(F.col("upto") <= most_bytes).select("text", "quality", "toxic").toArrow()  # at most so many rows and bytes
 
 
-def _counted(parts: list[tuple[np.ndarray, np.ndarray]], first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows (counted from first), buckets and how often each bucket occurs in its row."""
-    bits = np.uint64(64 - FEATURE_BITS)
-    key, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *(f << bits | r.astype(np.uint64) for r, f in parts)]), return_counts=True)
-    return (key & np.uint64((1 << int(bits)) - 1)).astype(np.int32) + np.int32(first), key >> bits, times.astype(np.int32)
+def _counted(parts: list[tuple[np.ndarray, np.ndarray]], first: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets above their rows (counted from first), and how often each bucket occurs in its row."""
+    key, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *(f << np.uint64(64 - FEATURE_BITS) | r.astype(np.uint64) for r, f in parts)]), return_counts=True)
+    return key + np.uint64(first), times.astype(np.int32)
 
 
 def _joined(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    if not parts:
-        return np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros(0, np.int32)
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+    """The parts as one; they are emptied."""
+    out = []
+    for kind in (np.uint64, np.int32):
+        out.append(np.concatenate([np.zeros(0, kind), *(p[0] for p in parts)]))
+        parts[:] = [p[1:] for p in parts]
+    return tuple(out)
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> tuple[Scorer, Scorer]:
