@@ -112,6 +112,16 @@ class Scorer:
             raw_score = raw_score / np.maximum(n_words, 1)
         return 1 / (1 + np.exp(-np.clip(self.bias + raw_score, -30, 30)))
 
+    def held(self, features: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, weight numbers and times of the features (a bucket above a row) that have a weight."""
+        bits, found = np.uint64(64 - FEATURE_BITS), [(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32))]
+        for a in range(0, len(features) if len(self.buckets) else 0, PIECE):
+            piece = features[a : a + PIECE]
+            at = np.minimum(np.searchsorted(self.buckets, piece >> bits), len(self.buckets) - 1)
+            hit = np.flatnonzero(self.buckets[at] == piece >> bits)
+            found.append(((piece[hit] & np.uint64((1 << int(bits)) - 1)).astype(np.int32), at[hit].astype(np.int32), times[a + hit]))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
     def fit(self, features: np.ndarray, times: np.ndarray, target: np.ndarray, n_words: np.ndarray, lift: float, rounds: int = 1500, penalty: float = 1e-4) -> Scorer:
         """Proximal gradient descent with an L1 penalty on the features that pass the support and lift screen.
 
@@ -140,14 +150,7 @@ class Scorer:
             self.buckets, self.weights = self.buckets[:0], np.zeros(0)
             return self
         del held, support, positive, ratio, good
-        found = []
-        for a in range(0, len(features), PIECE):
-            piece = features[a : a + PIECE]
-            at = np.minimum(np.searchsorted(self.buckets, piece >> row_bits), len(self.buckets) - 1)
-            hit = np.flatnonzero(self.buckets[at] == piece >> row_bits)
-            found.append(((piece[hit] & in_row).astype(np.int32), at[hit].astype(np.int32), times[a + hit]))
-        rows, i, times = (np.concatenate(x) for x in zip(*found, strict=True))
-        del found
+        rows, i, times = self.held(features, times)
         value = 10 * times / np.maximum(n_words, 1)[rows] if self.share else np.minimum(times, 3).astype(float)
         scale = np.bincount(i, value**2, len(self.buckets))
         step = 1 / (0.25 * (scale + np.sqrt(scale.sum() * scale)) / n + 1e-3)
@@ -179,12 +182,9 @@ def poor_votes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.stack([many_symbols(x), shouting(x), exclaiming(x), mostly_digits(x), duplicate_lines(x), 100 * known["n_repeat_words"] > 30 * known["n_words"], 100 * n_again > 30 * known["n_words"]], axis=1).astype(np.int8)
 
 
-def toxic_votes(data: np.ndarray, offsets: np.ndarray, lexicon: Scorer) -> np.ndarray:
+def toxic_votes(known: np.ndarray, n_words: np.ndarray) -> np.ndarray:
     """A row's vote of each heuristic of TOXIC: a known word, several of them, one in a hundred words."""
-    n = len(offsets) - 1
-    known = np.bincount(lexicon.matched(wordings(data, offsets))[0], minlength=n)
-    words = np.diff(word_hashes(data, offsets)[1])
-    return np.stack([known > 0, known > 2, 100 * known > words], axis=1).astype(np.int8)
+    return np.stack([known > 0, known > 2, 100 * known > n_words], axis=1).astype(np.int8)
 
 
 def expectation_maximisation(votes: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
@@ -242,7 +242,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> tuple[S
     texts = pa.RecordBatch.from_arrays([pa.concat_arrays([c.cast(pa.large_string()) for c in rows.column("text").chunks] or [pa.array([], pa.large_string())])], ["text"])
     del rows
     give_back()
-    # The hashed features of all training rows, made a part at a time.
+    # The hashed features of all training rows, made a part at a time; the texts are not needed beyond them.
+    part = d = o = None
     found, n_words, own_poor_votes = {wordings: [], shapes: []}, [np.zeros(0, np.int64)], [np.zeros((0, len(POOR) - 1), np.int8)]
     for part in chunks(texts):
         d, o = raw(part.column("text"))
@@ -252,6 +253,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> tuple[S
         n_words.append(np.diff(word_hashes(d, o)[1]))
         own_poor_votes.append(poor_votes(d, o))
         give_back()
+    del texts, part, d, o
     n_words = np.concatenate(n_words)
     features, shape_features = _joined(found.pop(wordings)), _joined(found.pop(shapes))
     give_back()
@@ -268,14 +270,15 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> tuple[S
     counts = np.array([r["count"] for r in patterns], float)
     scorers = []
     own_poor = np.column_stack([np.concatenate(own_poor_votes), poor_label])
-    own_toxic = np.column_stack([np.concatenate([np.zeros((0, len(TOXIC) - 1), np.int8), *(toxic_votes(*raw(part.column("text")), lexicon) for part in chunks(texts))]), toxic_label])
+    known_rows, _, times = lexicon.held(*features)
+    own_toxic = np.column_stack([toxic_votes(np.bincount(known_rows, times, len(n_words)), n_words), toxic_label])
     for votes, own, parts, lift, share in ((poor, own_poor, shape_features, 0.0, True), (tox, own_toxic, features, MIN_LIFT, False)):
         posterior, _, _ = expectation_maximisation(votes, counts)
         of = {tuple(v): q for v, q in zip(votes.tolist(), posterior, strict=True)}
         target = np.array([of.get(tuple(v), 0.0) for v in own.tolist()])
         scorers.append(Scorer(share=share).fit(*parts, target, n_words, lift))
         give_back()
-    del features, shape_features, found, texts
+    del features, shape_features, found
     give_back()
     return scorers[0], scorers[1]
 
@@ -285,7 +288,8 @@ def _voter(lexicon: Scorer):  # noqa: ANN202
         for batch in batches:
             for part in chunks(batch):
                 d, o = raw(part.column("text"))
-                votes = np.concatenate([poor_votes(d, o), toxic_votes(d, o, lexicon)], axis=1).astype(np.uint8) + 48
+                known = np.bincount(lexicon.matched(wordings(d, o))[0], minlength=part.num_rows)
+                votes = np.concatenate([poor_votes(d, o), toxic_votes(known, np.diff(word_hashes(d, o)[1]))], axis=1).astype(np.uint8) + 48
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([v.tobytes().decode() for v in votes], pa.string())], ["doc_id", "votes"])
 
     return vote
