@@ -779,9 +779,9 @@ def selected_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _grown(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     make, grid = runs.GROWN[name]
-    with _kept(_panel(spark, sf_dir)) as p:
-        best = trees.select(p, LINEAR_FEATURES, make, grid, HOLD_OUT_FROM, TEST_FROM)[0]
-        return trees.expanding(p, LINEAR_FEATURES, name, lambda: make(**best), TEST_FROM, TEST_TO)
+    p = cut(_panel(spark, sf_dir))  # read by each fit and by the predictions
+    best = trees.select(p, LINEAR_FEATURES, make, grid, HOLD_OUT_FROM, TEST_FROM)[0]
+    return trees.expanding(p, LINEAR_FEATURES, name, lambda: make(**best), TEST_FROM, TEST_TO)
 
 
 @register("forest_expanding")

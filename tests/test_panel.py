@@ -375,6 +375,28 @@ def test_model_queries_ask_for_the_whole_job(spark, monkeypatch):
     assert asked == [(queries.C.ALL, (1998, 2000))]
 
 
+def test_boosted_trees_are_one_task_and_as_mllibs(spark):
+    from pyspark.ml.regression import GBTRegressor
+
+    rng = np.random.default_rng(1)
+    x = rng.uniform(-1, 1, (3000, 3))
+    y = (x[:, 0] > 0.2) * (1 + 0.5 * (x[:, 1] > 0)) + 0.1 * rng.standard_normal(3000)
+    rows = trees.vectors(spark.createDataFrame([(*map(float, a), float(b)) for a, b in zip(x, y, strict=True)], "a double, b double, c double, ret_exc double"), ["a", "b", "c"]).cache()
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup("boosted"))
+    for depth in (1, 2):
+        spark.sparkContext.setJobGroup("boosted", "")
+        before = jobs()
+        model = trees.boosted(depth, 0.1, 20, 100).fit(rows)
+        assert jobs() - before <= 3
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        want = GBTRegressor(featuresCol="ql_x", labelCol="ret_exc", predictionCol="pred_ret", maxIter=20, stepSize=0.1, maxDepth=depth, subsamplingRate=0.5, minInstancesPerNode=100, seed=42).fit(rows)
+        a, b = (np.array([r[0] for r in m.transform(rows).select("pred_ret").collect()]) for m in (model, want))
+        assert np.corrcoef(a, b)[0, 1] > 0.999 and ((a - y) ** 2).mean() < 1.02 * ((b - y) ** 2).mean()
+    assert trees.boosted(2, 0.1, 5, 100).fit(rows.repartition(7)).trees == model.trees[:5]
+    assert trees.boosted(2, 0.1, 3, 2000).fit(rows).transform(rows).select("pred_ret").distinct().count() == 1
+    assert [r[0] for r in trees.boosted().fit(rows.limit(0)).transform(rows.limit(2)).select("pred_ret").collect()] == [0.0, 0.0]
+
+
 def test_permutation_importance(spark):
     from pyspark.ml.regression import LinearRegression
 
