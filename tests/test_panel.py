@@ -375,6 +375,31 @@ def test_model_queries_ask_for_the_whole_job(spark, monkeypatch):
     assert asked == [(queries.C.ALL, (1998, 2000))]
 
 
+def test_panel_is_shuffled_as_it_is_and_written_in_steps(spark, sf):
+    import os
+
+    from quantloom.operators.checkpoints import Chain
+
+    rows = [(p, D(2000, m, 28), None if p == 3 else x, y) for m in (1, 2) for p, x, y in ((1, 2.0, 1.0), (2, -0.0, None), (3, 9.0, None), (4, 0.0, None), (5, float("nan"), None))]
+    df = spark.createDataFrame(rows, "permno long, date date, x double, y double")
+    ranked = panel.rank_columns(df, ["x", "y"], ["permno", "date"])
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and plan.count("Exchange hashpartitioning") == 1
+    got = {(r["permno"], r["date"].month): (r["x"], r["y"]) for r in ranked.collect()}
+    want = df.select("permno", "date", *[unit_rank(F.col(c), "date").alias(c) for c in "xy"]).collect()
+    assert got == {(r["permno"], r["date"].month): (r["x"], r["y"]) for r in want} and len(got) == 10 and got[2, 1][0] == got[4, 1][0]
+    seen = []
+    with Chain(spark) as keep:
+        p = panel.feature_panel(tables(spark, sf), ["me", "bm", "beta"], lambda x: (seen.append(keep(x)), seen[-1])[1])
+        left = [f for f in os.listdir(keep.path.removeprefix("file:").rpartition("/")[0]) if f.startswith("chain-")]
+        assert len(seen) == 3 and left == [keep.path.rpartition("/")[2]]
+        key = lambda r: (r["permno"], r["date"])
+        assert sorted(p.collect(), key=key) == sorted(panel.feature_panel(tables(spark, sf), ["me", "bm", "beta"]).collect(), key=key)
+        assert len(p._jdf.queryExecution().analyzed().toString()) < 1000
+        old = keep.path.removeprefix("file:")
+    assert not os.path.exists(old)
+
+
 def test_boosted_trees_are_one_task_and_as_mllibs(spark):
     from pyspark.ml.regression import GBTRegressor
 
