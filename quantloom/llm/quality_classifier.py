@@ -8,7 +8,8 @@ hashed linear scorer is trained, and the scorer alone decides about every docume
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from quantloom.llm.quality_rules import _LETTER, Rows, duplicate_lines, exclaiming, many_symbols, mostly_digits, per_row, shouting, statistics
 from quantloom.llm.text import _BYTE_KEYS, _LOWER, _POWERS, chunks, documents, give_back, map_arrow, mix, only, raw, word_hashes, word_spans
+from quantloom.operators.checkpoints import cut
 
 #: Labelled rows, by hash order, from which wordings are learnt and on which the scorers are trained.
 TRAIN_ROWS = 12_000
@@ -208,14 +210,18 @@ def expectation_maximisation(votes: np.ndarray, counts: np.ndarray, rounds: int
     return q, rate, share
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> pa.Table:
+def _drawn(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> DataFrame:
     """Up to most labelled texts of up to most_bytes together, by the hash of doc_id; a doc_id with several labels
     counts as toxic or poor if any says so."""
     one = labels.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col("quality").cast("int")).alias("quality"), F.max(F.col("toxic").cast("int")).alias("toxic"))
     drawn = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     found = only(docs).join(F.broadcast(drawn), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most)
     upto = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0))
-    return found.withColumn("upto", upto).filter(F.col("upto") <= most_bytes).select("text", "quality", "toxic").toArrow()  # at most so many rows and bytes
+    return found.withColumn("upto", upto).filter(F.col("upto") <= most_bytes).select("text", "quality", "toxic")
+
+
+def labelled_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> pa.Table:
+    return _drawn(docs, labels, most, most_bytes).toArrow()  # at most so many rows and bytes
 
 
 def _counted(parts: list[tuple[np.ndarray, np.ndarray]], first: int) -> tuple[np.ndarray, np.ndarray]:
@@ -233,32 +239,60 @@ def _joined(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     return tuple(out)
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> tuple[Scorer, Scorer]:
-    """Scorers of poor and of toxic texts."""
-    rows = labelled_rows(docs, labels, most)
-    toxic_label = rows.column("toxic").fill_null(-1).to_numpy().astype(int)
-    quality = rows.column("quality").fill_null(2).to_numpy().astype(int)  # 2: not known, whose vote is -1
-    poor_label = 1 - quality
-    texts = pa.RecordBatch.from_arrays([pa.concat_arrays([c.cast(pa.large_string()) for c in rows.column("text").chunks] or [pa.array([], pa.large_string())])], ["text"])
-    del rows
-    give_back()
-    # The hashed features of all training rows, made a part at a time; the texts are not needed beyond them.
-    part = d = o = None
-    found, n_words, own_poor_votes = {wordings: [], shapes: []}, [np.zeros(0, np.int64)], [np.zeros((0, len(POOR) - 1), np.int8)]
-    for part in chunks(texts):
-        d, o = raw(part.column("text"))
-        at = sum(map(len, n_words))
-        for kind, parts in found.items():
-            parts.append(_counted(list(kind(d, o)), at))
-        n_words.append(np.diff(word_hashes(d, o)[1]))
-        own_poor_votes.append(poor_votes(d, o))
+def _in_a_task(rows: DataFrame, fit: Callable[[Iterator[pa.RecordBatch]], Scorer]) -> Scorer:
+    """What fit makes of all rows, in one task: the driver has neither their texts nor their features."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(batches))], pa.binary())], ["model"])
+
+    found = map_arrow(rows.coalesce(1), run, "model binary").collect()  # one scorer
+    return pickle.loads(found[0]["model"]) if found else fit(iter(()))
+
+
+@dataclass
+class _Rows:
+    """Hashed features of one kind of all training rows, made a part at a time, and what labels and heuristics say;
+    the texts are not needed beyond them."""
+
+    features: np.ndarray
+    times: np.ndarray
+    n_words: np.ndarray
+    poor_label: np.ndarray
+    toxic_label: np.ndarray
+    poor_votes: np.ndarray
+
+    @classmethod
+    def of(cls, batches: Iterator[pa.RecordBatch], kind, votes: bool = False) -> _Rows:  # noqa: ANN001
+        at, parts, n_words, poor, toxic, voted = 0, [], [np.zeros(0, np.int64)], [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros((0, len(POOR) - 1), np.int8)]
+        for batch in batches:
+            toxic.append(batch.column("toxic").fill_null(-1).to_numpy(zero_copy_only=False).astype(int))
+            poor.append(1 - batch.column("quality").fill_null(2).to_numpy(zero_copy_only=False).astype(int))  # 2: not known, whose vote is -1
+            for part in chunks(batch):
+                d, o = raw(part.column("text"))
+                parts.append(_counted(list(kind(d, o)), at))
+                n_words.append(np.diff(word_hashes(d, o)[1]))
+                if votes:
+                    voted.append(poor_votes(d, o))
+                at += part.num_rows
+                give_back()
+        features, times = _joined(parts)
         give_back()
-    del texts, part, d, o
-    n_words = np.concatenate(n_words)
-    features, shape_features = _joined(found.pop(wordings)), _joined(found.pop(shapes))
-    give_back()
-    lexicon = Scorer().fit(*features, (toxic_label == 1).astype(float), n_words, MIN_LIFT)
-    give_back()
+        return cls(features, times, *map(np.concatenate, (n_words, poor, toxic, voted)))
+
+
+def _posteriors(own: np.ndarray, of: dict[tuple, float]) -> np.ndarray:
+    return np.array([of.get(tuple(v), 0.0) for v in own.tolist()])
+
+
+def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> tuple[Scorer, Scorer]:
+    """Scorers of poor and of toxic texts. Each is fitted in a task over the labelled rows, one after the other."""
+    rows = cut(_drawn(docs, labels, most))
+
+    def known_words(batches: Iterator[pa.RecordBatch]) -> Scorer:
+        x = _Rows.of(batches, wordings)
+        return Scorer().fit(x.features, x.times, (x.toxic_label == 1).astype(float), x.n_words, MIN_LIFT)
+
+    lexicon = _in_a_task(rows, known_words)
     one = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col("quality").cast("int")).alias("quality"), F.max(F.col("toxic").cast("int")).alias("toxic"))
     # Votes meet labels, both narrow; texts stay where they are.
     voted = map_arrow(only(docs), _voter(lexicon), "doc_id long, votes string")
@@ -268,19 +302,19 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> tuple[S
     poor = np.column_stack([heuristics[:, :n_poor], [-1 if r["quality"] is None else 1 - r["quality"] for r in patterns]]) if patterns else np.zeros((0, len(POOR)), int)
     tox = np.column_stack([heuristics[:, n_poor:], [-1 if r["toxic"] is None else r["toxic"] for r in patterns]]) if patterns else np.zeros((0, len(TOXIC)), int)
     counts = np.array([r["count"] for r in patterns], float)
-    scorers = []
-    own_poor = np.column_stack([np.concatenate(own_poor_votes), poor_label])
-    known_rows, _, times = lexicon.held(*features)
-    own_toxic = np.column_stack([toxic_votes(np.bincount(known_rows, times, len(n_words)), n_words), toxic_label])
-    for votes, own, parts, lift, share in ((poor, own_poor, shape_features, 0.0, True), (tox, own_toxic, features, MIN_LIFT, False)):
-        posterior, _, _ = expectation_maximisation(votes, counts)
-        of = {tuple(v): q for v, q in zip(votes.tolist(), posterior, strict=True)}
-        target = np.array([of.get(tuple(v), 0.0) for v in own.tolist()])
-        scorers.append(Scorer(share=share).fit(*parts, target, n_words, lift))
-        give_back()
-    del features, shape_features, found
-    give_back()
-    return scorers[0], scorers[1]
+    of_poor, of_toxic = ({tuple(v): q for v, q in zip(votes.tolist(), expectation_maximisation(votes, counts)[0], strict=True)} for votes in (poor, tox))
+
+    def poor_scorer(batches: Iterator[pa.RecordBatch]) -> Scorer:
+        x = _Rows.of(batches, shapes, votes=True)
+        return Scorer(share=True).fit(x.features, x.times, _posteriors(np.column_stack([x.poor_votes, x.poor_label]), of_poor), x.n_words, 0.0)
+
+    def toxic_scorer(batches: Iterator[pa.RecordBatch]) -> Scorer:
+        x = _Rows.of(batches, wordings)
+        known, _, times = lexicon.held(x.features, x.times)
+        votes = toxic_votes(np.bincount(known, times, len(x.n_words)), x.n_words)
+        return Scorer().fit(x.features, x.times, _posteriors(np.column_stack([votes, x.toxic_label]), of_toxic), x.n_words, MIN_LIFT)
+
+    return _in_a_task(rows, poor_scorer), _in_a_task(rows, toxic_scorer)
 
 
 def _voter(lexicon: Scorer):  # noqa: ANN202

@@ -430,6 +430,20 @@ def test_quality_classifier(docs, empty, labels):
     assert quality_classifier.accepted(docs, labels).columns == docs.columns
 
 
+def test_scorers_are_not_trained_in_the_driver(spark, monkeypatch):
+    rows = [(i, ("fine words about rivers and hills " if i % 2 else "junk junk junk $$$ ### junk ") * 3) for i in range(40)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+
+    def here(*_, **__):
+        raise AssertionError("training rows in the driver")
+
+    with monkeypatch.context() as m:  # workers import the class anew
+        m.setattr(quality_classifier.Scorer, "fit", here)
+        m.setattr(type(docs), "toArrow", here)
+        poor, toxic = quality_classifier.train(docs, labels)
+        assert poor.share and not toxic.share
+
+
 def test_training_rows_are_bounded_in_bytes(spark):
     df = spark.createDataFrame([(d, "x" * 1000) for d in range(50)], "doc_id long, text string")
     lab = spark.createDataFrame([(d, 1, 0) for d in range(50)], "doc_id long, quality int, toxic int")
