@@ -400,6 +400,19 @@ def test_panel_is_shuffled_as_it_is_and_written_in_steps(spark, sf):
     assert not os.path.exists(old)
 
 
+def test_parsimony_outlives_the_written_panel(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(p, D(y, 6, 30), *map(float, rng.standard_normal(4))) for y in range(1996, 2002) for p in range(20)]
+    df = spark.createDataFrame(rows, "permno long, date date, me double, bm double, mom12m double, ret_exc double")
+    kept = []
+    monkeypatch.setattr(queries.C, "ALL", ["me", "bm", "mom12m"])
+    monkeypatch.setattr(queries, "_whole_panel", lambda s, d, keep: (kept.append(keep), keep(df))[1])
+    monkeypatch.setattr(queries.runs, "small_panel", lambda p, *a, **k: (p.select("permno", "date", "ret_exc", "me"), ["me"]))
+    out = queries.QUERIES["parsimony_delta"](spark, "")
+    assert kept[0].path is None and {r["model"] for r in out.collect()} == set(expanding.LINEAR)
+    assert len(out._jdf.queryExecution().executedPlan().toString()) < 1000
+
+
 def test_boosted_trees_are_one_task_and_as_mllibs(spark):
     from pyspark.ml.regression import GBTRegressor
 
