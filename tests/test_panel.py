@@ -525,6 +525,34 @@ def test_net_learns():
     assert ((net.predict(x) - y) ** 2).mean() < 0.2 * y.var()
 
 
+def test_net_works_in_single_precision():
+    rng = np.random.default_rng(0)
+    x, y = rng.standard_normal((300, 4)).astype(np.float32), rng.standard_normal(300).astype(np.float32)
+    net = nets.Net(layers=3, units=5, dropout=0.0, l1=0.0)
+    net._start(4)
+    g = net._gradients(x, y, rng)
+
+    def loss():
+        h = x.astype(float)
+        for k in range(3):
+            z = h @ net.p[f"w{k}"]
+            h = np.maximum((z - z.mean(axis=0)) / np.sqrt(z.var(axis=0) + 1e-3) * net.p[f"g{k}"] + net.p[f"b{k}"], 0)
+        return ((h @ net.p["wo"] + net.p["bo"][0] - y) ** 2).mean()
+
+    for name in ("w0", "w1", "w2", "g0", "g2", "b0", "b1", "wo", "bo"):
+        p, at = net.p[name], (0,) * net.p[name].ndim
+        assert p.dtype == np.float32 and g[name].dtype == np.float32 and net.norms[0][0].dtype == np.float32
+        net.p[name] = p.astype(float)
+        sides = []
+        for step in (1e-4, -1e-4):
+            net.p[name][at] = p[at] + step
+            sides.append(loss())
+        net.p[name] = p
+        assert abs((sides[0] - sides[1]) / 2e-4 - g[name][at]) < 1e-3 + 0.02 * abs(g[name][at]), name
+    trained = nets.Net(layers=2, epochs=2, batch=100).fit(x.astype(float), y.astype(float))
+    assert {a.dtype for a in trained.p.values()} == {np.dtype(np.float32)} and trained.predict(x).dtype == float
+
+
 def test_factor_file(spark, tmp_path):
     (tmp_path / "f.csv").write_text("heading\n,Mkt-RF,SMB\n192607,  2.96, -2.56\n192608, x, 1.00\n 1926, 3, 4\nCopyright\n")
     got = readers.factor_rows(spark.read.text(str(tmp_path / "f.csv")), ["mkt_rf", "smb"]).orderBy("date").collect()
