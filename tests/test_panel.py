@@ -400,6 +400,32 @@ def test_panel_is_shuffled_as_it_is_and_written_in_steps(spark, sf):
     assert not os.path.exists(old)
 
 
+def test_steps_leave_no_shuffle_files_and_wide_rows_move_once(spark, sf):
+    import os
+    import re
+
+    from quantloom.functions.characteristics import characteristics
+    from quantloom.operators.checkpoints import CLEANUP, Chain
+
+    t, names = tables(spark, sf), ["mom1m", "bm_ia", "herf"]
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    there = lambda: {f"{d}/{f}" for x in folders for d, _, files in os.walk(x) for f in files if f.startswith("shuffle")}
+    before, conf = there(), spark.conf.get(CLEANUP, None)
+    with Chain(spark) as keep:
+        one, two = keep.aside(t["raw_monthly"].groupBy("permno").agg(F.max("ret").alias("x"))), keep.aside(t["raw_market"])
+        assert not there() - before and spark.conf.get(CLEANUP, None) == conf
+        old = [p.removeprefix("file:") for p in keep.beside]
+        assert keep.path is None and len(old) == 2 and all(map(os.path.exists, old)) and two.count() > 0
+        merged = keep(panel.merged_panel(t))
+        assert not any(map(os.path.exists, old)) and keep.beside == []
+        ranked = panel.rank_columns(characteristics(merged, names), names, ["permno", "date"])
+        exchanges = re.findall(r"Exchange hashpartitioning\((.*)", ranked._jdf.queryExecution().executedPlan().toString())
+        assert [e.split("#")[0] for e in exchanges] == ["date", "permno"]
+        whole = panel.feature_panel(t, names)
+        early = panel.feature_panel(t, names, keep, keep.aside, 1998)
+        assert sorted(early.collect()) == sorted(whole.filter("year(date) < 1998").collect()) and 0 < early.count() < whole.count()
+
+
 def test_parsimony_outlives_the_written_panel(spark, monkeypatch):
     rng = np.random.default_rng(3)
     rows = [(p, D(y, 6, 30), *map(float, rng.standard_normal(4))) for y in range(1996, 2002) for p in range(20)]
