@@ -439,6 +439,23 @@ def test_parsimony_outlives_the_written_panel(spark, monkeypatch):
     assert len(out._jdf.queryExecution().executedPlan().toString()) < 1000
 
 
+def test_steps_are_small_plans_and_give_memory_back(spark, sf, monkeypatch):
+    from quantloom.operators import checkpoints
+
+    steps, released, t = [], [], tables(spark, sf)
+    release = checkpoints.release
+    monkeypatch.setattr(checkpoints, "release", lambda s: (released.append(len(steps)), release(s)))
+    with checkpoints.Chain(spark) as keep:
+        write = keep._write
+        monkeypatch.setattr(keep, "_write", lambda df: (steps.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange ")), write(df))[1])
+        got = keep(panel.merged_panel(t, keep.aside)).collect()
+        assert released == list(range(1, len(steps) + 1)) and max(steps) <= 12
+    assert released[-1] == len(steps) and len(released) == len(steps) + 1
+    whole = panel.merged_panel(t)
+    key = lambda r: (r["permno"], r["date"])
+    assert sorted(got, key=key) == sorted(whole.collect(), key=key) and len(got) > 0
+
+
 def test_boosted_trees_are_one_task_and_as_mllibs(spark):
     from pyspark.ml.regression import GBTRegressor
 
