@@ -2,6 +2,7 @@ import datetime as dt
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from quantloom.functions import exprs
 from quantloom.functions.windows import PanelSpec, average_rank, quantile_bucket, unit_rank
 from quantloom.models import expanding, moments, nets, trees
 from quantloom.operators import cleaning, costs, diagnostics, joins, linking, metrics, panel, portfolio, subperiods
-from quantloom.plans import queries
+from quantloom.plans import queries, runs
 from quantloom.plans.adapter import tables
 from quantloom.sources import readers, sinks
 from pyspark.sql import Window
@@ -490,6 +491,50 @@ def test_permutation_importance(spark):
     assert [r["feature"] for r in trees.permutation_importance(model, df, ["a", "b", "c"], 0.0, ["b"]).collect()] == ["b"]
 
 
+def _importance_row_by_row(spark, model, rows, features, bench, seed=42):
+    """From the model's own predictions of all rows, each feature moved on in the hashed order."""
+    at = rows.orderBy(F.xxhash64("permno", "date", F.lit(seed)), "permno", "date").select("ret_exc", *features).toPandas()
+    r2 = lambda t: trees.r2(model.transform(trees.vectors(spark.createDataFrame(pa.Table.from_pandas(t)), features)), bench)
+    steps = np.random.default_rng(seed).integers(1, max(len(at), 2), len(features))
+    return {f: r2(at) - r2(at.assign(**{f: np.roll(at[f], k)})) for f, k in zip(features, steps, strict=True)}
+
+
+def _random_months(spark, firms, first, months):
+    x = [(F.xxhash64("id", F.lit(k)) / F.lit(2.0**63)).alias(c) for k, c in enumerate("abce")]
+    date = F.last_day(F.add_months(F.lit(first).cast("date"), (F.col("id") / firms).cast("int"))).alias("date")
+    return spark.range(0, firms * months, 1, 4).select((F.col("id") % firms).alias("permno"), date, *x).select("permno", "date", "a", "b", "c", (F.col("a") + 0.5 * F.col("b") + F.col("e")).alias("ret_exc"))
+
+
+def test_importance_counts_every_row_of_the_hold_out_years(spark, monkeypatch):
+    features, forest = ["a", "b", "c"], trees.forest
+    df = _random_months(spark, 5000, "1997-07-01", 30).withColumn("a", F.when(F.col("permno") > 9, F.col("a")))
+    hold = df.filter("year(date) >= 1998")
+    assert hold.count() == 120_000
+    model = forest(2, 5).fit(trees.vectors(df.filter("year(date) < 1998"), features))
+    monkeypatch.setattr(trees, "forest", lambda depth: forest(depth, 5))
+    got = {r["feature"]: r["importance"] for r in runs.importance(df, features, 1998, 2000).collect()}
+    want = _importance_row_by_row(spark, model, hold.fillna(0.0), features, hold.agg(F.avg("ret_exc")).first()[0])
+    assert got == pytest.approx(want, abs=1e-10) and got["a"] > got["b"] > 0
+
+
+def test_importance_does_not_depend_on_blocks(spark, monkeypatch):
+    from pyspark.ml.regression import LinearRegression
+
+    features, df = ["a", "b", "c"], _random_months(spark, 100, "1998-01-01", 5)
+    fitted = [m.fit(trees.vectors(df, features)) for m in (trees.forest(3, 20, 10), LinearRegression(featuresCol="ql_x", labelCol="ret_exc", predictionCol="pred_ret"))]
+    for model in fitted:
+        want = _importance_row_by_row(spark, model, df, features, 0.1)
+        for block in (7, 100, 1000):
+            monkeypatch.setattr(trees, "BLOCK", block)
+            got = {r["feature"]: r["importance"] for r in trees.permutation_importance(model, df.repartition(3), features, 0.1).collect()}
+            assert got == pytest.approx(want, abs=1e-10)
+    unread = trees.forest(2, 3, 1000).fit(trees.vectors(df, features))
+    assert [(r["feature"], r["importance"], r["place"]) for r in trees.permutation_importance(unread, df, features, 0.1).collect()] == [("a", 0.0, 1), ("b", 0.0, 2), ("c", 0.0, 3)]
+    assert [r["importance"] for r in trees.permutation_importance(unread, df.limit(0), features, 0.1).collect()] == [None] * 3
+    with pytest.raises(TypeError, match="BoostedModel"):
+        trees.permutation_importance(trees.BoostedModel([], []), df, features, 0.1)
+
+
 def test_train_appends_and_resumes(spark, tmp_path, monkeypatch):
     from quantloom.plans import runs
 
