@@ -517,6 +517,23 @@ def test_importance_counts_every_row_of_the_hold_out_years(spark, monkeypatch):
     assert got == pytest.approx(want, abs=1e-10) and got["a"] > got["b"] > 0
 
 
+def _scored(spark, monkeypatch, query):
+    """Rows that the query scores, of 110,000 in the hold-out years, and its result."""
+    features, forest, measure, scored = ["bm", "me", "mom1m"], trees.forest, trees.permutation_importance, []
+    df = _random_months(spark, 5000, "1997-09-01", 26).withColumnsRenamed(dict(zip("abc", features, strict=True)))
+    monkeypatch.setattr(queries.C, "ALL", features)
+    monkeypatch.setattr(queries, "_whole_panel", lambda *a: df)
+    monkeypatch.setattr(trees, "forest", lambda depth: forest(depth, 3))
+    monkeypatch.setattr(trees, "permutation_importance", lambda model, rows, *a: (scored.append(rows.count()), measure(model, rows, *a))[1])
+    out = queries.QUERIES[query](spark, "").collect()
+    return scored, out
+
+
+def test_perm_importance_scores_every_row(spark, monkeypatch):
+    scored, out = _scored(spark, monkeypatch, "perm_importance")
+    assert scored == [110_000] and {r["feature"] for r in out} == {"bm", "me", "mom1m"}
+
+
 def test_importance_does_not_depend_on_blocks(spark, monkeypatch):
     from pyspark.ml.regression import LinearRegression
 
