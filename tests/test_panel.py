@@ -534,6 +534,11 @@ def test_perm_importance_scores_every_row(spark, monkeypatch):
     assert scored == [110_000] and {r["feature"] for r in out} == {"bm", "me", "mom1m"}
 
 
+def test_selected_features_scores_every_row(spark, monkeypatch):
+    scored, out = _scored(spark, monkeypatch, "selected_features")
+    assert scored == [110_000] and [r["place"] for r in out] == [1, 2, 3] and out[0]["feature"] == "bm"
+
+
 def test_importance_does_not_depend_on_blocks(spark, monkeypatch):
     from pyspark.ml.regression import LinearRegression
 
